@@ -179,3 +179,11 @@ def matches(docs: DataFrame, found: tuple[WuManber, np.ndarray] | None, id_col:
         return pa.RecordBatch.from_arrays([pa.array([ids[d] for d in rows[0]], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(many, pa.int64())], ["doc_id", "item_id", "n_windows"])
 
     return map_text(docs, search, "doc_id bigint, item_id bigint, n_windows bigint", id_col, text_col)
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: object) -> DataFrame:
+    """The rows of docs in which contamination() finds nothing, columns unchanged. Null and empty texts stay."""
+    key = "__text_key"
+    keyed = docs.withColumn(key, F.xxhash64(F.col(quoted(text_col)).cast("string")))
+    found = contamination(keyed, benchmark, id_col=key, text_col=text_col, **options).select(F.col("doc_id").alias("__found")).distinct()
+    return keyed.join(found, F.col(key) == F.col("__found"), "left_anti").drop(key)
