@@ -36,21 +36,21 @@ def map_text(df: DataFrame, fn: Callable[[list, list], pa.RecordBatch | None], s
     return source.mapInArrow(run, schema)
 
 
-def slices(batches: Iterator[pa.RecordBatch], slice_chars: int = SLICE_CHARS) -> Iterator[tuple[list, list]]:
-    """(ids, texts) in slices of about slice_chars characters."""
+def slices(batches: Iterator[pa.RecordBatch], slice_chars: int = SLICE_CHARS) -> Iterator[tuple[list, ...]]:
+    """The columns (ids, texts and any more) in slices of about slice_chars characters of text."""
     for batch in batches:
         step = 512
         for at in range(0, batch.num_rows, step):
             part = batch.slice(at, step)
-            ids, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
+            columns = [c.to_pylist() for c in part.columns]
             begin = size = 0
-            for k, text in enumerate(texts):
+            for k, text in enumerate(columns[1]):
                 size += len(text) if text else 0
                 if size >= slice_chars:
-                    yield ids[begin : k + 1], texts[begin : k + 1]
+                    yield tuple(c[begin : k + 1] for c in columns)
                     begin, size = k + 1, 0
-            if begin < len(texts):
-                yield ids[begin:], texts[begin:]
+            if begin < part.num_rows:
+                yield tuple(c[begin:] for c in columns)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -128,3 +128,16 @@ def sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Sums of values (by rows) between bounds, 0 for empty ranges."""
     total = np.concatenate([np.zeros((1, *values.shape[1:])), np.cumsum(values, axis=0, dtype=np.float64)])
     return total[bounds[1:]] - total[bounds[:-1]]
+
+
+def hashed_sample(df: DataFrame, n: int) -> DataFrame:
+    """About n rows of df (all, if it has fewer), chosen by a hash of their first column's values.
+
+    A threshold on the hash, set from the number of rows, passes about n and a half;
+    only those are put in order.
+    """
+    key = F.xxhash64(df[quoted(df.columns[0])])
+    total = df.count()
+    if total > 2 * n:
+        df = df.where(F.pmod(key, F.lit(1 << 40)) < int((1 << 40) * 1.5 * n / total))
+    return df.orderBy(F.pmod(key, F.lit(1 << 40)), *df.columns).limit(n)
