@@ -2,5 +2,581 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from nearfield.functions import bits, dense, half, sparse
+from nearfield.functions import sql as sql_functions
+from nearfield.operators import aggregates, knn, metrics
+from nearfield.operators.bm25 import Bm25Index
+from nearfield.operators.graph import GraphIndex
+from nearfield.operators.hybrid import HybridQuery, hybrid_search, rrf_full_outer, scan_stats
+from nearfield.operators.ivf import IvfIndex
+from nearfield.operators.quantized import QuantizedIndex
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+LISTS = 16
+ANY, ALL, TREE = "license | rights | apache", "rights & reserved", "(license | rights) & reserved"
+TEXT = "the | of | license | rights"
+
+
+def query(sql: str | None = None, name: str | None = None) -> Callable[[Query], Query]:
+    """Register a query under its function's name, with the SQL that gives the same rows."""
+
+    def put(fn: Query) -> Query:
+        key = name or fn.__name__
+        QUERIES[key] = fn
+        if sql:
+            ORACLE_SQL[key] = sql
+        return fn
+
+    return put
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The embeddings, no longer of unit length: times 1 to 7 by id."""
+    e = table(spark, sf_dir, "embeddings")
+    factor = (1 + F.col("vec_id") % 7).cast("float")
+    return e.withColumn("embedding", F.transform("embedding", lambda x: (x * factor).cast("float")))
+
+
+SCALED = "scaled AS (SELECT vec_id, label, [(x * (1 + vec_id % 7)::FLOAT)::FLOAT FOR x IN embedding] AS v FROM embeddings)"
+
+
+def first_vector(df: DataFrame, vec_id: int = 0) -> list[float]:
+    return df.where(F.col("vec_id") == vec_id).select("embedding").first()[0]
+
+
+def pairs(df: DataFrame) -> DataFrame:
+    """(vec_id, a, b): each vector and that of the next id."""
+    other = df.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("b"))
+    return df.select("vec_id", F.col("embedding").alias("a")).join(other, "vec_id")
+
+
+PAIRS = f"{SCALED}, pair AS (SELECT s.vec_id, s.v AS a, t.v AS b FROM scaled s JOIN scaled t ON t.vec_id = s.vec_id + 1)"
+
+
+def sql_distance(metric: str, a: str, b: str) -> str:
+    a, b = f"{a}::DOUBLE[]", f"{b}::DOUBLE[]"
+    return {
+        "l2": f"list_distance({a}, {b})",
+        "l2_squared": f"(list_distance({a}, {b}) ** 2)",
+        "ip": f"(-list_inner_product({a}, {b}))",
+        "cosine": f"(1 - list_cosine_similarity({a}, {b}))",
+        "l1": f"list_sum([abs(z[1]::DOUBLE - z[2]::DOUBLE) FOR z IN list_zip({a}, {b})])",
+    }[metric]
+
+
+def top(metric: str, rows: str = "scaled", where: str = "true", k: int = 10) -> str:
+    return f"""WITH {SCALED}, q AS (SELECT v AS q FROM scaled WHERE vec_id = 0)
+SELECT vec_id, round({sql_distance(metric, "v", "q")}, 6) AS distance FROM {rows}, q WHERE {where} ORDER BY round({sql_distance(metric, "v", "q")}, 9), vec_id LIMIT {k}"""
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    return df.select("vec_id", F.round("distance", digits).alias("distance"))
+
+
+for _metric in ("l2", "ip", "cosine", "l1"):
+
+    def _knn(spark: SparkSession, sf_dir: str, metric: str = _metric) -> DataFrame:
+        e = scaled(spark, sf_dir)
+        return rounded(knn.knn(e, first_vector(e), 10, metric))
+
+    query(top(_metric), f"knn_{_metric}")(_knn)
+
+
+@query(
+    f"""WITH {PAIRS} SELECT vec_id, round({sql_distance("l2_squared", "a", "b")}, 5) AS l2_squared, round({sql_distance("l2", "a", "b")}, 6) AS l2, round(-{sql_distance("ip", "a", "b")}, 6) AS inner_product,
+round({sql_distance("ip", "a", "b")}, 6) AS negative_inner_product, round({sql_distance("cosine", "a", "b")}, 6) AS cosine, round({sql_distance("l1", "a", "b")}, 5) AS l1 FROM pair"""
+)
+def vector_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = F.col("a"), F.col("b")
+    return pairs(scaled(spark, sf_dir)).select(
+        "vec_id",
+        F.round(dense.l2_squared_distance(a, b), 5).alias("l2_squared"),
+        F.round(dense.l2_distance(a, b), 6).alias("l2"),
+        F.round(dense.inner_product(a, b), 6).alias("inner_product"),
+        F.round(dense.negative_inner_product(a, b), 6).alias("negative_inner_product"),
+        F.round(dense.cosine_distance(a, b), 6).alias("cosine"),
+        F.round(dense.l1_distance(a, b), 5).alias("l1"),
+    )
+
+
+@query("SELECT s.vec_id, round(acos(greatest(-1, least(1, list_inner_product(s.embedding::DOUBLE[], t.embedding::DOUBLE[])))) / pi(), 6) AS distance FROM embeddings s JOIN embeddings t ON t.vec_id = s.vec_id + 1")
+def spherical_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs(table(spark, sf_dir, "embeddings")).select("vec_id", F.round(dense.spherical_distance(F.col("a"), F.col("b")), 6).alias("distance"))
+
+
+@query(
+    f"""WITH {PAIRS} SELECT vec_id, z.i AS pos, round((z.x + z.y)::FLOAT::DOUBLE, 5) AS added, round((z.x - z.y)::FLOAT::DOUBLE, 5) AS subtracted, round((z.x * z.y)::FLOAT::DOUBLE, 5) + 0.0 AS multiplied
+FROM (SELECT vec_id, unnest([{{'i': i - 1, 'x': a[i], 'y': b[i]}} FOR i IN range(1, len(a) + 1)]) AS z FROM pair)"""
+)
+def vector_arithmetic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = F.col("a"), F.col("b")
+    zipped = F.arrays_zip(dense.vector_add(a, b).alias("p"), dense.vector_sub(a, b).alias("m"), dense.vector_mul(a, b).alias("t"))
+    z = pairs(scaled(spark, sf_dir)).select("vec_id", F.posexplode(zipped).alias("pos", "z"))
+    show = lambda c: F.round(F.col(f"z.{c}").cast("double"), 5)
+    return z.select("vec_id", F.col("pos").cast("bigint").alias("pos"), show("p").alias("added"), show("m").alias("subtracted"), (show("t") + 0.0).alias("multiplied"))
+
+
+@query(
+    f"""WITH {PAIRS} SELECT vec_id, len(a)::BIGINT AS dims, round(sqrt(list_inner_product(a::DOUBLE[], a::DOUBLE[])), 6) AS norm, len(a || b)::BIGINT AS concat_dims, round((a || b)[65]::DOUBLE, 5) AS concat_65,
+len(a[3:12])::BIGINT AS sub_dims, round(a[3]::DOUBLE, 5) AS sub_first, round(a[1] / sqrt(list_inner_product(a::DOUBLE[], a::DOUBLE[])), 5) AS unit_first FROM pair"""
+)
+def vector_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = F.col("a"), F.col("b")
+    joined, part = dense.vector_concat(a, b), dense.subvector(a, 3, 10)
+    return pairs(scaled(spark, sf_dir)).select(
+        "vec_id",
+        dense.vector_dims(a).cast("bigint").alias("dims"),
+        F.round(dense.vector_norm(a), 6).alias("norm"),
+        F.size(joined).cast("bigint").alias("concat_dims"),
+        F.round(joined[64].cast("double"), 5).alias("concat_65"),
+        F.size(part).cast("bigint").alias("sub_dims"),
+        F.round(part[0].cast("double"), 5).alias("sub_first"),
+        F.round(dense.l2_normalize(a)[0].cast("double"), 5).alias("unit_first"),
+    )
+
+
+@query(f"WITH {PAIRS} SELECT vec_id, a < b AS lt, a <= b AS le, a = b AS eq, a <> b AS ne, a >= b AS ge, a > b AS gt, CASE WHEN a < b THEN -1 WHEN a > b THEN 1 ELSE 0 END AS cmp FROM pair")
+def vector_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = F.col("a"), F.col("b")
+    ops = {"lt": dense.vector_lt, "le": dense.vector_le, "eq": dense.vector_eq, "ne": dense.vector_ne, "ge": dense.vector_ge, "gt": dense.vector_gt, "cmp": dense.vector_cmp}
+    return pairs(scaled(spark, sf_dir)).select("vec_id", *[f(a, b).alias(n) for n, f in ops.items()])
+
+
+@query(f"WITH {SCALED} SELECT vec_id, row_number() OVER (ORDER BY v, vec_id) AS place FROM scaled")
+def vector_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scaled(spark, sf_dir).select("vec_id", F.row_number().over(Window.orderBy("embedding", "vec_id")).cast("bigint").alias("place"))
+
+
+@query("SELECT vec_id, true AS same, len(embedding)::BIGINT AS dims FROM embeddings")
+def vector_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = dense.vector_from_text(dense.vector_to_text(F.col("embedding")))
+    return table(spark, sf_dir, "embeddings").select("vec_id", (back == F.col("embedding")).alias("same"), F.size(back).cast("bigint").alias("dims"))
+
+
+@query("SELECT o_orderkey, [o_orderkey % 100, o_custkey % 100]::FLOAT[] = [o_orderkey % 100, o_custkey % 100]::FLOAT[] AS same, round(o_totalprice::FLOAT::DOUBLE, 2) AS price FROM orders")
+def array_casts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    whole = F.array((F.col("o_orderkey") % 100).cast("int"), (F.col("o_custkey") % 100).cast("int"))
+    return o.select("o_orderkey", (dense.array_to_vector(whole) == dense.array_to_vector(whole.cast("array<decimal(9,2)>"))).alias("same"), F.round(dense.array_to_vector(F.array("o_totalprice"))[0].cast("double"), 2).alias("price"))
+
+
+def aggregated(how: str, keyed: bool) -> str:
+    key = "label, " if keyed else ""
+    return f"""WITH {SCALED}, part AS (SELECT {key}unnest(v)::DOUBLE AS x, unnest(range(len(v))) AS pos FROM scaled)
+SELECT {key}pos, round({how}(x), 4) AS x FROM part GROUP BY {key}pos"""
+
+
+for _how, _fn in (("avg", aggregates.vector_avg), ("sum", aggregates.vector_sum)):
+    for _keys in (["label"], []):
+
+        def _aggregate(spark: SparkSession, sf_dir: str, fn: Callable = _fn, keys: list = _keys) -> DataFrame:
+            found = fn(scaled(spark, sf_dir), "embedding", keys, "v")
+            parts = found.select(*keys, F.posexplode("v").alias("pos", "x"))
+            return parts.select(*keys, F.col("pos").cast("bigint").alias("pos"), F.round(F.col("x").cast("double"), 4).alias("x"))
+
+        query(aggregated(_how, bool(_keys)), f"vector_{_how}" + "_by_label" * bool(_keys))(_aggregate)
+
+
+@query(
+    f"""WITH {SCALED}, c AS (SELECT label, pos, avg(x) AS x FROM (SELECT label, unnest(v)::DOUBLE AS x, unnest(range(len(v))) AS pos FROM scaled) GROUP BY label, pos),
+m AS (SELECT label AS center, list(x::FLOAT::DOUBLE ORDER BY pos) AS c FROM c GROUP BY label)
+SELECT vec_id, arg_min(center, (round(list_distance(v::DOUBLE[], c), 9), center)) AS center FROM scaled, m GROUP BY vec_id"""
+)
+def nearest_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = scaled(spark, sf_dir)
+    c = aggregates.vector_avg(e, "embedding", ["label"], "c").withColumnRenamed("label", "center")
+    d = F.round(dense.l2_distance(F.col("embedding"), F.col("c")), 9)
+    return e.crossJoin(F.broadcast(c)).groupBy("vec_id").agg(F.min_by("center", F.struct(d, "center")).alias("center"))
+
+
+@query(
+    f"""WITH {SCALED}, x AS (SELECT vec_id, unnest(v)::DOUBLE AS x, unnest(range(len(v))) AS pos FROM scaled),
+u AS (SELECT *, power(2.0, greatest(floor(log2(CASE WHEN abs(x) > 0 THEN abs(x) ELSE 1 END)), -14) - 10) AS unit FROM x)
+SELECT vec_id, pos, round_even(x / unit, 0) * unit AS h FROM u"""
+)
+def half_rounding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = scaled(spark, sf_dir).select("vec_id", F.posexplode(half.to_half(F.col("embedding"))).alias("pos", "h"))
+    return h.select("vec_id", F.col("pos").cast("bigint").alias("pos"), F.col("h").cast("double").alias("h"))
+
+
+HALF = f"""{SCALED}, h AS (SELECT vec_id, [round_even(x / power(2.0, greatest(floor(log2(CASE WHEN abs(x) > 0 THEN abs(x::DOUBLE) ELSE 1 END)), -14) - 10), 0) *
+power(2.0, greatest(floor(log2(CASE WHEN abs(x) > 0 THEN abs(x::DOUBLE) ELSE 1 END)), -14) - 10) FOR x IN v] AS v FROM scaled)"""
+
+
+@query(f"WITH {HALF}, q AS (SELECT v AS q FROM h WHERE vec_id = 0) SELECT vec_id, round(list_distance(v, q), 6) AS distance FROM h, q ORDER BY round(list_distance(v, q), 9), vec_id LIMIT 10")
+def half_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = scaled(spark, sf_dir).withColumn("embedding", half.to_half(F.col("embedding")))
+    return rounded(knn.knn(e, first_vector(e), 10))
+
+
+SPARSE = "s AS (SELECT vec_id, [CASE WHEN abs(x) > 0.15 THEN x ELSE 0 END FOR x IN embedding] AS v FROM embeddings), sp AS (SELECT s.vec_id, s.v AS a, t.v AS b FROM s JOIN s t ON t.vec_id = s.vec_id + 1)"
+
+
+def thinned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    thin = F.transform("embedding", lambda x: F.when(F.abs(x) > F.lit(0.15).cast("decimal(3,2)").cast("double"), x).otherwise(F.lit(0.0).cast("float")))
+    return table(spark, sf_dir, "embeddings").select("vec_id", sparse.to_sparse(thin).alias("embedding"))
+
+
+@query(
+    f"""WITH {SPARSE} SELECT vec_id, len([x FOR x IN a IF x <> 0])::BIGINT AS nonzero, round({sql_distance("l2", "a", "b")}, 6) AS l2, round({sql_distance("ip", "a", "b")}, 6) + 0.0 AS ip,
+round({sql_distance("cosine", "a", "b")}, 6) AS cosine, round({sql_distance("l1", "a", "b")}, 6) AS l1, round(sqrt(list_inner_product(a::DOUBLE[], a::DOUBLE[])), 6) AS norm FROM sp"""
+)
+def sparse_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = F.col("a"), F.col("b")
+    return pairs(thinned(spark, sf_dir)).select(
+        "vec_id",
+        F.size("a.indices").cast("bigint").alias("nonzero"),
+        F.round(sparse.l2_distance(a, b), 6).alias("l2"),
+        (F.round(sparse.negative_inner_product(a, b), 6) + 0.0).alias("ip"),
+        F.round(sparse.cosine_distance(a, b), 6).alias("cosine"),
+        F.round(sparse.l1_distance(a, b), 6).alias("l1"),
+        F.round(sparse.l2_norm(a), 6).alias("norm"),
+    )
+
+
+@query(f"WITH {SPARSE} SELECT vec_id, CASE WHEN a < b THEN -1 WHEN a > b THEN 1 ELSE 0 END AS cmp, true AS dense_back, true AS text_back, 1.0::DOUBLE AS unit_norm FROM sp")
+def sparse_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = F.col("a"), F.col("b")
+    again = sparse.to_sparse(sparse.to_dense(a))
+    return pairs(thinned(spark, sf_dir)).select(
+        "vec_id",
+        sparse.sparsevec_cmp(a, b).alias("cmp"),
+        (again == a).alias("dense_back"),
+        (sparse.from_text(sparse.to_text(a)) == a).alias("text_back"),
+        F.round(sparse.l2_norm(sparse.l2_normalize(a)), 5).alias("unit_norm"),
+    )
+
+
+@query(f"WITH {SPARSE} SELECT s.vec_id AS a, t.vec_id AS b, round(list_inner_product(s.v::DOUBLE[], t.v::DOUBLE[]), 6) AS ip FROM s, s t WHERE len([z FOR z IN list_zip(s.v, t.v) IF z[1] <> 0 AND z[2] <> 0]) > 0")
+def sparse_all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = thinned(spark, sf_dir)
+    found = knn.sparse_products(s, s.withColumnRenamed("vec_id", "other_id"), "vec_id", "other_id", "embedding")
+    return found.select("a", "b", F.round("ip", 6).alias("ip"))
+
+
+BITS = "b AS (SELECT vec_id, embedding, [CASE WHEN x > 0 THEN 1 ELSE 0 END FOR x IN embedding] AS f FROM embeddings), q AS (SELECT f AS q, embedding AS e FROM b WHERE vec_id = 0)"
+SHARED = "list_sum([z[1] * z[2] FOR z IN list_zip(f, q)])"
+DIFFERENT = "list_sum([abs(z[1] - z[2]) FOR z IN list_zip(f, q)])"
+
+
+def quantized_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").withColumn("code", bits.binary_quantize(F.col("embedding")))
+
+
+@query(f"WITH {BITS} SELECT vec_id, array_to_string(f, '') AS bits, list_sum(f)::BIGINT AS ones FROM b")
+def binary_quantize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quantized_bits(spark, sf_dir).select("vec_id", bits.bits_to_text(F.col("code")).alias("bits"), bits.ones(F.col("code.words")).alias("ones"))
+
+
+def bit_query(b: DataFrame) -> DataFrame:
+    return F.broadcast(b.where("vec_id = 0").select(F.col("code").alias("q"), F.col("embedding").alias("e")))
+
+
+@query(f"WITH {BITS} SELECT vec_id, {DIFFERENT}::DOUBLE AS distance FROM b, q ORDER BY distance, vec_id LIMIT 10")
+def hamming_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = quantized_bits(spark, sf_dir)
+    return rounded(knn.nearest(b.crossJoin(bit_query(b)), bits.hamming_distance(F.col("code"), F.col("q")), 10, "vec_id"))
+
+
+@query(f"WITH {BITS} SELECT vec_id, round(CASE WHEN {SHARED} = 0 THEN 1.0 ELSE 1 - {SHARED} / (list_sum(f) + list_sum(q) - {SHARED})::DOUBLE END, 6)::DOUBLE AS distance FROM b, q ORDER BY distance, vec_id LIMIT 10")
+def jaccard_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = quantized_bits(spark, sf_dir)
+    return rounded(knn.nearest(b.crossJoin(bit_query(b)), F.round(bits.jaccard_distance(F.col("code"), F.col("q")), 6), 10, "vec_id"))
+
+
+@query(
+    f"""WITH {BITS}, near AS (SELECT vec_id, embedding, e FROM b, q ORDER BY {DIFFERENT}, vec_id LIMIT 50)
+SELECT vec_id, round({sql_distance("cosine", "embedding", "e")}, 6) AS distance FROM near ORDER BY round({sql_distance("cosine", "embedding", "e")}, 9), vec_id LIMIT 10"""
+)
+def binary_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = quantized_bits(spark, sf_dir)
+    both = b.crossJoin(bit_query(b))
+    return rounded(knn.rerank(both, bits.hamming_distance(F.col("code"), F.col("q")), F.round(dense.cosine_distance(F.col("embedding"), F.col("e")), 9), 50, 10))
+
+
+@query(
+    f"""WITH {SCALED}, q AS (SELECT v AS q FROM scaled WHERE vec_id = 0), near AS (SELECT vec_id, v, q FROM scaled, q ORDER BY round(list_distance(v[1:16]::DOUBLE[], q[1:16]::DOUBLE[]), 9), vec_id LIMIT 50)
+SELECT vec_id, round({sql_distance("l2", "v", "q")}, 6) AS distance FROM near ORDER BY round({sql_distance("l2", "v", "q")}, 9), vec_id LIMIT 10"""
+)
+def subvector_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = scaled(spark, sf_dir)
+    v, q = F.col("embedding"), knn.literal(first_vector(e))
+    return rounded(knn.rerank(e, F.round(dense.l2_distance(dense.subvector(v, 1, 16), dense.subvector(q, 1, 16)), 9), F.round(dense.l2_distance(v, q), 9), 50, 10))
+
+
+@query(f"WITH {SCALED}, q AS (SELECT v AS q FROM scaled WHERE vec_id = 0) SELECT vec_id, round({sql_distance('l2', 'v', 'q')}, 6) AS distance FROM scaled, q WHERE {sql_distance('l2', 'v', 'q')} < 3")
+def range_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = scaled(spark, sf_dir)
+    return rounded(knn.range_search(e, first_vector(e), 3.0))
+
+
+@query(top("l2", where="label = 3"))
+def filtered_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = scaled(spark, sf_dir)
+    return rounded(knn.knn(e, first_vector(e), 10, where=F.col("label") == 3))
+
+
+@query(top("cosine", where="vec_id <> 0", k=5))
+def knn_to_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(knn.knn_to_row(scaled(spark, sf_dir), 0, 5, "cosine"))
+
+
+@query(
+    f"""WITH {SCALED}, q AS (SELECT v AS q FROM scaled WHERE vec_id = 0)
+SELECT label, vec_id, round({sql_distance("l2", "v", "q")}, 6) AS distance FROM scaled, q QUALIFY row_number() OVER (PARTITION BY label ORDER BY round({sql_distance("l2", "v", "q")}, 9), vec_id) <= 3"""
+)
+def knn_per_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = scaled(spark, sf_dir)
+    d = e.withColumn("distance", F.round(dense.l2_distance(F.col("embedding"), knn.literal(first_vector(e))), 9))
+    place = F.row_number().over(Window.partitionBy("label").orderBy("distance", "vec_id"))
+    return d.withColumn("place", place).where("place <= 3").select("label", "vec_id", F.round("distance", 6).alias("distance"))
+
+
+def all_queries(e: DataFrame) -> DataFrame:
+    return e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+
+
+for _metric in ("l2", "cosine", "ip", "l1"):
+
+    def _join(spark: SparkSession, sf_dir: str, metric: str = _metric) -> DataFrame:
+        e = scaled(spark, sf_dir)
+        found = knn.knn_join(all_queries(e), e, 5, metric)
+        return found.select("query_id", "vec_id", F.round("distance", 6).alias("distance"), "rank")
+
+    _d = sql_distance(_metric, "b.v", "a.v")
+    query(
+        f"WITH {SCALED}, p AS (SELECT a.vec_id AS query_id, b.vec_id, round({_d}, 9) AS d FROM scaled a, scaled b) SELECT query_id, vec_id, round(d, 6) AS distance, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS rank FROM p QUALIFY rank <= 5",
+        f"knn_join_{_metric}",
+    )(_join)
+
+
+@query(f"WITH {PAIRS} SELECT vec_id, round({sql_distance('l2', 'a', 'b')}, 6) AS l2, round({sql_distance('cosine', 'a', 'b')}, 6) AS cosine, round(sqrt(list_inner_product(a::DOUBLE[], a::DOUBLE[])), 6) AS norm FROM pair")
+def sql_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sql_functions.register(spark)
+    pairs(scaled(spark, sf_dir)).createOrReplaceTempView("nearfield_pairs")
+    return spark.sql("SELECT vec_id, round(l2_distance(a, b), 6) AS l2, round(cosine_distance(a, b), 6) AS cosine, round(vector_norm(a), 6) AS norm FROM nearfield_pairs")
+
+
+@query(top("l2"))
+def ivf_full_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = scaled(spark, sf_dir)
+    return rounded(IvfIndex.build(e, LISTS).search(first_vector(e), 10, probes=LISTS))
+
+
+@query()
+def ivf_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return IvfIndex.build(scaled(spark, sf_dir), LISTS).stats()
+
+
+@query()
+def ivf_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = scaled(spark, sf_dir)
+    return metrics.recall_at_k(IvfIndex.build(e, LISTS).search_many(all_queries(e), 10, 8), knn.knn_join(all_queries(e), e, 10), 10)
+
+
+@query(top("l2"))
+def quantized_all_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = scaled(spark, sf_dir)
+    return rounded(QuantizedIndex.build(e, 64, 4).search(first_vector(e), 10, oversampling=50))
+
+
+@query()
+def quantized_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = scaled(spark, sf_dir)
+    return rounded(QuantizedIndex.build(e, 64, 2, "cosine").search(first_vector(e), 10, oversampling=8))
+
+
+@query()
+def graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = scaled(spark, sf_dir)
+    return rounded(GraphIndex.build(e, "l2", shard_rows=1000).search(first_vector(e), 10, 100))
+
+
+TOKENS = "tok AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda t: t <> '') AS t FROM {docs} WHERE text IS NOT NULL)"
+POSTINGS = TOKENS + ", w AS (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM tok), post AS (SELECT doc_id, term, dl, count(*) AS tf FROM w GROUP BY ALL), n AS (SELECT count(*) AS n, avg(len(t)) AS average FROM tok)"
+
+
+def bm25_sql(terms: list[str], condition: str = "true", docs: str = "documents", dead: str = "false", norm: str = "{}") -> str:
+    names = ", ".join(f"'{t}'" for t in terms)
+    tf_norm = norm.format("(tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * greatest(dl, 1) / greatest(average, 1))))")
+    return f"""{POSTINGS.replace("{docs}", docs)}, df AS (SELECT term, count(*) AS df FROM post WHERE term IN ({names}) GROUP BY term),
+hit AS (SELECT doc_id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * {tf_norm}), 9) AS score, list(term) AS found FROM post JOIN df USING (term), n WHERE NOT ({dead}) GROUP BY doc_id),
+lex AS (SELECT doc_id, score FROM hit WHERE {condition})"""
+
+
+def shown(df: DataFrame) -> DataFrame:
+    return df.select("doc_id", F.round("score", 6).alias("score"))
+
+
+def search_sql(*args: object, **options: str) -> str:
+    return f"WITH {bm25_sql(*args, **options)} SELECT doc_id, round(score, 6) AS score FROM lex ORDER BY lex.score DESC, doc_id LIMIT 20"
+
+
+@query(f"WITH {POSTINGS.replace('{docs}', 'documents')} SELECT n AS doc_count, (SELECT sum(len(t))::BIGINT FROM tok) AS total_doc_len, (SELECT count(DISTINCT term) FROM post) AS unique_terms, round(average, 6) AS avg_doc_len FROM n")
+def bm25_corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = Bm25Index.of(table(spark, sf_dir, "documents")).corpus_stats()
+    return s.withColumn("avg_doc_len", F.round("avg_doc_len", 6))
+
+
+@query(f"WITH {POSTINGS.replace('{docs}', 'documents')} SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM post GROUP BY term")
+def bm25_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Bm25Index.of(table(spark, sf_dir, "documents")).lexicon()
+
+
+@query(f"WITH {POSTINGS.replace('{docs}', 'documents')} SELECT doc_id, term, tf, dl::BIGINT AS dl FROM post")
+def bm25_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Bm25Index.of(table(spark, sf_dir, "documents")).postings
+
+
+SEARCHES = {
+    "bm25_or": (ANY, ["license", "rights", "apache"], "true"),
+    "bm25_and": (ALL, ["rights", "reserved"], "list_contains(found, 'rights') AND list_contains(found, 'reserved')"),
+    "bm25_tree": (TREE, ["license", "rights", "reserved"], "(list_contains(found, 'license') OR list_contains(found, 'rights')) AND list_contains(found, 'reserved')"),
+    "bm25_single_term": ("license", ["license"], "true"),
+    "bm25_missing_term": ("zzzzzz", ["zzzzzz"], "true"),
+}
+for _name, (_text, _terms, _condition) in SEARCHES.items():
+
+    def _search(spark: SparkSession, sf_dir: str, text: str = _text) -> DataFrame:
+        return shown(Bm25Index.of(table(spark, sf_dir, "documents")).topk(text, 20))
+
+    query(search_sql(_terms, _condition), _name)(_search)
+
+
+@query(search_sql(["license", "rights", "apache"], norm="(round({} / 2.2::DOUBLE * 65535) / 65535 * 2.2::DOUBLE)"))
+def bm25_quantized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shown(Bm25Index.of(table(spark, sf_dir, "documents")).topk(ANY, 20, quantized=True))
+
+
+@query(search_sql(["license", "rights", "apache"], dead="doc_id % 10 = 3"))
+def bm25_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    index = Bm25Index.of(d.where("doc_id % 2 = 0")).append(Bm25Index.of(d.where("doc_id % 2 = 1")))
+    return shown(index.delete(d.where("doc_id % 10 = 3")).topk(ANY, 20))
+
+
+@query(search_sql(["license", "rights", "apache"], docs="(SELECT * FROM documents WHERE doc_id % 10 <> 3)"))
+def bm25_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    return shown(Bm25Index.of(d).delete(d.where("doc_id % 10 = 3")).compact().topk(ANY, 20))
+
+
+@query()
+def bm25_english(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shown(Bm25Index.of(table(spark, sf_dir, "documents"), analyzer="english").topk("licens | right", 20))
+
+
+def hybrid_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = scaled(spark, sf_dir).select(F.col("vec_id").alias("doc_id"), "embedding")
+    return table(spark, sf_dir, "documents").select("doc_id", "text").join(e, "doc_id")
+
+
+def hybrid_sql(score: str, dense: bool = True, lexical: bool = True, where: str = "true", limit: int = 20, dense_k: int = 50, bm25_k: int = 50) -> str:
+    return f"""WITH {SCALED}, corpus AS (SELECT d.doc_id, d.text, s.v FROM documents d JOIN scaled s ON s.vec_id = d.doc_id), qv AS (SELECT v AS q FROM scaled WHERE vec_id = 7),
+{bm25_sql(["the", "of", "license", "rights"], docs="corpus")},
+dd AS (SELECT doc_id, round({sql_distance("cosine", "v", "q")}, 9) AS d FROM corpus, qv WHERE {str(dense).lower()}),
+dr AS (SELECT doc_id AS id, row_number() OVER (ORDER BY d, doc_id) AS dense_rank, -d AS dense_score FROM dd QUALIFY dense_rank <= {dense_k}),
+br AS (SELECT doc_id AS id, row_number() OVER (ORDER BY score DESC, doc_id) AS bm25_rank, score AS bm25_score FROM lex WHERE {str(lexical).lower()} QUALIFY bm25_rank <= {bm25_k}),
+f AS (SELECT id, dense_rank, bm25_rank, dense_score, bm25_score FROM dr FULL JOIN br USING (id) WHERE {where}),
+g AS (SELECT id, dense_rank, bm25_rank, round({score}, 9) AS score FROM f)
+SELECT id, dense_rank, bm25_rank, round(score, 6) AS score FROM g
+ORDER BY g.score DESC, CASE WHEN dense_rank IS NOT NULL AND bm25_rank IS NOT NULL THEN 0 ELSE 1 END, coalesce(dense_rank, 2147483647), coalesce(bm25_rank, 2147483647), id LIMIT {limit}"""
+
+
+RRF = "coalesce(1.0::DOUBLE / (60 + dense_rank), 0) + coalesce(1.0::DOUBLE / (60 + bm25_rank), 0)"
+
+
+def _scaled(c: str) -> str:
+    low, high = f"min({c}) OVER ()", f"max({c}) OVER ()"
+    return f"coalesce(CASE WHEN {c} IS NULL THEN 0 WHEN {high} > {low} THEN ({c} - {low}) / ({high} - {low}) WHEN {c} > 0 THEN 1 ELSE 0 END, 0)"
+
+
+WEIGHTED = f"0.3::DOUBLE * {_scaled('dense_score')} + 0.7::DOUBLE * {_scaled('bm25_score')}"
+HYBRIDS = {
+    "hybrid_rrf": ({}, hybrid_sql(RRF)),
+    "hybrid_weighted": ({"fusion": "weighted", "alpha": 0.3}, hybrid_sql(WEIGHTED)),
+    "hybrid_require_bm25": ({"require_bm25_match": True}, hybrid_sql(RRF, where="bm25_rank IS NOT NULL")),
+    "hybrid_bm25_only": ({"dense_k": 0}, hybrid_sql(RRF, dense=False)),
+    "hybrid_dense_only": ({"bm25_k": 0}, hybrid_sql(RRF, lexical=False)),
+    "hybrid_final_k": ({"final_k": 5}, hybrid_sql(RRF, limit=5)),
+    "hybrid_rrf_weights": ({"dense_weight": 2.0, "bm25_weight": 0.5, "rrf_k": 10}, hybrid_sql("coalesce(2.0::DOUBLE / (10 + dense_rank), 0) + coalesce(0.5::DOUBLE / (10 + bm25_rank), 0)")),
+    "hybrid_auto_budget": ({"dense_k": None, "bm25_k": None}, hybrid_sql(RRF, dense_k=160, bm25_k=160)),
+}
+
+
+def hybrid_result(spark: SparkSession, sf_dir: str, **options: object) -> DataFrame:
+    docs = hybrid_docs(spark, sf_dir)
+    options = {"dense_k": 50, "bm25_k": 50} | options
+    vector = first_vector(scaled(spark, sf_dir), 7)
+    return hybrid_search(docs, HybridQuery(vector, TEXT, **options), limit=20)
+
+
+for _name, (_options, _sql) in HYBRIDS.items():
+
+    def _hybrid(spark: SparkSession, sf_dir: str, options: dict = _options) -> DataFrame:
+        return hybrid_result(spark, sf_dir, **options).select("id", "dense_rank", "bm25_rank", F.round("score", 6).alias("score"))
+
+    query(_sql, _name)(_hybrid)
+
+
+@query(
+    f"""WITH {SCALED}, qv AS (SELECT v AS q FROM scaled WHERE vec_id = 7), corpus AS (SELECT d.doc_id, s.v FROM documents d JOIN scaled s ON s.vec_id = d.doc_id)
+SELECT doc_id AS id, round(-{sql_distance("cosine", "v", "q")}, 6) + 0.0 AS score FROM corpus, qv ORDER BY round({sql_distance("cosine", "v", "q")}, 9), doc_id LIMIT 20"""
+)
+def hybrid_vector_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = hybrid_search(hybrid_docs(spark, sf_dir), HybridQuery(first_vector(scaled(spark, sf_dir), 7)), limit=20)
+    return found.select("id", (F.round("score", 6) + 0.0).alias("score"))
+
+
+@query(f"SELECT count(*) AS final, count(*) FILTER (dense_rank IS NOT NULL AND bm25_rank IS NOT NULL) AS both, count(*) FILTER (bm25_rank IS NULL) AS dense_only, count(*) FILTER (dense_rank IS NULL) AS bm25_only FROM ({hybrid_sql(RRF)})")
+def hybrid_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_stats(hybrid_result(spark, sf_dir))
+
+
+@query(
+    """WITH l AS (SELECT o_orderkey AS id, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders), m AS (SELECT l_orderkey AS id, row_number() OVER (ORDER BY count(*) DESC, l_orderkey) AS r FROM lineitem GROUP BY l_orderkey)
+SELECT id, round(coalesce(1.0::DOUBLE / (60 + l.r), 0) + coalesce(1.0::DOUBLE / (60 + m.r), 0), 9) AS score FROM l FULL JOIN m USING (id)"""
+)
+def rrf_of_rankings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    price = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.row_number().over(Window.orderBy(F.col("o_totalprice").desc(), "o_orderkey")).cast("bigint").alias("dense_rank"))
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).count()
+    many = lines.select("id", F.row_number().over(Window.orderBy(F.col("count").desc(), "id")).cast("bigint").alias("bm25_rank"))
+    return rrf_full_outer(price, many)
+
+
+@query(
+    f"""WITH {SCALED}, p AS (SELECT a.vec_id AS qid, b.vec_id AS docid, (a.label = b.label)::INT AS rel, round({sql_distance("l2", "b.v", "a.v")}, 9) AS d FROM scaled a, scaled b),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d, docid) AS rank FROM p), h AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rank) AS n FROM r WHERE rank <= 10 AND rel > 0),
+o AS (SELECT qid, sum(1 / log2(rank + 1)) AS dcg, count(*) AS found, min(rank) AS first, sum(n / rank) AS prec FROM h GROUP BY qid),
+i AS (SELECT qid, sum(rel) AS relevant FROM p GROUP BY qid), k AS (SELECT qid, relevant, (SELECT sum(1 / log2(x + 1)) FROM range(1, 11) t(x) WHERE x <= relevant) AS ideal FROM i)
+SELECT round(avg(coalesce(dcg / ideal, 0)), 6) AS ndcg, round(avg(coalesce(found / relevant, 0)), 6) AS recall, round(avg(coalesce(1 / first, 0)), 6) AS mrr, round(avg(coalesce(prec / relevant, 0)), 6) AS map, count(*) AS n_queries FROM k LEFT JOIN o USING (qid)"""
+)
+def ir_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = scaled(spark, sf_dir)
+    run = knn.knn_join(all_queries(e), e, 10).select(F.col("query_id").alias("qid"), F.col("vec_id").alias("docid"), "rank")
+    a, b = e.select(F.col("vec_id").alias("qid"), "label"), e.select(F.col("vec_id").alias("docid"), "label")
+    found = metrics.ir_metrics(run, a.join(b, "label").select("qid", "docid", F.lit(1).alias("rel")))
+    return found.select(*[F.round(c, 6).alias(c) for c in ("ndcg", "recall", "mrr", "map")], "n_queries")
+
+
+@query(
+    f"""WITH {SCALED}, c AS (SELECT v AS q FROM scaled WHERE vec_id = 0)
+SELECT vec_id, n_name, round({sql_distance("l2", "v", "q")}, 6) AS distance FROM scaled JOIN nation ON n_nationkey = vec_id % 25, c WHERE n_regionkey = 2 ORDER BY round({sql_distance("l2", "v", "q")}, 9), vec_id LIMIT 10"""
+)
+def knn_with_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = scaled(spark, sf_dir)
+    nations = table(spark, sf_dir, "nation").where("n_regionkey = 2")
+    rows = e.join(nations, F.col("vec_id") % 25 == F.col("n_nationkey"))
+    return knn.knn(rows, first_vector(e), 10).select("vec_id", "n_name", F.round("distance", 6).alias("distance"))
