@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.kernels import U, codepoints, fold_table, map_text, mix, powers
+from nearfield.llm.kernels import U, codepoints, fold_table, hashed_sample, map_text, mix, powers
 from nearfield.session import quoted
 
 #: Labelled documents that training uses at most.
@@ -126,7 +126,8 @@ class Attention:
         rng = np.random.default_rng(seed)
         self.rows, self.mean, self.deviation = rows, mean, deviation
         self.middle, self.spread = np.zeros(WORD_DIMENSIONS, np.float32), np.ones(WORD_DIMENSIONS, np.float32)
-        wide = WORD_DIMENSIONS + len(mean)
+        self.lean = np.zeros((words + 1, len(HEADS)), np.float32)  # of each known word; a passage's extremes are features
+        wide = WORD_DIMENSIONS + len(mean) + 2 * len(HEADS)
         init = lambda *shape: (rng.standard_normal(shape) / np.sqrt(shape[0])).astype(np.float32)
         self.p = {"E": np.zeros((words + 1, WORD_DIMENSIONS), np.float32), "W": init(wide, HIDDEN), "b": np.zeros(HIDDEN, np.float32)}
         for k in HEADS:
@@ -138,12 +139,16 @@ class Attention:
         for k in range(1, row.shape[1]):
             e += self.p["E"][row[:, k]]
         x = np.zeros((len(bags.doc), WORD_DIMENSIONS), np.float32)
+        ends = np.zeros((len(bags.doc), 2 * len(HEADS)), np.float32)
         count = np.diff(bags.at)
         some = count > 0
         if some.any():
-            x[some] = np.add.reduceat(e, bags.at[:-1][some], axis=0)
+            first = bags.at[:-1][some]
+            x[some] = np.add.reduceat(e, first, axis=0)
+            own = self.lean[row].reshape(len(row), -1, len(HEADS))
+            ends[some] = np.concatenate([np.maximum.reduceat(own.max(1), first, axis=0), np.minimum.reduceat(own.min(1), first, axis=0)], axis=1)
         scale = 1 / np.sqrt(np.maximum(count, 1)).astype(np.float32)
-        x = np.concatenate([(x * scale[:, None] - self.middle) / self.spread, np.clip((bags.surface - self.mean) / self.deviation, -5, 5)], axis=1)
+        x = np.concatenate([(x * scale[:, None] - self.middle) / self.spread, np.clip((bags.surface - self.mean) / self.deviation, -5, 5), ends], axis=1)
         return row, scale, x, np.maximum(x @ self.p["W"] + self.p["b"], 0)
 
     def attend(self, k: str, h: np.ndarray, first: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -206,7 +211,7 @@ def fitted(texts: list, target: dict[str, np.ndarray], epochs: int = 12, batch:
     surface = np.concatenate([bags[k].surface for k in used]) if used else np.zeros((1, 9), np.float32)
     model = Attention(rows, surface.mean(0), surface.std(0) + np.float32(1e-3), len(known), seed)
     for d, k in enumerate(HEADS):
-        model.p["E"][1:, d] = leaning(bags, used, target[k], known)
+        model.lean[1:, d] = model.p["E"][1:, d] = leaning(bags, used, target[k], known)
     if used:
         x = np.concatenate([model.encode(bags[k])[2][:, : len(HEADS)] for k in used])
         model.middle[: len(HEADS)], model.spread[: len(HEADS)] = x.mean(0), x.std(0) + np.float32(1e-3)
@@ -241,7 +246,7 @@ def fitted(texts: list, target: dict[str, np.ndarray], epochs: int = 12, batch:
 
 
 def leaning(bags: list[Bags], used: list[int], target: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """For each known word, how surely (in standard errors over 3) texts of either class have it more often; 0 below 2 errors."""
+    """For each known word, how surely (in standard errors over 3) texts of either class have it more often; 0 below 3 errors."""
     with_word = np.zeros((2, 1 << BUCKET_BITS))
     size = np.zeros(2)
     for k in used:
@@ -251,7 +256,7 @@ def leaning(bags: list[Bags], used: list[int], target: np.ndarray, known: np.nda
     a, b = with_word[1][known] + 0.5, with_word[0][known] + 0.5
     rest_a, rest_b = size[1] - a + 1, size[0] - b + 1
     z = np.log(a / rest_a * rest_b / b) / np.sqrt(1 / a + 1 / rest_a + 1 / b + 1 / rest_b)
-    return np.where(np.abs(z) > 2, np.clip(z / 3, -3, 3), 0).astype(np.float32)
+    return np.where(np.abs(z) > 3, np.clip(z / 3, -3, 3), 0).astype(np.float32)
 
 
 def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Attention | None:
@@ -262,7 +267,7 @@ def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: st
     """
     key = F.col("doc_id").cast("bigint")
     rows = labels.groupBy(key.alias("id")).agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic")).where("id is not null and quality is not null and toxic is not null")
-    known = {r["id"]: r for r in rows.orderBy(F.xxhash64("id"), "id").limit(sample).collect()}
+    known = {r["id"]: r for r in hashed_sample(rows, sample).collect()}
     if not known:
         return None
     of = F.col(quoted(id_col)).cast("bigint")
