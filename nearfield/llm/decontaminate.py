@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.kernels import U, folded, map_text, mix
+from nearfield.llm.kernels import U, folded, fresh, map_text, mix
 from nearfield.session import quoted
 
 SPACE, BREAK = 32, 1
@@ -183,7 +183,7 @@ def matches(docs: DataFrame, found: tuple[WuManber, np.ndarray] | None, id_col:
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: object) -> DataFrame:
     """The rows of docs in which contamination() finds nothing, columns unchanged. Null and empty texts stay."""
-    key = "__text_key"
+    key, match = fresh(docs, "__text_key"), fresh(docs, "__found")
     keyed = docs.withColumn(key, F.xxhash64(F.col(quoted(text_col)).cast("string")))
-    found = contamination(keyed, benchmark, id_col=key, text_col=text_col, **options).select(F.col("doc_id").alias("__found")).distinct()
-    return keyed.join(found, F.col(key) == F.col("__found"), "left_anti").drop(key)
+    found = contamination(keyed, benchmark, id_col=key, text_col=text_col, **options).select(F.col("doc_id").alias(match)).distinct()
+    return keyed.join(found, F.col(key) == F.col(match), "left_anti").drop(key)

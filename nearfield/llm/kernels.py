@@ -53,6 +53,14 @@ def slices(batches: Iterator[pa.RecordBatch], slice_chars: int = SLICE_CHARS) ->
                 yield tuple(c[begin:] for c in columns)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit words."""
     x = x ^ (x >> U(30))

@@ -21,13 +21,14 @@ CHAR_BITS = U(18)
 
 def spectrum(texts: list) -> tuple[np.ndarray, np.ndarray]:
     """(keys, text) of all 1-, 2- and 3-grams of lower-case letters and digits within words, the blanks around words included."""
-    f, starts = folded(texts, " \n ")
+    f, starts = folded(["", *texts], " \n ")  # so that the first word too has a blank before it
     keep = f != 0
     keep[1:] |= keep[:-1].copy()
+    keep[0] = True
     f, place = f[keep].astype(np.uint64), np.flatnonzero(keep)
     if len(f) < 2:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    of = np.searchsorted(starts, place, "right") - 1
+    of = np.searchsorted(starts, place, "right") - 2
     letter = f != 0
     one = np.flatnonzero(letter)
     two = np.flatnonzero(letter[1:])  # what ends a word before the pair is its blank

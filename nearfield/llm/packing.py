@@ -37,7 +37,7 @@ def token_counts(texts: list) -> np.ndarray:
     from nearfield.llm.kernels import fold_table
 
     parts = [t or "" for t in texts]
-    starts = np.concatenate([[0], np.cumsum([len(t) + 1 for t in parts])])
+    starts = np.concatenate([[0], np.cumsum([len(t) + 1 for t in parts], dtype=np.int64)])
     cp = codepoints("\n".join(parts) + "\n")
     table, space = fold_table(), spaces()
     kind = np.where(table[np.minimum(cp, len(table) - 1)] != 0, 1, 2).astype(np.int8)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.kernels import U, codepoints, fold_table, hashed_sample, map_text, mix, powers
+from nearfield.llm.kernels import U, codepoints, fold_table, fresh, hashed_sample, map_text, mix, powers
 from nearfield.session import quoted
 
 #: Labelled documents that training uses at most.
@@ -308,7 +308,7 @@ def classified(docs: DataFrame, labels: DataFrame, least_quality: float = 0.5, m
 
 def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: object) -> DataFrame:
     """The rows of docs that classified() keeps, columns unchanged. Equal texts share a decision."""
-    key = "__text_key"
+    key, rejected = fresh(docs, "__text_key"), fresh(docs, "__rejected")
     keyed = docs.withColumn(key, F.xxhash64(F.col(quoted(text_col)).cast("string")))
-    reject = classified(keyed, labels, id_col=id_col, text_col=text_col, key_col=key, **options).where("not keep").select(F.col("doc_id").alias("__rejected")).distinct()
-    return keyed.join(reject, F.col(key) == F.col("__rejected"), "left_anti").drop(key)
+    reject = classified(keyed, labels, id_col=id_col, text_col=text_col, key_col=key, **options).where("not keep").select(F.col("doc_id").alias(rejected)).distinct()
+    return keyed.join(reject, F.col(key) == F.col(rejected), "left_anti").drop(key)

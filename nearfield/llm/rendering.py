@@ -139,7 +139,10 @@ def tree(text: str) -> Node:
             barrier = frozenset() if tag == "table" else words("table") if tag in TABLE_PARTS else CELL_BARRIER
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == tag:
-                    del stack[k:]
+                    if tag in BLOCK or not any(x.tag in BLOCK for x in stack[k + 1 :]):
+                        del stack[k:]
+                    else:  # blocks inside stay open
+                        del stack[k]
                     break
                 if stack[k].tag in barrier:
                     break

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.kernels import map_text
+from nearfield.llm.kernels import fresh, map_text
 from nearfield.session import durable, quoted
 
 SHORTEST = 16
@@ -180,12 +180,12 @@ def threshold(bins: dict[int, int], m: int, rate: float) -> int:
 
 def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = MARK, **options: object) -> DataFrame:
     """All rows of docs, each secret in the text replaced by mark; n_chars, if there is one, follows. Columns unchanged."""
-    key, tokens = "__text_key", "__secrets"
+    key, of, tokens = (fresh(docs, c) for c in ("__text_key", "__key", "__secrets"))
     text = F.col(quoted(text_col))
     keyed = docs.withColumn(key, F.xxhash64(text.cast("string")))
     found = secrets(keyed, id_col=key, text_col=text_col, keep_tokens=True, **options)
-    found = found.groupBy(F.col("doc_id").alias("__key")).agg(F.collect_set(F.struct((-F.col("length")).alias("n"), "token")).alias(tokens))
-    joined = keyed.join(found, F.col(key) == F.col("__key"), "left")
+    found = found.groupBy(F.col("doc_id").alias(of)).agg(F.collect_set(F.struct((-F.col("length")).alias("n"), "token")).alias(tokens))
+    joined = keyed.join(found, F.col(key) == F.col(of), "left")
     clean = F.aggregate(F.array_sort(tokens), text, lambda t, s: F.replace(t, s["token"], F.lit(mark)))
     joined = joined.withColumn(text_col, F.when(F.col(tokens).isNull(), text).otherwise(clean))
     if "n_chars" in docs.columns:
