@@ -18,7 +18,7 @@ SHORTEST = 16
 FALSE_DISCOVERIES = 0.01
 RANDOMNESS_LEVEL = 0.001
 MARK = "[SECRET]"
-RUN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % SHORTEST)
+RUN = re.compile(r"[A-Za-z0-9+/_-]{%d,}" % SHORTEST)
 SYMBOLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_="
 #: Encodings in the order in which they are tried; each symbol's place is its value.
 ALPHABETS = {
