@@ -124,6 +124,8 @@ def windows(ids: list, texts: list, words: int, shortest: int) -> tuple[np.ndarr
 
 
 def searcher(ids: list, texts: list, words: int, shortest: int) -> tuple[WuManber, np.ndarray] | None:
+    if not ids:
+        return None
     texts = [f" {t}" if t else "" for t in texts]
     chars, begin, end, item = windows(ids, texts, words, shortest)
     if not len(begin):
