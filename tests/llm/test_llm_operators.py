@@ -1,0 +1,372 @@
+"""Operators on small tables: edge cases, and results against brute force."""
+
+import random
+import re
+from collections import defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from nearfield.llm import decontaminate, kernels, languages, lines, ngrams, packing, quality, rendering, secrets, simhash, tokens
+
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, id bigint, `__text_key` string, code string, `a.b` int"
+LONG = "word " * 200_000
+VOCABULARY = [a + b + c for a in ("ba", "ke", "lo", "mi", "nu", "tra") for b in ("da", "fe", "go", "ri", "su") for c in ("", "n", "st", "l")]
+
+
+def prose(rng, n):
+    return " ".join(rng.choice(VOCABULARY) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def edge(spark):
+    """Nulls in every column, empty, blank and very long texts, ties, repeated rows, clashing extra columns."""
+    rng = random.Random(1)
+    t = prose(rng, 80)
+    rows = [
+        (1, t, "en", "h", 5, 9, "x", "c", 1),
+        (1, t, "en", "h", 5, 9, "x", "c", 1),
+        (2, t, None, "h", None, None, None, None, None),
+        (3, None, "en", "h", 0, 1, "x", "c", 1),
+        (4, "", "en", None, 0, 1, "x", "c", 1),
+        (5, " \n\t", "de", "h", 3, 1, "x", "c", 1),
+        (None, "a row without id", "de", "h", 3, 1, "x", "c", 1),
+        (6, LONG, "en", "g", len(LONG), 1, "x", "c", 1),
+        (7, "?!.,", "de", "g", 4, 1, "x", "c", 1),
+        (8, "😀 日本語 é\0 x", "de", "g", 4, 1, "x", "c", 1),
+        (None, None, None, None, None, None, None, None, None),
+    ]
+    return spark.createDataFrame(rows, SCHEMA).cache()
+
+
+@pytest.fixture(scope="module")
+def none(edge):
+    return edge.limit(0)
+
+
+def labels_of(spark, rows):
+    return spark.createDataFrame(rows, "doc_id bigint, quality int, toxic int, text string")
+
+
+def ids(df):
+    return sorted((r.doc_id for r in df.collect()), key=lambda x: (x is None, x))
+
+
+EVERY = [1, 1, 2, 3, 4, 5, 6, 7, 8, None, None]
+
+
+def test_decontamination_edges(spark, edge, none):
+    bench = spark.createDataFrame([(1, prose(random.Random(1), 80), 3), (2, None, 1), (None, "a row without id", 1), (3, "", 1), (4, "a row without", 1), (5, "A ROW, without; id at all", 2), (6, "word word word word word", 3)], "item_id bigint, text string, doc_id int")
+    found = {(r.doc_id, r.item_id): r.n_windows for r in decontaminate.contamination(edge, bench).collect()}
+    assert found == {(1, 1): 73, (2, 1): 73, (6, 6): 1}
+    assert ids(decontaminate.clean(edge, bench)) == [3, 4, 5, 7, 8, None, None]
+    assert decontaminate.clean(edge, bench).columns == edge.columns
+    assert ids(decontaminate.clean(edge, bench.limit(0))) == EVERY
+    assert decontaminate.contamination(none, bench).count() == 0 and decontaminate.clean(none, bench).count() == 0
+    again = decontaminate.contamination(edge, bench, shard_chars=50)
+    assert {(r.doc_id, r.item_id): r.n_windows for r in again.collect()} == found
+
+
+def test_decontamination_is_substring_search(spark):
+    rng = random.Random(7)
+    items = [prose(rng, rng.randint(3, 40)) for _ in range(12)]
+    texts = []
+    for k in range(60):
+        parts = [prose(rng, rng.randint(0, 30))]
+        if k % 3 == 0:
+            w = rng.choice(items).split()
+            a = rng.randint(0, len(w) - 1)
+            parts.insert(rng.randint(0, 1), " ".join(w[a : a + rng.randint(4, 20)]).upper().replace(" ", ",  "))
+        texts.append(" ".join(parts))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    norm = lambda t: re.findall(r"[^\W_]+", t.lower())
+    want = {}
+    for i, item in enumerate(items):
+        w = norm(item)
+        n = min(8, len(w))
+        grams = {" " + " ".join(w[k : k + n]) + " " for k in range(len(w) - n + 1)} if len(w) >= 5 else set()
+        for d, t in enumerate(texts):
+            hits = sum(g in " " + " ".join(norm(t)) + " " for g in grams)
+            if hits:
+                want[d, i] = hits
+    assert {(r.doc_id, r.item_id): r.n_windows for r in decontaminate.contamination(docs, bench).collect()} == want and want
+
+
+def test_simhash_edges(edge, none):
+    found = {r.doc_id: r.group_id for r in simhash.near_duplicates(edge).collect()}
+    assert found == {1: 1, 2: 1}
+    kept = simhash.deduplicated(edge)
+    assert ids(kept) == [1, 3, 4, 5, 6, 7, 8, None, None] and kept.columns == edge.columns
+    assert simhash.groups(none).count() == 0 and simhash.deduplicated(none).count() == 0
+
+
+def test_simhash_recall_against_all_pairs(spark):
+    rng = random.Random(3)
+    texts = []
+    for _ in range(60):
+        t = prose(rng, rng.randint(60, 200)).split()
+        texts.append(" ".join(t))
+        for _ in range(rng.randint(0, 4)):
+            c = list(t)
+            for k in range(len(c)):
+                if rng.random() < 0.06:
+                    c[k] = rng.choice(VOCABULARY)
+            texts.append(" ".join(c))
+    texts += [prose(rng, 100) for _ in range(100)] + [texts[0]] * 5
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    code = {r.doc_id: (r.code, r.pair_code, r.other_pair_code) for r in simhash.codes(docs).collect()}
+    apart = lambda a, b: (a ^ b) % (1 << 64)
+    pairs = set()
+    for a in code:
+        for b in code:
+            if a < b:
+                d = [apart(x, y).bit_count() for x, y in zip(code[a], code[b], strict=True)]
+                if d[0] <= simhash.RADIUS and d[1] + d[2] <= simhash.CONFIRM_RADIUS:
+                    pairs.add((a, b))
+    group = {r.doc_id: r.group_id for r in simhash.near_duplicates(docs).collect()}
+    met = sum(a in group and group[a] == group.get(b) for a, b in pairs)
+    assert len(pairs) > 100 and met >= 0.95 * len(pairs)
+    parent = {i: i for i in code}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        parent[max(root(a), root(b))] = min(root(a), root(b))
+    assert all(root(a) == root(g) for a, g in group.items())
+    left = {r.doc_id for r in simhash.deduplicated(docs).collect()}
+    assert left == set(range(len(texts))) - {a for a, g in group.items() if a != g}
+
+
+def test_components_of_long_chains(spark):
+    edges = [(k, k + 1) for k in range(200)] + [(500, 400), (400, 450), (7, 7), (300, 301), (301, 300)]
+    got = {r.node: r.root for r in simhash.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    assert got == {**{k: 0 for k in range(1, 201)}, 500: 400, 450: 400, 301: 300} or got == {**{k: 0 for k in range(201)}, 500: 400, 450: 400, 400: 400, 301: 300, 300: 300}
+
+
+def test_token_shards_round_trip(spark, edge, none):
+    encoding = tokens.encoding_of(open(tokens.TOKENIZER, "rb").read())
+    shards = [r.asDict() for r in tokens.token_shards(edge, shard_tokens=300).collect()]
+    assert len(shards) > 1 and len({s["shard"] for s in shards}) == len(shards)
+    got = sorted(((i is None, i), tokens.document(s, k).tolist()) for s in shards for k, i in enumerate(s["doc_ids"]))
+    want = sorted(((r.doc_id is None, r.doc_id), encoding.encode_ordinary(r.text or "") + [tokens.END_OF_DOCUMENT]) for r in edge.collect())
+    assert got == want
+    for s in shards:
+        assert s["n_tokens"] == len(bytes(s["ids"])) // 2 == tokens.boundaries(s).all()[-1]
+    bare = [r.asDict() for r in tokens.token_shards(edge, end_of_document=None, width=4).collect()]
+    assert sum(s["n_docs"] for s in bare) == 11 and sum(s["n_tokens"] for s in bare) == sum(len(x) - 1 for _, x in want)
+    assert tokens.token_shards(none).count() == 0
+    with pytest.raises(ValueError, match="1 bytes"):
+        tokens.token_shards(edge, width=1)
+
+
+def test_language_edges(edge, none):
+    found = languages.identified(edge)
+    assert ids(found) == EVERY
+    assert {r.doc_id for r in found.where("language is null").collect() if r.doc_id} == {3, 4, 5, 7}
+    assert found.where("doc_id = 1").select("language").distinct().count() == 1
+    unlabelled = languages.identified(edge.withColumn("lang", F.lit(None).cast("string")))
+    assert unlabelled.where("language is not null or score is not null").count() == 0 and unlabelled.count() == 11
+    one = languages.identified(edge.withColumn("lang", F.lit("en")))
+    assert one.where("language = 'en' and margin is null").count() == one.where("language is not null").count() > 0
+    assert languages.identified(none).count() == 0
+
+
+def test_language_accuracy_held_out(spark):
+    rng, rows = random.Random(2), []
+    parts = {"a": ["sch", "ung", "ein", "der", "tz"], "b": ["tion", "the", "ing", "and", "wh"], "c": ["eau", "que", "les", "oi", "ment"]}
+    for k in range(600):
+        lang = "abc"[k % 3]
+        text = " ".join("".join(rng.choice(parts[lang]) for _ in range(rng.randint(1, 3))) for _ in range(12))
+        rows.append((k, text, lang if k < 150 else None))
+    got = languages.identified(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    right = sum(r.language == "abc"[r.doc_id % 3] for r in got.collect() if r.doc_id >= 150)
+    assert right / 450 > 0.98
+
+
+def test_lm_edges(edge, none):
+    found = ngrams.scored(edge)
+    rows = found.collect()
+    assert ids(found) == EVERY
+    by = {r.doc_id: r for r in rows if r.doc_id}
+    assert by[3].n_bytes == by[4].n_bytes == 0 and by[3].bits_per_byte is None and by[4].log2_probability == 0
+    assert by[6].n_bytes == len(LONG) and by[6].bits_per_byte < by[8].bits_per_byte
+    assert ngrams.scored(none).count() == 0
+    assert ngrams.scored(edge.where("text is null")).select("bits_per_byte").distinct().collect() == [(None,)]
+
+
+def test_lm_counts_every_document(edge):
+    want = defaultdict(int)
+    for r in edge.collect():
+        raw = b"\0" * 4 + (r.text or "").encode("utf-8", "surrogatepass")
+        for k in range(4, len(raw)):
+            want[int.from_bytes(raw[k - 4 : k + 1], "big")] += 1
+    assert {r.gram: r.n for r in ngrams.counted(edge).collect()} == want
+
+
+def line_rows(spark):
+    rng = random.Random(5)
+    often = ["All rights reserved.", "Click  here!", "LOGIN"]
+    rows = []
+    for k in range(200):
+        own = [prose(rng, rng.randint(1, 9)) for _ in range(rng.randint(0, 4))]
+        own += [x.upper() if rng.random() < 0.3 else x for x in often if rng.random() < 0.4] + ["", "--"]
+        rng.shuffle(own)
+        rows.append((rng.choice([k, k, k, 7, None]), None if rng.random() < 0.03 else "\n".join(own), rng.choice(["h", "g", None])))
+    return rows
+
+
+def test_lines_against_brute_force(spark):
+    rows = line_rows(spark)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    norm = lambda t: " ".join(re.findall(r"[^\W_]+", t.lower()))
+    seen = defaultdict(set)
+    for i, t, h in rows:
+        for x in (t or "").split("\n"):
+            if i is not None and norm(x):
+                seen[h, norm(x)].add(i)
+    often = {k for k, v in seen.items() if len(v) > 10}
+    want = []
+    for i, t, h in rows:
+        parts = t.split("\n") if t else []
+        kept = [x for x in parts if (h, norm(x)) not in often]
+        all_of, left = (sum(len(norm(x).split()) for x in p) for p in (parts, kept))
+        gone = len(parts) - len(kept)
+        want.append((i, "\n".join(kept) if t else t, len(parts), gone, gone == 0 or (left > 0 and left >= 0.5 * all_of)))
+    key = lambda r: tuple((x is None, x) for x in r)
+    for most_sent in (lines.MOST_SENT, 0):
+        got = [tuple(r) for r in lines.cleaned(docs, most_sent=most_sent).collect()]
+        assert sorted(got, key=key) == sorted(want, key=key)
+    assert often and any(not w[4] for w in want)
+
+
+def test_lines_edges(edge, none):
+    found = lines.cleaned(edge)
+    assert ids(found) == EVERY and found.where("not keep").count() == 0
+    assert {r.doc_id: r.n_lines for r in found.collect() if r.doc_id in (3, 4, 5)} == {3: 0, 4: 0, 5: 2}
+    assert lines.cleaned(none).count() == 0 and lines.cleaned(none, most_sent=-1).count() == 0
+
+
+def marked(n, seed):
+    """(text, quality, toxic): junk repeats a word, toxic ones hold a slur in one place."""
+    rng, out = random.Random(seed), []
+    for k in range(n):
+        words = prose(rng, rng.randint(20, 120)).split()
+        good, toxic = int(k % 5 != 0), int(k % 4 == 0)
+        if not good:
+            words = [rng.choice(words)] * len(words)
+        if toxic:
+            words[rng.randint(0, len(words) - 1)] = rng.choice(["vermingtok", "vermingtas", "scumbag"])
+        out.append((" ".join(words), good, toxic))
+    return out
+
+
+def test_quality_held_out(spark):
+    data = marked(900, 1)
+    docs = spark.createDataFrame([(k, t) for k, (t, _, _) in enumerate(data)], "doc_id bigint, text string")
+    labels = labels_of(spark, [(k, q, x, None) for k, (_, q, x) in enumerate(data[:600])])
+    got = {r.doc_id: r for r in quality.classified(docs, labels).collect()}
+    right = sum(got[k].keep == bool(q and not x) for k, (_, q, x) in list(enumerate(data))[600:])
+    assert right / 300 > 0.95
+
+
+def test_quality_edges(spark, edge, none):
+    labels = labels_of(spark, [(1, 1, 0, "clash"), (1, 1, 0, "clash"), (2, None, 0, None), (None, 1, 1, None), (3, 0, 0, None), (8, 0, 1, None), (7, 0, 0, None), (99, 1, 1, None)])
+    found = quality.classified(edge, labels)
+    assert ids(found) == EVERY
+    by = {r.doc_id: r for r in found.collect() if r.doc_id}
+    assert all(by[k].quality_score is None and not by[k].keep and by[k].n_passages == 0 for k in (3, 4))
+    assert by[6].n_passages == 12_500 and by[1].keep and by[5].quality_score is not None
+    kept = quality.accepted(edge, labels)
+    assert kept.columns == edge.columns and ids(kept).count(1) == 2
+    for unusable in (labels.limit(0), labels.where("doc_id = 99")):
+        open_ = quality.classified(edge, unusable)
+        assert {r.doc_id for r in open_.where("not keep").collect() if r.doc_id} == {3, 4}
+    assert quality.classified(none, labels).count() == 0 and quality.accepted(none, labels).count() == 0
+
+
+def test_html_edges(spark):
+    rows = [(1, "u", "<p>a", "x"), (1, "u", "<p>a", "x"), (None, None, None, None), (2, "v", "", "x"), (3, None, "<p>" + LONG, "x")]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string, text string")
+    got = {(r.page_id, r.url): (r.text, r.n_chars) for r in rendering.extracted(pages).collect()}
+    assert got[1, "u"] == ("a", 1) and got[None, None] == (None, None) and got[2, "v"] == ("", 0) and got[3, None][1] == len(LONG) - 1
+    assert rendering.extracted(pages).count() == 5 and rendering.extracted(pages.limit(0)).count() == 0
+
+
+def secret_rows():
+    rng, rows, planted = random.Random(9), [], {}
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    for k in range(300):
+        words = prose(rng, 60).split() + ["http2.camelCaseIdentifierName", "2024-01-01T00-00-00"]
+        if k % 6 == 0:
+            secret = "".join(rng.choice("0123456789abcdef" if k % 12 else alphabet) for _ in range(40))
+            words.insert(rng.randint(0, 60), f"key={secret}")
+            planted[k] = secret
+        rows.append((k, " ".join(words), 0))
+    return rows, planted
+
+
+def test_secrets_found_and_redacted(spark):
+    rows, planted = secret_rows()
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, n_chars bigint")
+    found = secrets.secrets(docs, keep_tokens=True).collect()
+    got = {r.doc_id for r in found if r.doc_id in planted and planted[r.doc_id] in r.token or r.token in planted.get(r.doc_id, "")}
+    assert len(got) >= 0.95 * len(planted)
+    assert sum(r.doc_id not in planted for r in found) <= 3
+    for r in found:
+        assert rows[r.doc_id][1][r.position : r.position + r.length] == r.token
+    clean = {r.doc_id: r for r in secrets.redacted(docs).collect()}
+    assert len(clean) == 300
+    for r in found:
+        assert r.token not in clean[r.doc_id].text and secrets.MARK in clean[r.doc_id].text and clean[r.doc_id].n_chars == len(clean[r.doc_id].text)
+    untouched = set(clean) - {r.doc_id for r in found}
+    assert all(clean[k].text == rows[k][1] and clean[k].n_chars == 0 for k in untouched)
+
+
+def test_secrets_edges(edge, none):
+    assert secrets.secrets(none).count() == 0 and secrets.redacted(none).count() == 0
+    assert secrets.secrets(edge).count() == 0
+    same = secrets.redacted(edge)
+    assert same.columns == edge.columns and same.schema == edge.schema and ids(same) == EVERY
+    assert sorted(map(repr, same.collect())) == sorted(map(repr, edge.collect()))
+
+
+def test_packing_covers_every_token(spark, edge, none):
+    rng = random.Random(4)
+    rows = [(k, prose(rng, rng.randint(0, 90))) for k in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").unionByName(edge.select("doc_id", "text"))
+    got = packing.packed(docs, 128).orderBy("pack_id").collect()
+    assert [r.pack_id for r in got] == list(range(len(got)))
+    assert all(r.n_tokens == 128 for r in got[:-1]) and 0 < got[-1].n_tokens <= 128
+    spans = defaultdict(list)
+    for r in got:
+        assert r.n_docs == len(r.doc_ids) == len(r.begins) and r.n_tokens == sum(r.ends) - sum(r.begins)
+        for i, a, b in zip(r.doc_ids, r.begins, r.ends, strict=True):
+            spans[i].append((a, b))
+    want = defaultdict(int)
+    for r in docs.collect():
+        want[r.doc_id] += int(packing.token_counts([r.text])[0])
+    assert {i: sum(b - a for a, b in s) for i, s in spans.items()} == {i: n for i, n in want.items() if n}
+    again = [r.doc_ids for r in packing.packed(docs.repartition(7), 128).orderBy("pack_id").collect()]
+    assert again == [r.doc_ids for r in got]
+    assert packing.packed(none).count() == 0
+    assert packing.packed(edge.where("text is null or text = ''")).count() == 0
+
+
+def test_packing_keeps_neighbours_together(spark):
+    rng = random.Random(6)
+    kinds = [[rng.choice(VOCABULARY) for _ in range(6)] for _ in range(8)]
+    rows = [(k, " ".join(rng.choice(kinds[k % 8]) for _ in range(64))) for k in range(256)]
+    got = packing.packed(spark.createDataFrame(rows, "doc_id bigint, text string"), 256).collect()
+    kinds_in = np.mean([len({i % 8 for i in r.doc_ids}) for r in got])
+    assert kinds_in < 2.8  # four documents drawn at random hold 3.3 kinds
+
+
+def test_sampling_is_about_n_rows(spark):
+    rows = spark.range(20_000).toDF("doc_id")
+    n = kernels.hashed_sample(rows, 500).count()
+    assert 450 <= n <= 500 and kernels.hashed_sample(rows.limit(30), 500).count() == 30
