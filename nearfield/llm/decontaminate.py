@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.kernels import U, folded, fresh, map_text, mix
+from nearfield.llm.kernels import U, filter_text, folded, map_text, mix
 from nearfield.session import quoted
 
 SPACE, BREAK = 32, 1
@@ -154,16 +156,21 @@ def contamination(
     characters, and the documents are read once for each shard, so that what is
     sent out stays bounded while the benchmark grows.
     """
+    out = None
+    for found in searchers(benchmark, words, shortest, item_col, item_text_col, shard_chars):
+        part = matches(docs, found, id_col, text_col)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def searchers(benchmark: DataFrame, words: int, shortest: int, item_col: str, item_text_col: str, shard_chars: int) -> Iterator[tuple[WuManber, np.ndarray] | None]:
+    """A search structure for each shard of the benchmark."""
     items = benchmark.select(F.col(quoted(item_col)).cast("bigint").alias("item"), F.col(quoted(item_text_col)).cast("string").alias("text")).where("item is not null and text is not null")
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, -(-int(total) // shard_chars))
-    out = None
     for k in range(n):
         part = (items if n == 1 else items.where(F.pmod(F.xxhash64("item"), F.lit(n)) == k)).collect()
-        found = searcher([r["item"] for r in part], [r["text"] for r in part], words, shortest)
-        part = matches(docs, found, id_col, text_col)
-        out = part if out is None else out.unionByName(part)
-    return out
+        yield searcher([r["item"] for r in part], [r["text"] for r in part], words, shortest)
 
 
 def matches(docs: DataFrame, found: tuple[WuManber, np.ndarray] | None, id_col: str, text_col: str) -> DataFrame:
@@ -183,9 +190,22 @@ def matches(docs: DataFrame, found: tuple[WuManber, np.ndarray] | None, id_col:
     return map_text(docs, search, "doc_id bigint, item_id bigint, n_windows bigint", id_col, text_col)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: object) -> DataFrame:
-    """The rows of docs in which contamination() finds nothing, columns unchanged. Null and empty texts stay."""
-    key, match = fresh(docs, "__text_key"), fresh(docs, "__found")
-    keyed = docs.withColumn(key, F.xxhash64(F.col(quoted(text_col)).cast("string")))
-    found = contamination(keyed, benchmark, id_col=key, text_col=text_col, **options).select(F.col("doc_id").alias(match)).distinct()
-    return keyed.join(found, F.col(key) == F.col(match), "left_anti").drop(key)
+def clean(
+    docs: DataFrame, benchmark: DataFrame, words: int = WINDOW_WORDS, shortest: int = SHORTEST_ITEM, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", shard_chars: int = SHARD_CHARS
+) -> DataFrame:
+    """The rows of docs in which contamination() finds nothing, columns unchanged. Null and empty texts stay.
+
+    Rows are searched where they are, without a shuffle.
+    """
+    for found in searchers(benchmark, words, shortest, item_col, item_text_col, shard_chars):
+        if found is None:
+            continue
+
+        def accepts(texts: list, wm: WuManber = found[0]) -> np.ndarray:
+            chars, breaks = normal_form([f" {t}" if t else "" for t in texts])
+            keep = np.ones(len(texts), bool)
+            keep[np.searchsorted(breaks, wm.search(chars)[0])] = False
+            return keep
+
+        docs = filter_text(docs, accepts, text_col)
+    return docs

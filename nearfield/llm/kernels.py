@@ -36,6 +36,22 @@ def map_text(df: DataFrame, fn: Callable[[list, list], pa.RecordBatch | None], s
     return source.mapInArrow(run, schema)
 
 
+def filter_text(df: DataFrame, accepts: Callable[[list], np.ndarray], text_col: str = "text") -> DataFrame:
+    """The rows of df whose text is accepted, all columns as they are; rows stay where they are. accepts gets slices of texts, with None for nulls."""
+    ship(df.sparkSession)
+    at = next(k for k, c in enumerate(df.columns) if c.lower() == text_col.lower())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = batch.column(at).cast(pa.string())
+            masks = [accepts(texts) for _, texts in slices([pa.RecordBatch.from_arrays([text, text], ["id", "text"])])]
+            if masks:
+                yield batch.filter(pa.array(np.concatenate(masks)))
+
+    plain = df.toDF(*[f"c{k}" for k in range(len(df.columns))])  # names with dots can't be passed on
+    return plain.mapInArrow(run, plain.schema).toDF(*df.columns)
+
+
 def slices(batches: Iterator[pa.RecordBatch], slice_chars: int = SLICE_CHARS) -> Iterator[tuple[list, ...]]:
     """The columns (ids, texts and any more) in slices of about slice_chars characters of text."""
     for batch in batches:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.kernels import U, codepoints, fold_table, fresh, hashed_sample, map_text, mix, powers
+from nearfield.llm.kernels import U, codepoints, filter_text, fold_table, hashed_sample, map_text, mix, powers
 from nearfield.session import quoted
 
 #: Labelled documents that training uses at most.
@@ -281,7 +281,7 @@ def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: st
     return fitted(list(texts.values()), target)
 
 
-def classified(docs: DataFrame, labels: DataFrame, least_quality: float = 0.5, most_toxic: float = 0.5, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", key_col: str | None = None) -> DataFrame:
+def classified(docs: DataFrame, labels: DataFrame, least_quality: float = 0.5, most_toxic: float = 0.5, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, quality_score, toxic_score, n_passages, keep) for every row of docs.
 
     keep: quality_score >= least_quality and toxic_score < most_toxic. Null and
@@ -292,23 +292,27 @@ def classified(docs: DataFrame, labels: DataFrame, least_quality: float = 0.5, m
     model = trained(docs, labels, sample, id_col, text_col)
 
     def run(ids: list, texts: list) -> pa.RecordBatch:
-        n = len(ids)
-        passages_of, keep = np.zeros(n, np.int64), np.array([bool(t) for t in texts])
-        score, none = {k: np.zeros(n) for k in HEADS}, np.ones(n, bool)
-        if model is not None:
-            doc, many, found = model.scores(texts)
-            passages_of[doc], none[doc] = many, False
-            for k in HEADS:
-                score[k][doc] = found[k]
-            keep &= ~none & (score["quality"] >= least_quality) & (score["toxic"] < most_toxic)
+        score, passages_of, none, keep = judged(model, texts, least_quality, most_toxic)
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(score[k], pa.float64(), mask=none) for k in HEADS), pa.array(passages_of), pa.array(keep)], ["doc_id", "quality_score", "toxic_score", "n_passages", "keep"])
 
-    return map_text(docs, run, "doc_id bigint, quality_score double, toxic_score double, n_passages bigint, keep boolean", key_col or id_col, text_col)
+    return map_text(docs, run, "doc_id bigint, quality_score double, toxic_score double, n_passages bigint, keep boolean", id_col, text_col)
 
 
-def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: object) -> DataFrame:
-    """The rows of docs that classified() keeps, columns unchanged. Equal texts share a decision."""
-    key, rejected = fresh(docs, "__text_key"), fresh(docs, "__rejected")
-    keyed = docs.withColumn(key, F.xxhash64(F.col(quoted(text_col)).cast("string")))
-    reject = classified(keyed, labels, id_col=id_col, text_col=text_col, key_col=key, **options).where("not keep").select(F.col("doc_id").alias(rejected)).distinct()
-    return keyed.join(reject, F.col(key) == F.col(rejected), "left_anti").drop(key)
+def judged(model: Attention | None, texts: list, least_quality: float, most_toxic: float) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """Each head's scores, numbers of passages, which texts have no scores, which are kept."""
+    n = len(texts)
+    passages_of, keep = np.zeros(n, np.int64), np.array([bool(t) for t in texts])
+    score, none = {k: np.zeros(n) for k in HEADS}, np.ones(n, bool)
+    if model is not None:
+        doc, many, found = model.scores(texts)
+        passages_of[doc], none[doc] = many, False
+        for k in HEADS:
+            score[k][doc] = found[k]
+        keep &= ~none & (score["quality"] >= least_quality) & (score["toxic"] < most_toxic)
+    return score, passages_of, none, keep
+
+
+def accepted(docs: DataFrame, labels: DataFrame, least_quality: float = 0.5, most_toxic: float = 0.5, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that classified() keeps, columns unchanged. Rows are judged where they are, without a shuffle."""
+    model = trained(docs, labels, sample, id_col, text_col)
+    return filter_text(docs, lambda texts: judged(model, texts, least_quality, most_toxic)[3], text_col)
