@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from nearfield.operators.english import english_tokens
@@ -187,6 +187,22 @@ class Bm25Index:
         by = self.live(of_terms).withColumn("s", idf * tf_norm).groupBy("doc_id").agg(F.sum("s").alias("score"), F.collect_set("term").alias("found"))
         return by.where(matches(query, F.col("found"))).select("doc_id", F.round("score", 9).alias("score"))
 
+    def topk_many(self, queries: DataFrame, k: int, query_id: str = "query_id", terms_col: str = "terms") -> DataFrame:
+        """(query_id, doc_id, score, rank): the k best for each of many queries, given as arrays of terms of which any may match.
+
+        One join on the term serves all queries, and one aggregation all scores.
+        """
+        n, average = self.totals()
+        wanted = queries.select(F.col(query_id).alias("__q"), F.explode(F.array_distinct(terms_col)).alias("term"))
+        of_terms = self.postings.join(wanted.select("term").distinct(), "term", "left_semi")
+        df = of_terms.groupBy("term").agg(F.count("*").alias("__df"))
+        idf = F.log(F.lit(1.0) + (F.lit(float(n)) - F.col("__df") + 0.5) / (F.col("__df") + 0.5))
+        norm = F.lit(self.k1) * (F.lit(1 - self.b) + F.lit(self.b) * F.greatest(F.col("dl"), F.lit(1)) / F.lit(max(average, 1.0)))
+        score = idf * (F.col("tf") * F.lit(self.k1 + 1) / (F.col("tf") + norm))
+        hits = self.live(of_terms).join(wanted.join(df, "term"), "term").groupBy("__q", "doc_id").agg(F.round(F.sum(score), 9).alias("score"))
+        rank = F.row_number().over(Window.partitionBy("__q").orderBy(F.col("score").desc(), "doc_id"))
+        return hits.withColumn("rank", rank.cast("bigint")).where(F.col("rank") <= k).select(F.col("__q").alias(query_id), "doc_id", "score", "rank")
+
     def topk(self, query: str | Term | Op, k: int, quantized: bool = False) -> DataFrame:
         """(doc_id, score) of the k best; ties go by doc_id."""
         tree = parsed(query) if isinstance(query, str) else query

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearfield.operators.bm25 import Bm25Index
-from nearfield.operators.knn import METRICS, literal
+from nearfield.operators.knn import METRICS, knn_join, literal
 
 DEFAULT_K, DEFAULT_RRF_K, MOST_UNION = 400, 60, 100_000
 NO_RANK = 2147483647
@@ -145,6 +145,22 @@ def hybrid_search(
     return fuse(dense, lexical, query).orderBy(*fused_order()).limit(cut)
 
 
+def hybrid_search_many(docs: DataFrame, queries: DataFrame, k: int, index: Bm25Index | None = None, branch_k: int = DEFAULT_K, rrf_k: int = DEFAULT_RRF_K, metric: str = "cosine", query_id: str = "query_id", id_col: str = "doc_id", vec_col: str = "embedding", text_col: str = "text") -> DataFrame:
+    """(query_id, id, dense_rank, bm25_rank, score, rank) by reciprocal ranks, for many queries (query_id, query, terms) in one job."""
+    usable = docs.where(F.col(vec_col).isNotNull() & F.exists(vec_col, lambda x: x != 0)) if metric == "cosine" else docs.where(F.col(vec_col).isNotNull())
+    index = index or Bm25Index.of(usable, id_col, text_col)
+    dense = knn_join(queries, usable, branch_k, metric, query_id, "query", id_col, vec_col)
+    lexical = index.topk_many(queries, branch_k, query_id)
+    none = F.lit(None).cast("bigint")
+    parts = dense.select(query_id, F.col(id_col).alias("id"), F.col("rank").alias("dense_rank"), none.alias("bm25_rank"))
+    parts = parts.unionByName(lexical.select(query_id, F.col("doc_id").alias("id"), none.alias("dense_rank"), F.col("rank").alias("bm25_rank")))
+    union = parts.groupBy(query_id, "id").agg(F.max("dense_rank").alias("dense_rank"), F.max("bm25_rank").alias("bm25_rank"))
+    share = lambda r: F.coalesce(F.lit(1.0) / (F.lit(float(rrf_k)) + F.col(r)), F.lit(0.0))
+    fused = union.withColumn("score", F.round(share("dense_rank") + share("bm25_rank"), 9))
+    rank = F.row_number().over(Window.partitionBy(query_id).orderBy(*fused_order()))
+    return fused.withColumn("rank", rank.cast("bigint")).where(F.col("rank") <= k)
+
+
 def rrf_full_outer(dense: DataFrame, lexical: DataFrame, k: int = DEFAULT_RRF_K) -> DataFrame:
     """(id, score) by a full outer join of (id, dense_rank) and (id, bm25_rank); ties go by id."""
     both = dense.join(lexical, "id", "full_outer")

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from nearfield.functions import bits, dense, half, sparse
 from nearfield.functions import sql as sql_functions
 from nearfield.operators import aggregates, knn, metrics
-from nearfield.operators.bm25 import Bm25Index
+from nearfield.operators.bm25 import Bm25Index, simple_tokens
 from nearfield.operators.graph import GraphIndex
-from nearfield.operators.hybrid import HybridQuery, hybrid_search, rrf_full_outer, scan_stats
+from nearfield.operators.hybrid import HybridQuery, hybrid_search, hybrid_search_many, rrf_full_outer, scan_stats
 from nearfield.operators.ivf import IvfIndex
 from nearfield.operators.quantized import QuantizedIndex
 
@@ -531,6 +531,39 @@ for _name, (_options, _sql) in HYBRIDS.items():
     query(_sql, _name)(_hybrid)
 
 
+@query(
+    f"""WITH {POSTINGS.replace("{docs}", "documents")}, qt AS (SELECT DISTINCT item_id AS query_id, unnest(list_filter(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')) AS term FROM benchmark),
+df AS (SELECT term, count(*) AS df FROM post GROUP BY term),
+hit AS (SELECT query_id, doc_id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * (tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * greatest(dl, 1) / greatest(average, 1))))), 9) AS score
+FROM post JOIN df USING (term) JOIN qt USING (term), n GROUP BY query_id, doc_id)
+SELECT query_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY hit.score DESC, doc_id) AS rank FROM hit QUALIFY rank <= 10"""
+)
+def bm25_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), simple_tokens(F.col("text")).alias("terms"))
+    found = Bm25Index.of(table(spark, sf_dir, "documents")).topk_many(queries, 10)
+    return found.withColumn("score", F.round("score", 6))
+
+
+@query(
+    f"""WITH {SCALED}, corpus AS (SELECT d.doc_id, d.text, s.v FROM documents d JOIN scaled s ON s.vec_id = d.doc_id), {POSTINGS.replace("{docs}", "corpus")},
+q AS (SELECT item_id AS query_id, v AS q, list_filter(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '') AS t FROM benchmark JOIN scaled ON vec_id = item_id),
+qt AS (SELECT DISTINCT query_id, unnest(t) AS term FROM q), df AS (SELECT term, count(*) AS df FROM post GROUP BY term),
+hit AS (SELECT query_id, doc_id AS id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * (tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * greatest(dl, 1) / greatest(average, 1))))), 9) AS score
+FROM post JOIN df USING (term) JOIN qt USING (term), n GROUP BY query_id, doc_id),
+br AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS bm25_rank FROM hit QUALIFY bm25_rank <= 50),
+dd AS (SELECT query_id, doc_id AS id, round({sql_distance("cosine", "v", "q")}, 9) AS d FROM corpus, q),
+dr AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY d, id) AS dense_rank FROM dd QUALIFY dense_rank <= 50),
+g AS (SELECT query_id, id, dense_rank, bm25_rank, round({RRF}, 9) AS score FROM dr FULL JOIN br USING (query_id, id))
+SELECT query_id, id, dense_rank, bm25_rank, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY g.score DESC, CASE WHEN dense_rank IS NOT NULL AND bm25_rank IS NOT NULL THEN 0 ELSE 1 END,
+coalesce(dense_rank, 2147483647), coalesce(bm25_rank, 2147483647), id) AS rank FROM g QUALIFY rank <= 10"""
+)
+def hybrid_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), simple_tokens(F.col("text")).alias("terms"))
+    vectors = scaled(spark, sf_dir).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    found = hybrid_search_many(hybrid_docs(spark, sf_dir), items.join(vectors, "query_id"), 10, branch_k=50)
+    return found.withColumn("score", F.round("score", 6))
+
+
 @query(
     f"""WITH {SCALED}, qv AS (SELECT v AS q FROM scaled WHERE vec_id = 7), corpus AS (SELECT d.doc_id, s.v FROM documents d JOIN scaled s ON s.vec_id = d.doc_id)
 SELECT doc_id AS id, round(-{sql_distance("cosine", "v", "q")}, 6) + 0.0 AS score FROM corpus, qv ORDER BY round({sql_distance("cosine", "v", "q")}, 9), doc_id LIMIT 20"""
