@@ -259,11 +259,11 @@ def sparse_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(f"WITH {SPARSE} SELECT s.vec_id AS a, t.vec_id AS b, round(list_inner_product(s.v::DOUBLE[], t.v::DOUBLE[]), 6) AS ip FROM s, s t WHERE len([z FOR z IN list_zip(s.v, t.v) IF z[1] <> 0 AND z[2] <> 0]) > 0")
+@query(f"WITH {SPARSE} SELECT s.vec_id AS a, t.vec_id AS b, round(list_inner_product(s.v::DOUBLE[], t.v::DOUBLE[]), 6) + 0.0 AS ip FROM s, s t WHERE len([z FOR z IN list_zip(s.v, t.v) IF z[1] <> 0 AND z[2] <> 0]) > 0")
 def sparse_all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = thinned(spark, sf_dir)
     found = knn.sparse_products(s, s.withColumnRenamed("vec_id", "other_id"), "vec_id", "other_id", "embedding")
-    return found.select("a", "b", F.round("ip", 6).alias("ip"))
+    return found.select("a", "b", (F.round("ip", 6) + 0.0).alias("ip"))
 
 
 BITS = "b AS (SELECT vec_id, embedding, [CASE WHEN x > 0 THEN 1 ELSE 0 END FOR x IN embedding] AS f FROM embeddings), q AS (SELECT f AS q, embedding AS e FROM b WHERE vec_id = 0)"
