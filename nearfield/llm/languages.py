@@ -15,7 +15,9 @@ SAMPLE = 2000
 LANDMARKS = 96
 RIDGE = 1e-3
 #: Texts whose presence rows are multiplied at once hold this many cells at most.
-CELLS = 1 << 23
+CELLS = 1 << 22
+#: and this many characters, or one longer text.
+CHARS = 1 << 19
 CHAR_BITS = U(18)
 
 
@@ -79,11 +81,10 @@ class Kernel:
     """Presence kernels with the landmarks: k(x, y) = |G(x) & G(y)| / sqrt(|G(x)| |G(y)|) over the landmarks' n-grams."""
 
     def __init__(self, landmarks: list):
-        keys, _ = spectrum(landmarks)
-        vocabulary = np.unique(keys)
+        vocabulary = np.unique(np.concatenate([np.unique(spectrum([t])[0]) for t in landmarks]))
         self.columns = Columns(vocabulary)
         self.width = max(1, len(vocabulary))
-        rows = self.presence(landmarks)
+        rows = np.concatenate([self.presence([t]) for t in landmarks])
         self.size = np.sqrt(np.maximum(rows.sum(1), 1))
         self.landmarks = np.ascontiguousarray((rows / self.size[:, None]).T)
 
@@ -98,13 +99,19 @@ class Kernel:
 
     def __call__(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
         """Kernel values, a row for each text and a column for each landmark, and how many known n-grams each text has."""
-        step = max(1, CELLS // self.width)
         out, many = [np.zeros((0, self.landmarks.shape[1]), np.float32)], [np.zeros(0)]
-        for a in range(0, len(texts), step):
-            rows = self.presence(texts[a : a + step])
+        at = 0
+        while at < len(texts):
+            to = size = 0
+            for to in range(at + 1, len(texts) + 1):
+                size += len(texts[to - 1] or "")
+                if size >= CHARS or (to - at + 1) * self.width > CELLS:
+                    break
+            rows = self.presence(texts[at:to])
             n = rows.sum(1)
             out.append(rows @ self.landmarks / np.sqrt(np.maximum(n, 1))[:, None])
             many.append(n)
+            at = to
         return np.concatenate(out), np.concatenate(many)
 
 
