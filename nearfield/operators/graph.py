@@ -211,3 +211,7 @@ class GraphIndex:
     def delete(self, ids: DataFrame) -> GraphIndex:
         """Dead rows are found no more; their nodes stay until the next build."""
         return GraphIndex(self.rows.join(ids.select(self.id_col).distinct(), self.id_col, "left_anti"), self.graphs, self.metric, self.id_col, self.vec_col)
+
+    def stats(self) -> DataFrame:
+        """(shard, n_rows, graph_bytes)"""
+        return self.graphs.select("shard", F.size("ids").alias("n_rows"), F.length("graph").alias("graph_bytes"))

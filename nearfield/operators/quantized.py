@@ -117,3 +117,7 @@ class QuantizedIndex:
         gone = ids.select(F.col(self.id_col).alias("id")).distinct()
         rows = self.rows.join(gone, self.rows[self.id_col] == gone["id"], "left_anti")
         return QuantizedIndex(rows, self.codes.join(gone, "id", "left_anti"), self.dims, self.bits, self.metric, self.id_col, self.vec_col, self.seed)
+
+    def stats(self) -> DataFrame:
+        """(n_codes, code_bytes, bits, dims)"""
+        return self.codes.agg(F.count("*").alias("n_codes"), F.coalesce(F.sum(F.length("code")), F.lit(0)).alias("code_bytes"), F.lit(self.bits).alias("bits"), F.lit(self.dims).alias("dims"))

@@ -15,6 +15,7 @@ from nearfield.operators.graph import GraphIndex
 from nearfield.operators.hybrid import HybridQuery, hybrid_search, hybrid_search_many, rrf_full_outer, scan_stats
 from nearfield.operators.ivf import IvfIndex
 from nearfield.operators.quantized import QuantizedIndex
+from nearfield.operators.ranking import placed
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -156,7 +157,7 @@ def vector_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {SCALED} SELECT vec_id, row_number() OVER (ORDER BY v, vec_id) AS place FROM scaled")
 def vector_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scaled(spark, sf_dir).select("vec_id", F.row_number().over(Window.orderBy("embedding", "vec_id")).cast("bigint").alias("place"))
+    return placed(scaled(spark, sf_dir), [F.col("embedding"), F.col("vec_id")]).select("vec_id", "place")
 
 
 @query("SELECT vec_id, true AS same, len(embedding)::BIGINT AS dims FROM embeddings")
@@ -583,9 +584,9 @@ def hybrid_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT id, round(coalesce(1.0::DOUBLE / (60 + l.r), 0) + coalesce(1.0::DOUBLE / (60 + m.r), 0), 9) AS score FROM l FULL JOIN m USING (id)"""
 )
 def rrf_of_rankings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    price = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.row_number().over(Window.orderBy(F.col("o_totalprice").desc(), "o_orderkey")).cast("bigint").alias("dense_rank"))
-    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).count()
-    many = lines.select("id", F.row_number().over(Window.orderBy(F.col("count").desc(), "id")).cast("bigint").alias("bm25_rank"))
+    price = placed(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), "o_totalprice"), [F.col("o_totalprice").desc(), F.col("id")], "dense_rank").select("id", "dense_rank")
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.count("*").alias("n"))
+    many = placed(lines, [F.col("n").desc(), F.col("id")], "bm25_rank").select("id", "bm25_rank")
     return rrf_full_outer(price, many)
 
 

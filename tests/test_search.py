@@ -99,6 +99,15 @@ def test_ivf(rows, data, spark, tmp_path):
     assert [r.vec_id for r in IvfIndex.build(binary, 4, "hamming").search(q, 5, probes=4).collect()] == brute(flags, q, "l1")[:5]
 
 
+def test_places_in_a_total_order(spark):
+    from nearfield.operators.ranking import placed
+
+    df = spark.range(500).select((F.col("id") % 7).alias("k"), "id", F.lit("x").alias("other"))
+    got = [(r.place, r.k, r.id) for r in placed(df, [F.col("k").desc(), F.col("id")]).orderBy("place").collect()]
+    assert got == [(n + 1, k, i) for n, (k, i) in enumerate(sorted(((i % 7, i) for i in range(500)), key=lambda x: (-x[0], x[1])))]
+    assert placed(df.limit(0), [F.col("id")]).count() == 0
+
+
 def test_ivf_edges(spark):
     df = spark.createDataFrame([(1, 0, [0.0, 0.0]), (2, 0, None), (3, 0, [1.0, 1.0])], SCHEMA)
     assert sum(r.n for r in IvfIndex.build(df, 5, "cosine").stats().collect()) == 1
@@ -118,6 +127,7 @@ def test_quantized(rows, data, metric):
     assert [r.vec_id for r in index.search(q, 10, oversampling=60).collect()] == want
     picked = [i for i in brute(data, q, metric) if i % 7 == 3][:5]
     assert [r.vec_id for r in index.search(q, 5, oversampling=20, where=F.col("label") == 3).collect()] == picked
+    assert index.stats().first().n_codes == 600
     gone = index.delete(rows.where(F.col("vec_id") == want[0]))
     assert gone.search(q, 3, oversampling=60).first().vec_id == want[1]
 
