@@ -8,7 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nearfield.llm.kernels import fresh, map_text
@@ -19,6 +19,8 @@ FALSE_DISCOVERIES = 0.01
 RANDOMNESS_LEVEL = 0.001
 MARK = "[SECRET]"
 RUN = re.compile(r"[A-Za-z0-9+/_-]{%d,}" % SHORTEST)
+#: A run and its parts between '/', between '-' and '_', between all three, and between all signs.
+PARTS = [re.compile(r"[A-Za-z0-9%s]{%d,}" % (signs, SHORTEST)) for signs in ("+/_-", "+_-", "+/", "+", "")]
 SYMBOLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_="
 #: Encodings in the order in which they are tried; each symbol's place is its value.
 ALPHABETS = {
@@ -31,16 +33,17 @@ ALPHABETS = {
     "base62": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789",
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
     "base64url": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_",
+    "base64any": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_",
 }
 VALUES = {name: {c: k for k, c in enumerate(a)} for name, a in ALPHABETS.items()}
 #: Least evidence (natural log of a p-value) of the last bin and width of a bin.
 LOG_BINS, LOG_WIDTH = 4000, 0.05
 
 
-def encoding_of(token: str) -> str | None:
+def encoding_of(token: str) -> str:
     """The first alphabet that holds all of the token (without = padding)."""
     own = set(token)
-    return next((name for name, v in VALUES.items() if own <= v.keys()), None)
+    return next(name for name, v in VALUES.items() if own <= v.keys())
 
 
 def is_candidate(token: str) -> bool:
@@ -48,6 +51,19 @@ def is_candidate(token: str) -> bool:
     return bool(re.search(r"[0-9]", token) or re.search(r"[a-z][A-Z]", token))
 
 
+def candidates(run: str) -> list[tuple[int, str]]:
+    """(place, token) of the run and of its parts, each once."""
+    out = {}
+    for parts in PARTS:
+        for m in parts.finditer(run):
+            at, end = m.span()
+            while run[at] in "-_+/" and end - at > SHORTEST:
+                at += 1
+            if (at, end) not in out and is_candidate(run[at:end]):
+                out[at, end] = run[at:end]
+    return [(at, token) for (at, _), token in out.items()]
+
+
 def normal_tail(z: float) -> float:
     """P(N > z)."""
     return 0.5 * math.erfc(z / math.sqrt(2))
@@ -107,14 +123,9 @@ def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 continue
             count += np.bincount(np.frombuffer(t.encode("utf-8", "surrogatepass"), np.uint8), minlength=256)
             for m in RUN.finditer(t):
-                token = m.group().rstrip("=")
-                if len(token) < SHORTEST or not is_candidate(token):
-                    continue
-                while token[0] in "=-_+/" and len(token) > SHORTEST:
-                    token = token[1:]
-                encoding = encoding_of(token)
-                if encoding:
-                    rows.append((i, t.index(token, m.start()), token, encoding, *battery(token, encoding)))
+                for at, token in candidates(m.group()):
+                    encoding = encoding_of(token)
+                    rows.append((i, m.start() + at, token, encoding, *battery(token, encoding)))
         cols = list(zip(*rows, strict=True)) or [()] * 8
         n = len(cols[0])
         types = [pa.int64(), pa.int64(), pa.string(), pa.string(), *[pa.float64()] * 4]
@@ -135,7 +146,9 @@ def secrets(docs: DataFrame, false_discoveries: float = FALSE_DISCOVERIES, rando
     """(doc_id, position, length, encoding, p_uniform, p_runs, p_serial, p_random, log_p_text) of each secret; with keep_tokens also token.
 
     Candidates are runs of SHORTEST base64 symbols at least that hold a digit or a
-    capital after a small letter. The smallest alphabet that holds one is its
+    capital after a small letter, and as well their parts between '/', '-', '_' and
+    '+', as these also join secrets to words and paths. Each is a test of its own and
+    a row of its own, so rows of one run may overlap. The smallest alphabet that holds one is its
     encoding. It must look like a random draw from that alphabet: chi-squared
     uniformity, runs and serial correlation, combined by Fisher's method, don't
     reject that at randomness_level. And it must not look like text: the ratio of
@@ -178,15 +191,28 @@ def threshold(bins: dict[int, int], m: int, rate: float) -> int:
     return best
 
 
+def united(spans: Column) -> Column:
+    """Ascending spans (at, end) with those that overlap made one."""
+
+    def add(out: Column, s: Column) -> Column:
+        last = F.element_at(out, -1)
+        wider = F.struct(last["at"].alias("at"), F.greatest(last["end"], s["end"]).alias("end"))
+        return F.when(s["at"] < last["end"], F.concat(F.slice(out, 1, F.size(out) - 1), F.array(wider))).otherwise(F.concat(out, F.array(s)))
+
+    return F.aggregate(F.slice(spans, 2, F.size(spans)), F.slice(spans, 1, 1), add)
+
+
 def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = MARK, **options: object) -> DataFrame:
     """All rows of docs, each secret in the text replaced by mark; n_chars, if there is one, follows. Columns unchanged."""
     key, of, tokens = (fresh(docs, c) for c in ("__text_key", "__key", "__secrets"))
     text = F.col(quoted(text_col))
     keyed = docs.withColumn(key, F.xxhash64(text.cast("string")))
     found = secrets(keyed, id_col=key, text_col=text_col, keep_tokens=True, **options)
-    found = found.groupBy(F.col("doc_id").alias(of)).agg(F.collect_set(F.struct((-F.col("length")).alias("n"), "token")).alias(tokens))
+    found = found.groupBy(F.col("doc_id").alias(of)).agg(F.array_sort(F.collect_set(F.struct(F.col("position").alias("at"), (F.col("position") + F.col("length")).alias("end")))).alias(tokens))
     joined = keyed.join(found, F.col(key) == F.col(of), "left")
-    clean = F.aggregate(F.array_sort(tokens), text, lambda t, s: F.replace(t, s["token"], F.lit(mark)))
+    own = lambda s: F.struct((s["at"] - s["end"]).alias("n"), F.substring(text, (s["at"] + 1).cast("int"), (s["end"] - s["at"]).cast("int")).alias("token"))
+    longest = F.array_sort(F.array_union(F.transform(tokens, own), F.transform(united(F.col(tokens)), own)))
+    clean = F.aggregate(longest, text, lambda t, s: F.replace(t, s["token"], F.lit(mark)))
     joined = joined.withColumn(text_col, F.when(F.col(tokens).isNull(), text).otherwise(clean))
     if "n_chars" in docs.columns:
         joined = joined.withColumn("n_chars", F.when(F.col(tokens).isNull(), F.col("n_chars")).otherwise(F.length(text)).cast(docs.schema["n_chars"].dataType))

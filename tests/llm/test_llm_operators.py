@@ -327,6 +327,30 @@ def test_secrets_found_and_redacted(spark):
     assert all(clean[k].text == rows[k][1] and clean[k].n_chars == 0 for k in untouched)
 
 
+def test_secrets_joined_to_words_are_found_and_redacted(spark):
+    rng, rows, planted = random.Random(19), [], {}
+    hexes, base64 = "0123456789abcdef", secrets.ALPHABETS["base64"]
+    joins = [("key-", hexes, 40), ("api_key_", hexes, 40), ("v1/tokens/", hexes, 40), ("word+", hexes, 40), ("key-", base64, 48), ("a/", base64[:-2] + "-_", 48)]
+    for k in range(240):
+        words = prose(rng, 60).split()
+        if k % 4 == 0:
+            before, alphabet, n = joins[k // 4 % len(joins)]
+            planted[k] = "".join(rng.choice(alphabet) for _ in range(n))
+            words.insert(rng.randint(0, 60), before + planted[k])
+        rows.append((k, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    clean = {r.doc_id: r.text for r in secrets.redacted(docs).collect()}
+    for kind in range(len(joins)):
+        own = [k for k in planted if k // 4 % len(joins) == kind]
+        assert sum(planted[k] not in clean[k] and planted[k][-12:] not in clean[k] for k in own) >= 0.9 * len(own), joins[kind]
+    assert sum(clean[k] != rows[k][1] for k in clean if k not in planted) <= 2
+
+
+def test_overlapping_secrets_are_redacted_together(spark):
+    spans = spark.sql("SELECT array(named_struct('at', 3L, 'end', 20L), named_struct('at', 15L, 'end', 30L), named_struct('at', 16L, 'end', 18L), named_struct('at', 30L, 'end', 50L)) AS s")
+    assert [tuple(x) for x in spans.select(secrets.united(F.col("s"))).first()[0]] == [(3, 30), (30, 50)]
+
+
 def test_secrets_edges(edge, none):
     assert secrets.secrets(none).count() == 0 and secrets.redacted(none).count() == 0
     assert secrets.secrets(edge).count() == 0
