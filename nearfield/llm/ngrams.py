@@ -336,8 +336,8 @@ def scored(docs: DataFrame, order: int = ORDER, id_col: str = "doc_id", text_col
     bits_per_byte is null for texts without bytes; a null text counts as empty.
     Repeated rows count and are scored each.
 
-    The driver holds the distinct n-grams: their number follows the variety of the
-    corpus's languages, not its size.
+    The driver holds the distinct n-grams. Those of 5 bytes grow far slower than the
+    corpus (README), as no context is longer than order - 1 bytes.
     """
     spark = docs.sparkSession
     ship(spark)
