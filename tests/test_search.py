@@ -32,6 +32,18 @@ def brute(data, q, metric):
     return [int(i) for i in np.lexsort((np.arange(len(data)), np.round(d, 9)))]
 
 
+@pytest.mark.parametrize("metric", ["l2", "ip", "cosine", "l1"])
+def test_join_breaks_ties_of_copies_by_id(spark, metric):
+    v = [[0.1, 0.7, -0.3], [-0.5, 0.2, 0.9]]
+    ids = [int(i) for i in np.random.default_rng(3).permutation(700)]
+    df = spark.createDataFrame([(i, 0, v[i < 200]) for i in ids], SCHEMA).coalesce(1)
+    queries = spark.createDataFrame([(1, v[0]), (2, [0.0, 0.0, 0.0])], "query_id bigint, query array<float>")
+    found = knn.knn_join(queries, df, 5, metric).orderBy("query_id", "rank").collect()
+    zero = range(5) if metric in ("ip", "cosine") else range(200, 205)
+    assert [r.vec_id for r in found if r.query_id == 1] == [200, 201, 202, 203, 204]
+    assert [r.vec_id for r in found if r.query_id == 2] == list(zero)
+
+
 @pytest.mark.parametrize("metric", ["l2", "ip", "cosine", "l1"])
 def test_knn_and_join_match_brute_force(rows, data, metric):
     q = [float(x) for x in data[3]]
