@@ -102,6 +102,19 @@ def test_simhash_edges(edge, none):
     assert simhash.groups(none).count() == 0 and simhash.deduplicated(none).count() == 0
 
 
+def test_simhash_tables_find_nine_in_ten_direct_pairs_at_each_distance(spark):
+    rng, rows, distances = random.Random(12), [], (8, 9, 10, 11, 12)
+    for k in range(2500):
+        code = rng.getrandbits(64)
+        other = code ^ sum(1 << b for b in rng.sample(range(64), distances[k % 5]))
+        rows += [(2 * k + j, int(np.uint64(c).view(np.int64)), 0, 0) for j, c in enumerate((code, other))]
+    nodes = spark.createDataFrame(rows, "node bigint, code bigint, pair_code bigint, other_pair_code bigint")
+    links = simhash.links(nodes, simhash.RADIUS, simhash.CONFIRM_RADIUS, simhash.KEY_BITS, simhash.TABLES)
+    met = {r.b // 2 for r in links.collect() if r.a == r.b + 1 and r.b % 2 == 0}
+    for j, d in enumerate(distances):
+        assert sum(k % 5 == j for k in met) >= 0.9 * 500, d
+
+
 def test_simhash_recall_against_all_pairs(spark):
     rng = random.Random(3)
     texts = []
