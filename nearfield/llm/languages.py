@@ -78,24 +78,27 @@ class Columns:
 
 
 class Kernel:
-    """Presence kernels with the landmarks: k(x, y) = |G(x) & G(y)| / sqrt(|G(x)| |G(y)|) over the landmarks' n-grams."""
+    """Presence kernels with the landmarks: k(x, y) = |G(x) & G(y)| / sqrt(|G(x)| |G(y)|), G being all n-grams of a text."""
 
     def __init__(self, landmarks: list):
         vocabulary = np.unique(np.concatenate([np.unique(spectrum([t])[0]) for t in landmarks]))
         self.columns = Columns(vocabulary)
         self.width = max(1, len(vocabulary))
-        rows = np.concatenate([self.presence([t]) for t in landmarks])
+        rows = np.concatenate([self.presence([t])[0] for t in landmarks])
         self.size = np.sqrt(np.maximum(rows.sum(1), 1))
         self.landmarks = np.ascontiguousarray((rows / self.size[:, None]).T)
 
-    def presence(self, texts: list) -> np.ndarray:
+    def presence(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
+        """A row for each text with 1 for each landmarks' n-gram that it has, and how many other different n-grams it has."""
         out = np.zeros((len(texts), self.width), np.float32)
         keys, of = spectrum(texts)
-        if len(keys):
-            column = self.columns.find(keys)
-            known = column >= 0
-            out[of[known], column[known]] = 1
-        return out
+        if not len(keys):
+            return out, np.zeros(len(texts))
+        column = self.columns.find(keys)
+        known = column >= 0
+        out[of[known], column[known]] = 1
+        other = np.unique(mix(keys[~known]) ^ mix(of[~known].astype(np.uint64)), return_index=True)[1]
+        return out, np.bincount(of[~known][other], minlength=len(texts)).astype(np.float64)
 
     def __call__(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
         """Kernel values, a row for each text and a column for each landmark, and how many known n-grams each text has."""
@@ -107,9 +110,9 @@ class Kernel:
                 size += len(texts[to - 1] or "")
                 if size >= CHARS or (to - at + 1) * self.width > CELLS:
                     break
-            rows = self.presence(texts[at:to])
+            rows, others = self.presence(texts[at:to])
             n = rows.sum(1)
-            out.append(rows @ self.landmarks / np.sqrt(np.maximum(n, 1))[:, None])
+            out.append((rows @ self.landmarks / np.sqrt(np.maximum(n + others, 1))[:, None]).astype(np.float32))
             many.append(n)
             at = to
         return np.concatenate(out), np.concatenate(many)

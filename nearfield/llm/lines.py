@@ -68,6 +68,13 @@ def line_keys(texts: list, hosts: list) -> tuple[np.ndarray, np.ndarray, np.ndar
     return key, many, stop, of
 
 
+def among(key: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which keys are in a sorted array."""
+    if not len(known):
+        return np.zeros(len(key), bool)
+    return known[np.minimum(np.searchsorted(known, key), len(known) - 1)] == key
+
+
 def source(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> list:
     host = F.xxhash64(F.coalesce(F.col(quoted(host_col)).cast("string"), F.lit("\0")))
     return [F.col(quoted(id_col)).cast("bigint").alias("id"), F.col(quoted(text_col)).cast("string").alias("text"), host.alias("host")]
@@ -140,7 +147,7 @@ def cleaned(
 
         def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for ids, texts, hosts in slices(batches):
-                yield stripped(ids, texts, hosts, lambda key, of: np.isin(key, known), least_kept)
+                yield stripped(ids, texts, hosts, lambda key, of: among(key, known), least_kept)
 
         return rows.mapInArrow(sent, SCHEMA)
 

@@ -6,6 +6,8 @@ import html as entities
 import re
 import sys
 import unicodedata
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -15,22 +17,26 @@ from pyspark.sql import functions as F
 from nearfield.llm.kernels import slices
 from nearfield.session import quoted, ship
 
-#: Elements nested deeper than this are laid out as if they ended at once.
-DEEPEST = 300
-#: Columns of tables are aligned up to this width; a wider cell pushes the rest of its row.
-WIDEST = 60
-TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>|</([a-zA-Z][^\s/>]*+)[^>]*+>|<([a-zA-Z][^\s/>]*+)([^>"']*+(?:"[^"]*+"[^>"']*+|'[^']*+'[^>"']*+)*+)>|<([a-zA-Z][^\s/>]*+)([^>]*+)>""", re.S
-)
+#: Elements nested deeper than this are laid out as if they ended at once, as browsers do.
+DEEPEST = 512
+#: A table whose aligned form would have over so many blanks for each character, and over LEAST_PADDING, is aligned up to cells of WIDEST only.
+PADDING, LEAST_PADDING, WIDEST = 8, 1 << 16, 60
+COMMENT = re.compile(r"<!--.*?(?:-->|\Z)", re.S)
+OTHER = re.compile(r"<[!?][^>]*+>|</([a-zA-Z][^\s/>]*+)[^>]*+>", re.S)
+START = re.compile(r"<([a-zA-Z][^\s/>]*+)")
+MARKS = re.compile("[>\"']")
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]++)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]++)))?""", re.S)
 BLANKS = re.compile(r"[ \t\n\r\f]+")
 NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
+TELLING = re.compile("hidden|style", re.I)
 VISIBILITY = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)", re.I)
 
 words = lambda s: frozenset(s.split())
 VOID = words("area base br col embed hr img input link meta param source track wbr")
 RAW = words("script style textarea title xmp iframe noembed noframes")
-HIDDEN = words("head script style template noscript title iframe noembed noframes datalist object audio video canvas svg math rp area base link meta param source track")
+HIDDEN = words("head script style template noscript title iframe noembed noframes datalist audio video canvas rp area base link meta param source track annotation annotation-xml")
+#: What a drawing shows of its text.
+DRAWN = words("text foreignobject")
 IN_HEAD = words("base link meta title style script noscript template")
 #: Blocks with a blank line around them, and those that only begin a new line.
 SPACED = words("p h1 h2 h3 h4 h5 h6 ul ol dl menu dir blockquote pre xmp figure table hr fieldset")
@@ -65,10 +71,10 @@ class Node:
     def __init__(self, tag: str, raw: str = ""):
         self.tag, self.raw, self.children = tag, raw, []
         self.hidden, self.shown = tag in HIDDEN, None
-        if raw and ("hidden" in raw or "style" in raw or "type" in raw or "HIDDEN" in raw or "STYLE" in raw):
+        if raw and TELLING.search(raw):
             own = attributes(raw)
             style = own.get("style", "")
-            if "hidden" in own or NO_DISPLAY.search(style) or own.get("type", "").lower() == "hidden":
+            if "hidden" in own or NO_DISPLAY.search(style) or (tag == "input" and own.get("type", "").lower() == "hidden"):
                 self.hidden = True
             if found := VISIBILITY.findall(style):
                 self.shown = found[-1].lower() == "visible"
@@ -84,19 +90,70 @@ def attributes(raw: str) -> dict[str, str]:
     return out
 
 
+class Ends:
+    """Where start tags end: at the first '>' outside of quotes.
+
+    Every stretch of the text is looked at once at most for each kind of quote, as
+    places from which no tag ends are remembered.
+    """
+
+    def __init__(self, text: str):
+        self.text, self.at, self.dead = text, None, set()
+        self.last = text.rfind(">")
+
+    def of(self, begin: int) -> int:
+        """The place of the '>', or that of the first one at all if all are in quotes."""
+        gt = self.text.find(">", begin)
+        if not self.quoted(begin, gt):
+            return gt
+        if self.at is None:
+            self.at = [m.start() for m in MARKS.finditer(self.text)]
+            self.next = {}
+            after = {}
+            for k in range(len(self.at) - 1, -1, -1):  # the next mark of the same kind
+                c = self.text[self.at[k]]
+                self.next[k] = after.get(c)
+                after[c] = k
+        k, path = bisect_left(self.at, begin), []
+        while k < len(self.at) and k not in self.dead:
+            if self.text[self.at[k]] == ">":
+                return self.at[k]
+            path.append(k)
+            if self.next[k] is None:
+                break
+            k = self.next[k] + 1
+        self.dead.update(path)
+        if k < len(self.at):
+            self.dead.add(k)
+        return gt
+
+    def quoted(self, begin: int, end: int) -> bool:
+        return self.text.find('"', begin, end) >= 0 or self.text.find("'", begin, end) >= 0
+
+
 def tree(text: str) -> Node:
     """The document's tree, with the elements and ends that its tags imply."""
     root = Node("body")
     stack = [root]
+    open_: Counter = Counter()  # by tag
+    ends = Ends(text)
+
+    def cut(k: int) -> None:
+        """End all open elements from the k-th on."""
+        for x in stack[k:]:
+            open_[x.tag] -= 1
+        del stack[k:]
 
     def put_text(s: str) -> None:
         if stack[-1].tag == "head" and s.strip():
-            stack.pop()
+            cut(len(stack) - 1)
         if s:
             stack[-1].children.append(entities.unescape(s) if "&" in s else s)
 
     def close(wanted: frozenset, barrier: frozenset) -> None:
         """End the outermost open element of `wanted` above the barrier."""
+        if not any(open_[w] for w in wanted):
+            return
         found = 0
         for k in range(len(stack) - 1, 0, -1):
             tag = stack[k].tag
@@ -105,12 +162,13 @@ def tree(text: str) -> Node:
             elif tag in barrier:
                 break
         if found:
-            del stack[found:]
+            cut(found)
 
     def push(node: Node) -> None:
         stack[-1].children.append(node)
         if len(stack) < DEEPEST:
             stack.append(node)
+            open_[node.tag] += 1
 
     at, n = 0, len(text)
     while at < n:
@@ -118,15 +176,24 @@ def tree(text: str) -> Node:
         if begin < 0:
             put_text(text[at:])
             break
-        m = TOKEN.match(text, begin)
-        if not m:
+        end, tag, raw, stop = "", "", "", -1
+        if text.startswith("<!--", begin):
+            stop = COMMENT.match(text, begin).end()
+        elif begin < ends.last:
+            if m := OTHER.match(text, begin):
+                end, stop = m[1] or "", m.end()
+            elif m := START.match(text, begin):
+                stop = ends.of(m.end())
+                tag, raw = m[1].lower(), text[m.end() : stop]
+                stop += 1
+        if stop < 0:
             put_text(text[at : begin + 1])
             at = begin + 1
             continue
         if begin > at:
             put_text(text[at:begin])
-        at = m.end()
-        if end := m[1]:
+        at = stop
+        if end:
             tag = end.lower()
             if tag in ("html", "body"):
                 continue
@@ -136,41 +203,43 @@ def tree(text: str) -> Node:
             if tag in HEADINGS:  # any heading's end tag ends the open one
                 close(HEADINGS, CELL_BARRIER)
                 continue
+            if not open_[tag]:
+                continue
             barrier = frozenset() if tag == "table" else words("table") if tag in TABLE_PARTS else CELL_BARRIER
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == tag:
                     if tag in BLOCK or not any(x.tag in BLOCK for x in stack[k + 1 :]):
-                        del stack[k:]
+                        cut(k)
                     else:  # blocks inside stay open
+                        open_[tag] -= 1
                         del stack[k]
                     break
                 if stack[k].tag in barrier:
                     break
             continue
-        tag, raw = (m[2] or m[4] or "").lower(), m[3] if m[2] else m[5]
         if not tag or tag in ("html", "body"):
             continue
         if stack[-1].tag == "head" and tag not in IN_HEAD:
-            stack.pop()
+            cut(len(stack) - 1)
         if tag in ENDS:
             close(*ENDS[tag])
         elif tag in HEADINGS and stack[-1].tag in HEADINGS:
-            stack.pop()
+            cut(len(stack) - 1)
         if tag in CLOSES_P:
             close(words("p"), CELL_BARRIER | words("button"))
         if tag in ("td", "th") and stack[-1].tag in SECTIONS | {"table"}:
             push(Node("tr"))
         if tag in VOID:
-            stack[-1].children.append(Node(tag, raw or ""))
+            stack[-1].children.append(Node(tag, raw))
             continue
-        push(Node(tag, raw or ""))
+        push(Node(tag, raw))
         if tag in RAW:
             stop = re.compile(rf"</{tag}(?=[\s/>])[^>]*>|\Z", re.I).search(text, at)
             if stack[-1].tag == tag and tag in ("textarea", "xmp"):
                 own = text[at : stop.start()]
                 stack[-1].children.append(entities.unescape(own) if tag == "textarea" else own)
             if stack[-1].tag == tag:
-                stack.pop()
+                cut(len(stack) - 1)
             at = stop.end()
     return root
 
@@ -292,6 +361,11 @@ def lay(children: list, flow: Flow, shown: bool, pre: bool, depth: int) -> None:
         elif tag in ("pre", "xmp", "textarea"):
             lines = inside(c, shown, True, depth)
             flow.block(lines, 2 if tag != "textarea" else 1)
+        elif tag == "svg":
+            for x in drawn(c):
+                flow.text(" ", False)
+                lay(x.children, flow, own if x.shown is None else x.shown, pre, depth)
+                flow.text(" ", False)
         elif tag == "details" and "open" not in attributes(c.raw):
             flow.edge(1)
             lay([x for x in c.children if isinstance(x, Node) and x.tag == "summary"][:1], flow, own, pre, depth)
@@ -305,6 +379,16 @@ def lay(children: list, flow: Flow, shown: bool, pre: bool, depth: int) -> None:
             lay(c.children, flow, own, pre, depth)
 
 
+def drawn(node: Node) -> Iterator[Node]:
+    """The shown texts of a drawing."""
+    for c in node.children:
+        if isinstance(c, Node) and not c.hidden and c.tag not in ("defs", "desc", "metadata", "symbol"):
+            if c.tag in DRAWN:
+                yield c
+            else:
+                yield from drawn(c)
+
+
 def items(node: Node, shown: bool, pre: bool, depth: int) -> list[str]:
     """A list's lines: each item after its mark, its further lines below its first."""
     ordered = node.tag == "ol"
@@ -384,13 +468,26 @@ def table(node: Node, shown: bool, pre: bool) -> list[str]:
             column += across
         taken = {k: v - 1 for k, v in taken.items() if v > 1}
         grid.append(cells)
+    out = aligned(grid, None)
+    return above + (aligned(grid, WIDEST) if out is None else out)
+
+
+def aligned(grid: list[list[tuple[int, int, list[str]]]], most: int | None) -> list[str] | None:
+    """Rows of cells (column, columns, lines) in columns as wide as their widest cell.
+
+    Cells wider than most don't count and push the rest of their row; without most,
+    None if that took too many blanks.
+    """
+    full = [[c for c in cells if c[2]] for cells in grid]
+    if all(len(cells) < 2 for cells in full) and len({c[:2] for cells in full for c in cells}) < 2:  # one column needs no blanks
+        return [x for cells in full for c in cells for x in c[2]]
     width: dict[int, int] = {}
     for spanned in (False, True):
         for cells in grid:
             for column, across, lines in cells:
                 if (across > 1) != spanned:
                     continue
-                w = max((x for x in map(wide, lines) if x <= WIDEST), default=0)
+                w = max((x for x in map(wide, lines) if most is None or x <= most), default=0)
                 have = sum(width.get(k, 0) for k in range(column, column + across)) + 2 * (across - 1)
                 if w > have:
                     width[column + across - 1] = width.get(column + across - 1, 0) + w - have
@@ -399,7 +496,7 @@ def table(node: Node, shown: bool, pre: bool) -> list[str]:
     for k in used:
         start[k] = x
         x += width[k] + 2
-    out = []
+    out, blanks, size = [], 0, 0
     for cells in grid:
         for k in range(max((len(lines) for _, _, lines in cells), default=0)):
             line, at = [], 0
@@ -407,12 +504,15 @@ def table(node: Node, shown: bool, pre: bool) -> list[str]:
                 if k < len(lines) and lines[k]:
                     to = next((start[c] for c in range(column, column + across) if c in start), at)
                     pad = max(to - at, 2 if at else 0)
+                    blanks, size = blanks + pad, size + len(lines[k])
+                    if most is None and blanks > max(LEAST_PADDING, PADDING * size):
+                        return None
                     line.append(" " * pad + lines[k])
                     at += pad + wide(lines[k])
             out.append("".join(line))
     while out and not out[-1]:
         out.pop()
-    return above + out
+    return out
 
 
 def rendered(html: str | None) -> str | None:
@@ -430,15 +530,19 @@ def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
     text holds all that a browser shows with scripts on: what heads, scripts, styles,
     templates, noscript elements, hidden attributes, display: none, hidden
-    visibility, closed dialogs and closed details hold is left out; images, frames
-    and drawings have no text. Paragraphs, headings, lists, tables and quotations
+    visibility, closed dialogs and closed details hold is left out; images and
+    frames have no text, drawings that of their text elements, formulas theirs
+    without annotations, objects what stands in for them. Paragraphs, headings, lists, tables and quotations
     are set off by blank lines, other blocks by line ends; list items have marks or
     numbers and indents; cells of a table are aligned in columns; pre keeps its
     blanks. Missing and wrongly nested tags are mended as browsers do; elements
     deeper than DEEPEST nest no further.
 
-    A null page has a null text and n_chars, an empty one an empty text. Repeated
-    rows are rendered each; null ids and urls stay.
+    A null page has a null text and n_chars, an empty one an empty text. Empty tables
+    give no row. Repeated rows are rendered each; null ids and urls stay. Pages of
+    any length are rendered whole, in time in proportion to it also where tags,
+    quotes or comments don't end. Columns but id_col, url_col and html_col are not
+    read. Ids must be integers or cast to them.
     """
     ship(pages.sparkSession)
 

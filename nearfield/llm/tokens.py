@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import base64
-from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,32 +21,8 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 END_OF_DOCUMENT = 50256
 SHARD_TOKENS = 1 << 21
-#: Words whose ids a worker remembers, before it starts afresh.
-REMEMBERED = 400_000
-
-
-class Whole(Exception):
-    """The text can't be split at its blanks."""
-
-
-class Words(dict):
-    """Ids of " " + word for words between single blanks, made when first asked for.
-
-    The pattern splits before a blank that follows a visible character, so that such
-    words can be encoded one by one.
-    """
-
-    def __init__(self, encoding: object):
-        super().__init__()
-        self.encoding, self.pool, self.start = encoding, array("I"), array("q", [0])
-
-    def __missing__(self, word: str) -> int:
-        if not word or word[0].isspace() or word[-1].isspace():
-            raise Whole
-        self.pool.extend(self.encoding.encode_ordinary(" " + word))
-        self.start.append(len(self.pool))
-        self[word] = k = len(self.start) - 2
-        return k
+#: Runs of blanks as long as this are encoded by themselves, as the pattern can't match them at any length.
+LONG_BLANKS = regex.compile(r"\p{White_Space}{512,}")
 
 
 def encoding_of(ranks: bytes) -> object:
@@ -56,37 +33,41 @@ def encoding_of(ranks: bytes) -> object:
 
 
 class Encoder:
+    """A tokenizer whose ids of a whole text come as an array."""
+
     def __init__(self, ranks: bytes):
         self.encoding = encoding_of(ranks)
-        self.words = Words(self.encoding)
-
-    def __call__(self, texts: list) -> list[np.ndarray]:
-        """Ids of each whole text; a null text has none."""
-        if len(self.words) > REMEMBERED:
-            self.words = Words(self.encoding)
-        todo = []
-        for t in texts:
-            if not t:
-                todo.append((np.zeros(0, np.uint32), None))
-                continue
-            first, *rest = t.split(" ")
-            try:
-                if rest and (not first or first[-1].isspace()):
-                    raise Whole
-                index = np.fromiter(map(self.words.__getitem__, rest), np.int64, len(rest))
-                todo.append((np.array(self.encoding.encode_ordinary(first), np.uint32), index))
-            except Whole:
-                todo.append((np.array(self.encoding.encode_ordinary(t), np.uint32), None))
-        pool, start = np.array(self.words.pool, np.uint32), np.array(self.words.start, np.int64)
-        out = []
-        for head, index in todo:
-            if index is None or not len(index):
-                out.append(head)
-                continue
-            a, many = start[index], start[index + 1] - start[index]
-            at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(a, many)
-            out.append(np.concatenate([head, pool[at]]))
-        return out
+
+    def __call__(self, text: str | None) -> np.ndarray:
+        """Ids of the whole text; a null text has none.
+
+        Of a long run of blanks the pattern takes all but the last as one piece, or
+        all at the end of the text; such pieces are cut out, so that no length of a
+        run is too much for the pattern.
+        """
+        if not text:
+            return np.zeros(0, np.uint32)
+        parts, at = [], 0
+        for m in LONG_BLANKS.finditer(text):
+            end = m.end() - (m.end() < len(text))
+            parts += [self.plain(text[at : m.start()]), np.array(self.encoding._encode_single_piece(text[m.start() : end]), np.uint32)]
+            at = end
+        if not parts:
+            return self.plain(text)
+        return np.concatenate([*parts, self.plain(text[at:])])
+
+    def plain(self, text: str) -> np.ndarray:
+        return self.encoding.encode_to_numpy(text, disallowed_special=())
+
+
+@lru_cache(2)
+def encoder(ranks: bytes) -> Encoder:
+    """The worker's encoder for a vocabulary, kept from task to task."""
+    return Encoder(ranks)
+
+
+def greatest_id(ranks: bytes) -> int:
+    return max((int(line.split()[1]) for line in ranks.splitlines() if line), default=0)
 
 
 SCHEMA = "shard string, doc_ids array<bigint>, n_docs bigint, n_tokens bigint, width int, ids binary, low_bits int, low binary, high binary, samples binary"
@@ -113,20 +94,19 @@ def token_shards(docs: DataFrame, tokenizer: str = TOKENIZER, end_of_document: i
     """
     ship(docs.sparkSession)
     ranks = Path(tokenizer).read_bytes()
-    most = max((int(line.split()[1]) for line in ranks.splitlines() if line), default=0)
-    if max(most, end_of_document or 0) >> (8 * width):
+    if max(greatest_id(ranks), end_of_document or 0) >> (8 * width):
         raise ValueError(f"ids don't fit in {width} bytes")
     tail = np.array([] if end_of_document is None else [end_of_document], np.uint32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode = Encoder(ranks)
+        encode = encoder(ranks)
         part, count, doc_ids, parts, total = TaskContext.get().partitionId(), 0, [], [], 0
         for ids, texts in slices(batches, 1 << 19):
-            for i, own in zip(ids, encode(texts), strict=True):
+            for i, text in zip(ids, texts, strict=True):
                 doc_ids.append(i)
-                parts.append(np.concatenate([own, tail]).astype(np.uint16 if width == 2 else np.uint32))
+                parts.append(np.concatenate([encode(text), tail]).astype(np.uint16 if width == 2 else np.uint32))
                 total += len(parts[-1])
                 if total >= shard_tokens:
                     yield shard(f"{part:06d}-{count:06d}", doc_ids, parts, width)

@@ -90,7 +90,20 @@ def ranks():
 @settings(max_examples=80, deadline=None)
 def test_encoder_gives_the_tokenizers_ids(text):
     encode = _encoder()
-    assert encode([text])[0].tolist() == encode.encoding.encode_ordinary(text)
+    assert encode(text).tolist() == encode.encoding.encode_ordinary(text)
+
+
+@pytest.mark.parametrize("blanks", [" " * 600, "\n" * 2000, "\t \n\u3000" * 300])
+def test_long_blanks_are_encoded_as_short_ones_are(blanks):
+    encode = _encoder()
+    for text in (blanks, "a" + blanks, blanks + "b", f"a{blanks}b {blanks}.", f"x{blanks}\x1c{blanks}y"):
+        assert encode(text).tolist() == encode.encoding.encode_ordinary(text)
+
+
+def test_texts_of_any_kind_and_length_are_encoded():
+    encode = _encoder()
+    for text in ("\n" * 3_000_000, " " * 3_000_000 + "x", "ab" * 1_000_000, "?" * 2_000_000, "\r\n" * 1_000_000, "é" * 500_000):
+        assert encode.encoding.decode(encode(text).tolist()) == text
 
 
 _made = []
@@ -120,8 +133,8 @@ def test_kernel_is_the_share_of_common_grams():
     k, many = languages.Kernel(landmarks)(texts)
     known = set().union(*map(grams_of, landmarks))
     for i, t in enumerate(texts):
-        own = grams_of(t) & known
-        assert many[i] == len(own)
+        own = grams_of(t)
+        assert many[i] == len(own & known)
         for j, m in enumerate(landmarks):
             assert k[i, j] == pytest.approx(len(own & grams_of(m)) / math.sqrt(max(1, len(own)) * len(grams_of(m))), abs=1e-6)
 
@@ -233,11 +246,24 @@ def test_hilbert_curve_visits_neighbours():
         assert (np.abs(np.diff(order, axis=0)).sum(1) == 1).all()
 
 
-@given(st.lists(st.one_of(st.none(), TEXT), max_size=6))
-@settings(max_examples=60, deadline=None)
-def test_token_counts(texts):
-    want = [len(re.findall(r"[^\W_]+|(?:[^\w\s]|_)+", t or "")) for t in texts]
-    assert packing.token_counts(texts).tolist() == want
+def test_points_are_those_of_vectors_of_length_one():
+    texts = ["same " * 400, "one two two", "", "?!", "one two two " * 50]
+    v = packing.unit_points(texts, 3)
+    for t, p in zip(texts, v, strict=True):
+        n = Counter(t.split()) if t != "?!" else {}
+        rows = {w: packing.directions(3)[int(words([w])[0][0] >> np.uint64(64 - packing.HASH_BITS))] for w in n}
+        want = sum((c * rows[w] for w, c in n.items()), np.zeros(3)) / math.sqrt(max(1, sum(c * c for c in n.values())))
+        assert p == pytest.approx(want, abs=1e-4)
+    assert v[1] == pytest.approx(v[4], abs=1e-4)
+
+
+def test_parts_count_the_bounds_before():
+    rng = np.random.default_rng(1)
+    bounds = np.unique(rng.integers(0, 6, (9, 2)), axis=0)
+    key, doc = rng.integers(-1, 7, 200), rng.integers(-1, 7, 200)
+    want = [sum((k, d) <= (a, b) for k, d in bounds.tolist()) for a, b in zip(key.tolist(), doc.tolist(), strict=True)]
+    assert packing.part_of(key, doc, bounds).tolist() == want and packing.part_of(key, doc, bounds[:0]).tolist() == [0] * 200
+
 
 
 def test_randomness_tests_accept_uniform_draws():
@@ -290,6 +316,11 @@ def test_threshold_is_benjamini_hochberg():
         ("<select><option>a<option>b</select>", "a\nb"),
         ("<textarea>&lt;b> x</textarea>", "<b> x"),
         ("<blockquote>q</blockquote>", "    q"),
+        ("<p Hidden>a</p><p STYLE='DISPLAY:none'>b</p><p type=hidden>c</p>", "c"),
+        ("E = <math><mi>m</mi><annotation>no</annotation></math>", "E = m"),
+        ("a<svg><title>no</title><desc>no</desc><g><text>b</text></g></svg>c<object data=x>d</object>", "a b cd"),
+        ("<a title='x > y'>in</a> <b title=\"open>out</b> '", "in out '"),
+        ("<table><tr><td>" + "w" * 90 + "<td>b<tr><td>c<td>d</table>", "w" * 90 + "  b\nc" + " " * 91 + "d"),
         ("", ""),
     ],
 )
@@ -328,11 +359,25 @@ def test_rendering_keeps_all_words():
         assert "".join(got) == "".join(w for w in plain.out if w != "*")
 
 
+@pytest.mark.parametrize("soup", ["<a ", '<a " ', "<a \">\" '", "<a x='\" y=\"'>", "<p>", "<div></x>", "<!-- ", "<table><tr><td>x", "<", "& ", " \n"])
+def test_rendering_takes_time_in_proportion(soup):
+    import time
+
+    took = []
+    for size in (200_000, 1_600_000):
+        began = time.thread_time()
+        rendering.rendered(soup * (size // len(soup)))
+        took.append(time.thread_time() - began)
+    assert took[1] < 30 * took[0] + 1  # eight times as long, not 64
+
+
 def test_rendering_survives_anything():
     assert rendering.rendered(None) is None
     deep = "<div>" * 5000 + "x" + "</div>" * 5000
     assert rendering.rendered(deep) == "x"
     assert rendering.rendered("<table><tr><td>" * 2000 + "y") == "y"
+    wide = rendering.rendered("<table>" + "<tr><td>" + "w" * 5000 + "<td>b" + "<tr><td>c<td>d" * 3000 + "</table>")
+    assert len(wide) < 300_000 and "w  b" in wide and wide.endswith("c  d")
     rng = random.Random(0)
     parts = ["<p>", "</p>", "<table>", "<tr>", "<td colspan=x>", "</table>", "<ul>", "<li>", "</ul>", "a b", "<", ">", "\"", "'", "<a href='", "<!--", "-->", "<pre>", "</", "&#0;", "&bogus;", "<script>", "</script>", "日本", "<head>"]
     for _ in range(300):

@@ -384,12 +384,21 @@ def test_packing_covers_every_token(spark, edge, none):
         assert r.n_docs == len(r.doc_ids) == len(r.begins) and r.n_tokens == sum(r.ends) - sum(r.begins)
         for i, a, b in zip(r.doc_ids, r.begins, r.ends, strict=True):
             spans[i].append((a, b))
+    encode = tokens.Encoder(open(tokens.TOKENIZER, "rb").read())
+    own = [(r.doc_id, [*encode(r.text).tolist(), tokens.END_OF_DOCUMENT] if r.text else []) for r in docs.collect()]
     want = defaultdict(int)
-    for r in docs.collect():
-        want[r.doc_id] += int(packing.token_counts([r.text])[0])
+    for i, x in own:
+        want[i] += len(x)
     assert {i: sum(b - a for a, b in s) for i, s in spans.items()} == {i: n for i, n in want.items() if n}
-    again = [r.doc_ids for r in packing.packed(docs.repartition(7), 128).orderBy("pack_id").collect()]
-    assert again == [r.doc_ids for r in got]
+    v = packing.unit_points([r.text for r in docs.collect()], 3)
+    some = np.array([bool(x) for _, x in own])
+    key = packing.hilbert(packing.to_grid(v, v[some].mean(0), v[some].std(0), 16), 16)
+    order = sorted((k, i is not None, i or 0, len(x), np.array(x, "<u2").tobytes()) for k, (i, x) in zip(key.tolist(), own, strict=True) if x)
+    flat = b"".join(x for *_, x in order)
+    assert [bytes(r.ids) for r in got] == [flat[a : a + 256] for a in range(0, len(flat), 256)]
+    for options in ({}, {"part_tokens": 1000}, {"part_tokens": 90}):
+        again = packing.packed(docs.repartition(7), 128, **options).orderBy("pack_id").collect()
+        assert [(bytes(r.ids), r.doc_ids, r.begins) for r in again] == [(bytes(r.ids), r.doc_ids, r.begins) for r in got], options
     assert packing.packed(none).count() == 0
     assert packing.packed(edge.where("text is null or text = ''")).count() == 0
 

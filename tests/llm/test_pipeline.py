@@ -2,9 +2,10 @@
 
 import os
 
+import numpy as np
 import pytest
 
-from nearfield.llm import decontaminate, packing, quality, registry, secrets, simhash
+from nearfield.llm import decontaminate, quality, registry, secrets, simhash, tokens
 from tests.parity import connect, rows
 
 SF = "/root/testdata/sf0.001"
@@ -68,12 +69,15 @@ def test_secret_stage_blots_out_what_it_finds(stages):
 
 def test_packing_stage_holds_every_token(stages):
     before, after = stages["packing"]
-    want = {r.doc_id: int(packing.token_counts([r.text])[0]) for r in before.collect()}
+    encode = tokens.Encoder(open(tokens.TOKENIZER, "rb").read())
+    want = {r.doc_id: encode(r.text).tolist() for r in before.collect() if r.text}
     got = {}
-    for r in after.collect():
+    for r in after.orderBy("pack_id").collect():
+        ids, at = np.frombuffer(bytes(r.ids), "<u2").tolist(), 0
         for i, a, b in zip(r.doc_ids, r.begins, r.ends, strict=True):
-            got[i] = got.get(i, 0) + b - a
-    assert got == {i: n for i, n in want.items() if n}
+            got.setdefault(i, []).extend(ids[at : at + b - a])
+            at += b - a
+    assert got == {i: [*x, tokens.END_OF_DOCUMENT] for i, x in want.items()}
 
 
 def test_run_is_the_stages_in_a_row(spark, stages):
