@@ -4,179 +4,289 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.kernels import fresh, map_text
-from nearfield.session import durable, quoted
+from nearfield.llm.kernels import map_text, slices
+from nearfield.session import durable
 
+#: Symbols of the shortest token that is tested, unless the caller asks for another.
 SHORTEST = 16
 FALSE_DISCOVERIES = 0.01
 RANDOMNESS_LEVEL = 0.001
 MARK = "[SECRET]"
-RUN = re.compile(r"[A-Za-z0-9+/_-]{%d,}" % SHORTEST)
-#: A run and its parts between '/', between '-' and '_', between all three, and between all signs.
-PARTS = [re.compile(r"[A-Za-z0-9%s]{%d,}" % (signs, SHORTEST)) for signs in ("+/_-", "+_-", "+/", "+", "")]
-SYMBOLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_="
-#: Encodings in the order in which they are tried; each symbol's place is its value.
+#: Signs that join the parts of a run: none, '/', '-' and '_', all three, and all signs.
+JOINTS = ("", "/", "-_", "/-_", "/-_+")
+SIGNS = "+/-_"
+SYMBOLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_"
+LOWER, UPPER, DIGITS = SYMBOLS[26:52], SYMBOLS[:26], SYMBOLS[52:62]
+#: Encodings in the order in which they are tried, smaller ones first; each symbol's place is its value.
 ALPHABETS = {
-    "decimal": "0123456789",
-    "hex": "0123456789abcdef",
-    "HEX": "0123456789ABCDEF",
-    "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
-    "base36": "0123456789abcdefghijklmnopqrstuvwxyz",
-    "BASE36": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ",
-    "base62": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789",
-    "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
-    "base64url": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_",
-    "base64any": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_",
+    "decimal": DIGITS,
+    "hex": DIGITS + "abcdef",
+    "HEX": DIGITS + "ABCDEF",
+    "lower": LOWER,
+    "UPPER": UPPER,
+    "base32": UPPER + "234567",
+    "base36": DIGITS + LOWER,
+    "BASE36": DIGITS + UPPER,
+    "letters": UPPER + LOWER,
+    "base62": UPPER + LOWER + DIGITS,
+    "base64": UPPER + LOWER + DIGITS + "+/",
+    "base64url": UPPER + LOWER + DIGITS + "-_",
+    "base64any": UPPER + LOWER + DIGITS + "+/-_",
 }
-VALUES = {name: {c: k for k, c in enumerate(a)} for name, a in ALPHABETS.items()}
+NAMES, SIZES = list(ALPHABETS), np.array([len(a) for a in ALPHABETS.values()])
 #: Least evidence (natural log of a p-value) of the last bin and width of a bin.
 LOG_BINS, LOG_WIDTH = 4000, 0.05
 
 
-def encoding_of(token: str) -> str:
-    """The first alphabet that holds all of the token (without = padding)."""
-    own = set(token)
-    return next(name for name, v in VALUES.items() if own <= v.keys())
+def values_table() -> np.ndarray:
+    """Each byte's value in each encoding, -1 if it is not in its alphabet."""
+    out = np.full((len(NAMES), 256), -1, np.int64)
+    for row, alphabet in zip(out, ALPHABETS.values(), strict=True):
+        row[[ord(c) for c in alphabet]] = np.arange(len(alphabet))
+    return out
 
 
-def is_candidate(token: str) -> bool:
-    """Words are none: a token needs a digit, or capitals after a small letter."""
-    return bool(re.search(r"[0-9]", token) or re.search(r"[a-z][A-Z]", token))
+def places_table() -> np.ndarray:
+    """Each byte's place in SYMBOLS, or the place after the last."""
+    out = np.full(256, len(SYMBOLS), np.int64)
+    out[[ord(c) for c in SYMBOLS]] = np.arange(len(SYMBOLS))
+    return out
 
 
-def candidates(run: str) -> list[tuple[int, str]]:
-    """(place, token) of the run and of its parts, each once."""
+VALUES, PLACES = values_table(), places_table()
+WIDE = len(SYMBOLS) + 1
+
+
+class Tokens:
+    """Many tokens as one array of bytes and their bounds; the smallest alphabet that holds one is its encoding."""
+
+    def __init__(self, tokens: list[str]):
+        self.raw = np.frombuffer("".join(tokens).encode(), np.uint8)
+        self.size = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        self.first = np.cumsum(self.size) - self.size
+        self.of = np.repeat(np.arange(len(tokens)), self.size)
+        fits = np.stack([np.logical_and.reduceat(row[self.raw] >= 0, self.first) for row in VALUES]) if tokens else np.zeros((len(NAMES), 0), bool)
+        self.encoding = fits.argmax(0)
+
+
+def candidates(text: str, shortest: int) -> list[tuple[int, str]]:
+    """(place, token) of each run of SYMBOLS and of its parts between joints, of `shortest` symbols at least, each once. Joints at a part's begin don't belong to it."""
     out = {}
-    for parts in PARTS:
-        for m in parts.finditer(run):
-            at, end = m.span()
-            while run[at] in "-_+/" and end - at > SHORTEST:
-                at += 1
-            if (at, end) not in out and is_candidate(run[at:end]):
-                out[at, end] = run[at:end]
+    for m in runs_of(shortest).finditer(text):
+        run, begin = m.group(), m.start()
+        if run.isalnum():
+            out[begin, m.end()] = run
+            continue
+        for joints in JOINTS:
+            for part in parts_of(joints, shortest).finditer(run):
+                at, end = part.span()
+                at += len(part.group()) - len(part.group().lstrip(SIGNS))
+                if end - at >= shortest:
+                    out[begin + at, begin + end] = run[at:end]
     return [(at, token) for (at, _), token in out.items()]
 
 
-def normal_tail(z: float) -> float:
+@lru_cache(16)
+def runs_of(shortest: int) -> re.Pattern:
+    return re.compile(r"[A-Za-z0-9+/_-]{%d,}" % shortest)
+
+
+@lru_cache(64)
+def parts_of(joints: str, shortest: int) -> re.Pattern:
+    return re.compile("[A-Za-z0-9%s]{%d,}" % ("".join("\\" + c for c in SIGNS if c not in joints), shortest))
+
+
+def normal_tail(z: np.ndarray) -> np.ndarray:
     """P(N > z)."""
-    return 0.5 * math.erfc(z / math.sqrt(2))
+    return 0.5 * np.fromiter(map(math.erfc, np.asarray(z) / math.sqrt(2)), np.float64, len(z))
+
+
+def total(x: np.ndarray, t: Tokens) -> np.ndarray:
+    """Sums over each token."""
+    return np.add.reduceat(x.astype(np.float64), t.first)
 
 
-def chi_squared_p(values: np.ndarray, size: int) -> float:
-    """Uniformity of the symbols, joined into cells that expect four symbols at least (Wilson-Hilferty tail)."""
-    n = len(values)
-    cells = max(2, min(size, n // 4))
-    share = np.bincount(np.arange(size) * cells // size, minlength=cells) / size
-    seen = np.bincount(values * cells // size, minlength=cells)
-    x = float(((seen - n * share) ** 2 / (n * share)).sum())
+def uniform_p(values: np.ndarray, t: Tokens, size: np.ndarray) -> np.ndarray:
+    """Chi-squared uniformity of the symbols, joined into cells that expect four symbols at least (Wilson-Hilferty tail)."""
+    cells = np.maximum(2, np.minimum(size, t.size // 4))
+    begin = np.cumsum(cells) - cells
+    seen = np.bincount(begin[t.of] + values * cells[t.of] // size[t.of], minlength=int(cells.sum()))
+    of = np.repeat(np.arange(len(cells)), cells)
+    k, c, s = np.arange(len(of)) - begin[of], cells[of], size[of]
+    symbols = -(-(k + 1) * s // c) + (-k * s // c)  # of the alphabet that fall into the cell
+    expected = t.size[of] * symbols / s
+    x = np.add.reduceat((seen - expected) ** 2 / expected, begin)
     d = cells - 1
-    return normal_tail(((x / d) ** (1 / 3) - (1 - 2 / (9 * d))) / math.sqrt(2 / (9 * d)))
+    return normal_tail(((x / d) ** (1 / 3) - (1 - 2 / (9 * d))) / np.sqrt(2 / (9 * d)))
 
 
-def runs_p(values: np.ndarray, size: int) -> float:
+def runs_p(values: np.ndarray, t: Tokens, size: np.ndarray) -> np.ndarray:
     """Wald-Wolfowitz runs above and below the middle of the alphabet, two-sided."""
-    high = values * 2 >= size
-    n, a = len(high), int(high.sum())
+    high = values * 2 >= size[t.of]
+    n, a = t.size, total(high, t)
     b = n - a
-    if not a or not b:
-        return 2.0 ** (1 - n)
-    runs = 1 + int((high[1:] != high[:-1]).sum())
+    steps = np.concatenate([[False], high[1:] != high[:-1]])
+    steps[t.first] = False
     mean = 2 * a * b / n + 1
-    var = (mean - 1) * (mean - 2) / (n - 1)
-    return 1.0 if var <= 0 else 2 * normal_tail(max(0.0, (abs(runs - mean) - 0.5) / math.sqrt(var)))
+    var = (mean - 1) * (mean - 2) / np.maximum(n - 1, 1)
+    p = 2 * normal_tail(np.maximum(0.0, (np.abs(1 + total(steps, t) - mean) - 0.5) / np.sqrt(np.where(var > 0, var, 1))))
+    return np.where((a == 0) | (b == 0), 2.0 ** (1 - n), np.where(var > 0, p, 1.0))
 
 
-def serial_p(values: np.ndarray) -> float:
+def serial_p(values: np.ndarray, t: Tokens) -> np.ndarray:
     """Correlation of neighbouring symbols, two-sided."""
-    x = values - values.mean()
-    s = float((x * x).sum())
-    if s == 0:
-        return 2.0 ** (1 - len(values))
-    r = float((x[1:] * x[:-1]).sum()) / s
-    n = len(values)
-    return 2 * normal_tail(abs(r + 1 / n) * math.sqrt(n))
+    x = values - (total(values, t) / t.size)[t.of]
+    s = total(x * x, t)
+    both = np.concatenate([[0.0], x[1:] * x[:-1]])
+    both[t.first] = 0
+    r = total(both, t) / np.where(s > 0, s, 1)
+    return np.where(s > 0, 2 * normal_tail(np.abs(r + 1 / t.size) * np.sqrt(t.size)), 2.0 ** (1 - t.size))
+
+
+def battery(t: Tokens) -> np.ndarray:
+    """Rows of (uniformity, runs, serial correlation, all three by Fisher's method) p-values of the tokens as random draws."""
+    if not len(t.size):
+        return np.zeros((0, 4))
+    values, size = VALUES[t.encoding[t.of], t.raw], SIZES[t.encoding]
+    p = np.clip(np.stack([uniform_p(values, t, size), runs_p(values, t, size), serial_p(values, t)], axis=1), 1e-300, 1)
+    half = -np.log(p).sum(1)
+    return np.concatenate([p, (np.exp(-half) * (1 + half + half * half / 2))[:, None]], axis=1)
+
+
+def pair_counts(texts: list) -> np.ndarray:
+    """How often each pair of neighbouring symbols occurs in the texts; all other bytes count as one symbol more."""
+    place = PLACES[np.frombuffer(("\n" + "\n".join(t or "" for t in texts) + "\n").encode("utf-8", "surrogatepass"), np.uint8)]
+    return np.bincount(place[:-1] * WIDE + place[1:], minlength=WIDE * WIDE)
+
+
+#: Of each symbol: its class (capital, small letter, digit, each sign, all other bytes), the symbol that stands for it whatever its case, and that one's kind.
+CLASS = np.array([0] * 26 + [1] * 26 + [2] * 10 + [3, 4, 5, 6, 7])
+FOLD = np.array([*range(26), *range(26), *range(26, WIDE - 26)])
+KIND = np.array([0] * 26 + [1] * 10 + [2, 3, 4, 5, 6])
+
+
+class Text:
+    """The corpus's own text as a chain of symbols.
+
+    The class of each symbol follows that of the one before it; which symbol of its
+    class it is follows the one before it without regard to case, so that capitals
+    and joined words are judged by the letters of all words.
+    """
 
+    def __init__(self, counts: np.ndarray):
+        n = counts.reshape(WIDE, WIDE).astype(np.float64)
+        classes, folds = np.full((8, 8), 0.5), np.zeros((WIDE - 26, WIDE - 26))
+        np.add.at(classes, (CLASS[:, None], CLASS[None, :]), n)
+        np.add.at(folds, (FOLD[:, None], FOLD[None, :]), n)
+        folds += 0.5
+        within = np.stack([folds[:, KIND == k].sum(1) for k in range(7)], axis=1)
+        chance = folds / within[:, KIND]
+        classes /= classes.sum(1, keepdims=True)
+        self.next = np.log(classes[CLASS[:, None], CLASS[None, :]] * chance[FOLD[:, None], FOLD[None, :]])
+        own = n.sum(1) + 0.5
+        self.first = np.log(own / own.sum())
 
-def battery(token: str, encoding: str) -> tuple[float, float, float, float]:
-    """(uniformity, runs, serial correlation, all three by Fisher's method) p-values of a random token."""
-    v = VALUES[encoding]
-    values = np.array([v[c] for c in token])
-    p = [min(1.0, max(1e-300, x)) for x in (chi_squared_p(values, len(v)), runs_p(values, len(v)), serial_p(values))]
-    half = -sum(map(math.log, p))
-    return *p, math.exp(-half) * (1 + half + half * half / 2)
+    def log_p(self, t: Tokens) -> np.ndarray:
+        """ln of the ratio of each token's probability in text to that as a uniform draw, 0 at most: a p-value for text, by Markov's inequality."""
+        if not len(t.size):
+            return np.zeros(0)
+        place = PLACES[t.raw]
+        each = np.concatenate([[0.0], self.next[place[:-1], place[1:]]])
+        each[t.first] = self.first[place[t.first]]
+        return np.minimum(0.0, total(each, t) + t.size * np.log(SIZES[t.encoding]))
 
 
-def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Candidates with their tests, and for each slice of texts the counts of its symbols (kind 1)."""
+def bin_of(log_p: np.ndarray, size: np.ndarray, mean: float) -> np.ndarray:
+    """Bins of the log p-values, weighted by length (weights of mean 1) and rounded up."""
+    return np.clip(np.floor(-(log_p - np.log(size / mean)) / LOG_WIDTH), 0, LOG_BINS).astype(np.int64)
+
+
+TESTED = "doc_id bigint, position bigint, token string, encoding string, p_uniform double, p_runs double, p_serial double, p_random double"
+
+
+def scanned(docs: DataFrame, shortest: int = SHORTEST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Candidates with their tests, and for each slice of texts the counts of its pairs of symbols."""
 
     def run(ids: list, texts: list) -> pa.RecordBatch | None:
-        rows, count = [], np.zeros(256, np.int64)
-        for i, t in zip(ids, texts, strict=True):
-            if not t:
-                continue
-            count += np.bincount(np.frombuffer(t.encode("utf-8", "surrogatepass"), np.uint8), minlength=256)
-            for m in RUN.finditer(t):
-                for at, token in candidates(m.group()):
-                    encoding = encoding_of(token)
-                    rows.append((i, m.start() + at, token, encoding, *battery(token, encoding)))
-        cols = list(zip(*rows, strict=True)) or [()] * 8
-        n = len(cols[0])
-        types = [pa.int64(), pa.int64(), pa.string(), pa.string(), *[pa.float64()] * 4]
-        arrays = [pa.concat_arrays([pa.array(list(c), t), pa.nulls(1, t)]) for c, t in zip(cols, types, strict=True)]
-        counts = [int(count[ord(c)]) for c in SYMBOLS]
-        return pa.RecordBatch.from_arrays([*arrays, pa.array([None] * n + [counts], pa.list_(pa.int64()))], ["doc_id", "position", "token", "encoding", "p_uniform", "p_runs", "p_serial", "p_random", "counts"])
-
-    schema = "doc_id bigint, position bigint, token string, encoding string, p_uniform double, p_runs double, p_serial double, p_random double, counts array<bigint>"
-    return map_text(docs, run, schema, id_col, text_col)
-
-
-def log_evidence(share: dict[str, float]) -> dict[str, dict[str, float]]:
-    """For each encoding, ln(K * share of c) of its symbols: the log ratio of text to uniform draws."""
-    return {name: {c: math.log(len(a) * share[c]) for c in a} for name, a in ALPHABETS.items()}
-
-
-def secrets(docs: DataFrame, false_discoveries: float = FALSE_DISCOVERIES, randomness_level: float = RANDOMNESS_LEVEL, id_col: str = "doc_id", text_col: str = "text", keep_tokens: bool = False) -> DataFrame:
+        rows = [(i, at, token) for i, t in zip(ids, texts, strict=True) if t for at, token in candidates(t, shortest)]
+        t = Tokens([r[2] for r in rows])
+        columns = [*(pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.string()))), pa.array([NAMES[k] for k in t.encoding], pa.string()), *map(pa.array, battery(t).T.copy())]
+        columns = [pa.concat_arrays([c, pa.nulls(1, c.type)]) for c in columns]
+        return pa.RecordBatch.from_arrays([*columns, pa.array([None] * len(rows) + [pair_counts(texts)], pa.list_(pa.int64()))], [*(x.split()[0] for x in TESTED.split(", ")), "counts"])
+
+    return map_text(docs, run, f"{TESTED}, counts array<bigint>", id_col, text_col)
+
+
+@dataclass(frozen=True)
+class Rule:
+    """What all candidates of a corpus say about which of them are secrets."""
+
+    text: Text
+    mean: float
+    least: int
+    level: float
+
+    def __call__(self, t: Tokens, p_random: np.ndarray) -> np.ndarray:
+        return (bin_of(self.text.log_p(t), t.size, self.mean) >= self.least) & (p_random > self.level)
+
+
+def ruled(docs: DataFrame, false_discoveries: float, randomness_level: float, shortest: int, id_col: str, text_col: str) -> tuple[DataFrame, Rule]:
+    """Candidates with log_p_text, and the rule that they set."""
+    rows = durable(scanned(docs, shortest, id_col, text_col), "candidates")
+    counts = np.zeros(WIDE * WIDE, np.int64)
+    for r in rows.where("counts is not null").select(F.posexplode("counts").alias("k", "n")).groupBy("k").agg(F.sum("n").alias("n")).collect():
+        counts[r["k"]] = r["n"]
+    text = Text(counts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            log_p = text.log_p(Tokens(b.column(2).to_pylist()))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(log_p)], [*b.schema.names, "log_p_text"])
+
+    found = durable(rows.where("token is not null").drop("counts").mapInArrow(run, f"{TESTED}, log_p_text double").withColumn("length", F.length("token").cast("bigint")), "tested")
+    m, mean = found.agg(F.count("*"), F.avg("length")).first()
+    mean = float(mean or 1)
+    weighted = F.col("log_p_text") - F.log(F.col("length") / F.lit(mean))
+    level = F.least(F.lit(LOG_BINS), F.greatest(F.lit(0), F.floor(-weighted / LOG_WIDTH))).cast("int")
+    binned = found.withColumn("bin", level)
+    least = threshold({r["bin"]: r["count"] for r in binned.groupBy("bin").count().collect()}, m, false_discoveries)
+    return binned, Rule(text, mean, least, randomness_level)
+
+
+def secrets(docs: DataFrame, false_discoveries: float = FALSE_DISCOVERIES, randomness_level: float = RANDOMNESS_LEVEL, shortest: int = SHORTEST, id_col: str = "doc_id", text_col: str = "text", keep_tokens: bool = False) -> DataFrame:
     """(doc_id, position, length, encoding, p_uniform, p_runs, p_serial, p_random, log_p_text) of each secret; with keep_tokens also token.
 
-    Candidates are runs of SHORTEST base64 symbols at least that hold a digit or a
-    capital after a small letter, and as well their parts between '/', '-', '_' and
-    '+', as these also join secrets to words and paths. Each is a test of its own and
-    a row of its own, so rows of one run may overlap. The smallest alphabet that holds one is its
-    encoding. It must look like a random draw from that alphabet: chi-squared
-    uniformity, runs and serial correlation, combined by Fisher's method, don't
-    reject that at randomness_level. And it must not look like text: the ratio of
-    its probability under the corpus's own symbol shares to that under uniform
-    draws is a p-value for text, on which Benjamini-Hochberg's procedure, weighted
-    by length (weights of mean 1), keeps the share of false discoveries below
-    false_discoveries over all candidates of the corpus. Log p-values are rounded
-    up to bins of 0.05, whose counts are all that the driver sees.
+    Candidates are all runs of `shortest` base64 symbols at least, and as well their
+    parts between '/', '-', '_' and '+', as these also join secrets to words and
+    paths. Each is a test of its own and a row of its own, so rows of one run may
+    overlap. The smallest alphabet that holds one is its encoding. It must look like
+    a random draw from that alphabet: chi-squared uniformity, runs and serial
+    correlation, combined by Fisher's method, don't reject that at randomness_level.
+    And it must not look like text: the ratio of its probability under the
+    corpus's pairs of symbols to that under uniform draws is a p-value for text, on which
+    Benjamini-Hochberg's procedure, weighted by length (weights of mean 1), keeps the
+    share of false discoveries below false_discoveries over all candidates of the
+    corpus. A number is thus judged by how seldom so many digits follow one another.
+    Log p-values are rounded up to bins of 0.05, whose counts are, besides
+    those of pairs of symbols, all that the driver sees.
 
     Positions count characters from 0. Null and empty texts and empty tables have
-    no candidates. Repeated rows are tested each; a null doc_id stays null.
+    no candidates. Repeated rows are tested each; a null doc_id stays null. Texts of
+    any length are read whole. Columns but id_col and text_col are not read; ids must
+    be integers or cast to them.
     """
-    rows = durable(scanned(docs, id_col, text_col), "candidates")
-    counts = rows.where("counts is not null").select(F.posexplode("counts").alias("k", "n")).groupBy("k").agg(F.sum("n").alias("n")).collect()
-    seen = Counter({SYMBOLS[r["k"]]: r["n"] for r in counts})
-    total = sum(seen[c] for c in SYMBOLS)
-    table = log_evidence({c: (seen[c] + 1) / (total + len(SYMBOLS)) for c in SYMBOLS})
-    maps = F.create_map(*[x for name, of in table.items() for x in (F.lit(name), F.map_from_arrays(F.array(*map(F.lit, of)), F.array(*map(F.lit, of.values()))))])
-    found = rows.where("token is not null")
-    by = maps[F.col("encoding")]
-    log_p = F.least(F.lit(0.0), F.aggregate(F.split("token", ""), F.lit(0.0), lambda s, c: s + F.when(c == "", 0.0).otherwise(F.element_at(by, c))))
-    found = durable(found.withColumn("length", F.length("token").cast("bigint")).withColumn("log_p_text", log_p), "tested")
-    m, mean = found.agg(F.count("*"), F.avg("length")).first()
-    weighted = F.col("log_p_text") - F.log(F.col("length") / F.lit(float(mean or 1)))
-    level = F.least(F.lit(LOG_BINS), F.greatest(F.lit(0), F.floor(-weighted / LOG_WIDTH))).cast("int")
-    bins = found.groupBy(level.alias("bin")).count().collect()
-    least = threshold({r["bin"]: r["count"] for r in bins}, m, false_discoveries)
-    kept = found.where((level >= least) & (F.col("p_random") > randomness_level))
+    found, rule = ruled(docs, false_discoveries, randomness_level, shortest, id_col, text_col)
+    kept = found.where((F.col("bin") >= rule.least) & (F.col("p_random") > randomness_level))
     names = ["doc_id", "position", "length", "encoding", "p_uniform", "p_runs", "p_serial", "p_random", "log_p_text"]
     return kept.select(*names, *(["token"] if keep_tokens else []))
 
@@ -191,29 +301,63 @@ def threshold(bins: dict[int, int], m: int, rate: float) -> int:
     return best
 
 
-def united(spans: Column) -> Column:
-    """Ascending spans (at, end) with those that overlap made one."""
-
-    def add(out: Column, s: Column) -> Column:
-        last = F.element_at(out, -1)
-        wider = F.struct(last["at"].alias("at"), F.greatest(last["end"], s["end"]).alias("end"))
-        return F.when(s["at"] < last["end"], F.concat(F.slice(out, 1, F.size(out) - 1), F.array(wider))).otherwise(F.concat(out, F.array(s)))
-
-    return F.aggregate(F.slice(spans, 2, F.size(spans)), F.slice(spans, 1, 1), add)
-
-
-def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = MARK, **options: object) -> DataFrame:
-    """All rows of docs, each secret in the text replaced by mark; n_chars, if there is one, follows. Columns unchanged."""
-    key, of, tokens = (fresh(docs, c) for c in ("__text_key", "__key", "__secrets"))
-    text = F.col(quoted(text_col))
-    keyed = docs.withColumn(key, F.xxhash64(text.cast("string")))
-    found = secrets(keyed, id_col=key, text_col=text_col, keep_tokens=True, **options)
-    found = found.groupBy(F.col("doc_id").alias(of)).agg(F.array_sort(F.collect_set(F.struct(F.col("position").alias("at"), (F.col("position") + F.col("length")).alias("end")))).alias(tokens))
-    joined = keyed.join(found, F.col(key) == F.col(of), "left")
-    own = lambda s: F.struct((s["at"] - s["end"]).alias("n"), F.substring(text, (s["at"] + 1).cast("int"), (s["end"] - s["at"]).cast("int")).alias("token"))
-    longest = F.array_sort(F.array_union(F.transform(tokens, own), F.transform(united(F.col(tokens)), own)))
-    clean = F.aggregate(longest, text, lambda t, s: F.replace(t, s["token"], F.lit(mark)))
-    joined = joined.withColumn(text_col, F.when(F.col(tokens).isNull(), text).otherwise(clean))
-    if "n_chars" in docs.columns:
-        joined = joined.withColumn("n_chars", F.when(F.col(tokens).isNull(), F.col("n_chars")).otherwise(F.length(text)).cast(docs.schema["n_chars"].dataType))
-    return joined.select(*[F.col(quoted(c)) for c in docs.columns])
+def blotted(text: str, found: list[tuple[int, str]], mark: str) -> str:
+    """text without the tokens (place, token), wherever they stand: those that overlap go together."""
+    spans: list[list[int]] = []
+    for at, token in sorted(found):
+        if spans and at < spans[-1][1]:
+            spans[-1][1] = max(spans[-1][1], at + len(token))
+        else:
+            spans.append([at, at + len(token)])
+    out, last = [], 0
+    for at, end in spans:
+        out += [text[last:at], mark]
+        last = end
+    text = "".join([*out, text[last:]])
+    for token in sorted({token for _, token in found}, key=len, reverse=True):
+        text = text.replace(token, mark)
+    return text
+
+
+def redacted(
+    docs: DataFrame, false_discoveries: float = FALSE_DISCOVERIES, randomness_level: float = RANDOMNESS_LEVEL, shortest: int = SHORTEST, id_col: str = "doc_id", text_col: str = "text", mark: str = MARK
+) -> DataFrame:
+    """All rows of docs, each secret in the text replaced by mark; n_chars, if there is one, follows. Columns unchanged.
+
+    Secrets are those of secrets(). One scan of the texts sets the rule, another
+    applies it to each text where it is, so that texts are never shuffled. Null and
+    empty texts and those without secrets stay as they are, and so do rows without
+    id and repeated ones.
+    """
+    rule = ruled(docs, false_discoveries, randomness_level, shortest, id_col, text_col)[1]
+    at = next(k for k, c in enumerate(docs.columns) if c.lower() == text_col.lower())
+    size = next((k for k, c in enumerate(docs.columns) if c.lower() == "n_chars"), None)
+
+    def change(texts: list) -> dict[int, str]:
+        rows = [(k, place, token) for k, t in enumerate(texts) if t for place, token in candidates(t, shortest)]
+        t = Tokens([r[2] for r in rows])
+        found: dict[int, list] = {}
+        for k in np.flatnonzero(rule(t, battery(t)[:, 3])):
+            found.setdefault(rows[k][0], []).append(rows[k][1:])
+        return {k: blotted(texts[k], x, mark) for k, x in found.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            text, new, done = b.column(at).cast(pa.string()), {}, 0
+            for _, texts in slices([pa.RecordBatch.from_arrays([text, text], ["id", "text"])]):
+                new |= {done + k: x for k, x in change(texts).items()}
+                done += len(texts)
+            if new:
+                columns = list(b.columns)
+                mask, order = np.zeros(b.num_rows, bool), np.array(sorted(new))
+                mask[order] = True
+                own = pa.array([new[k] for k in order.tolist()], pa.string())
+                columns[at] = pc.replace_with_mask(text, pa.array(mask), own).cast(b.schema.field(at).type)
+                if size is not None:
+                    lengths = pa.array([len(new[k]) for k in order.tolist()], pa.int64()).cast(b.schema.field(size).type)
+                    columns[size] = pc.replace_with_mask(b.column(size), pa.array(mask), lengths)
+                b = pa.RecordBatch.from_arrays(columns, schema=b.schema)
+            yield b
+
+    plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])  # names with dots can't be passed on
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)

@@ -267,14 +267,13 @@ def test_parts_count_the_bounds_before():
 
 
 def test_randomness_tests_accept_uniform_draws():
-    rng, p = random.Random(3), []
-    for _ in range(400):
-        token = "".join(rng.choice("0123456789abcdef") for _ in range(64))
-        p.append(secrets.battery(token, "hex"))
-    p = np.array(p)
+    rng = random.Random(3)
+    t = secrets.Tokens(["".join(rng.choice("0123456789abcdef") for _ in range(64)) for _ in range(400)])
+    p = secrets.battery(t)
     assert (p > 0.05).mean(axis=0)[:3] == pytest.approx([0.95] * 3, abs=0.05)
-    assert secrets.battery("0123456789abcdef" * 4, "hex")[3] < 0.01
-    assert secrets.battery("a1" * 20, "hex")[3] < 1e-6
+    odd = secrets.battery(secrets.Tokens(["0123456789abcdef" * 4, "a1" * 20, "a" * 16]))
+    assert odd[0, 3] < 0.01 and odd[1, 3] < 1e-6 and odd[2, 3] < 1e-6
+    assert secrets.battery(secrets.Tokens([])).shape == (0, 4)
 
 
 def test_threshold_is_benjamini_hochberg():
