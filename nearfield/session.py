@@ -9,6 +9,7 @@ import tempfile
 import uuid
 import zipfile
 from pathlib import Path
+from weakref import WeakKeyDictionary
 
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
@@ -47,16 +48,29 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{folder}"
 
 
+_tables: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
 def durable(df: DataFrame, name: str = "table") -> DataFrame:
     """Write df once as a table of the shared folder and read it back.
 
-    Cuts the lineage: a lost executor costs only its own reads. The tables live
-    until the folder is emptied.
+    Cuts the lineage: a lost executor costs only its own reads. The table lives
+    until it is released or the folder is emptied.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _tables[out] = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete durable tables that nothing reads any more; what was made of them must have been written."""
+    for df in tables:
+        if path := _tables.pop(df, None):
+            target = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def quoted(name: str) -> str:
