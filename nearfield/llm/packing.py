@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from nearfield.llm import tokens
 from nearfield.llm.kernels import U, map_text, sums, words
-from nearfield.session import durable
+from nearfield.session import durable, release
 
 SEQUENCE_TOKENS = 2048
 DIMENSIONS = 3
@@ -228,7 +228,8 @@ def packed(
     don't all fall into one. One shuffle brings the ids of a stretch together; each
     stretch's share of tokens gives the next one's first place.
     """
-    points = durable(projected(docs, dimensions, tokenizer, end_of_document, id_col, text_col), "points").where("n_tokens > 0")
+    written = durable(projected(docs, dimensions, tokenizer, end_of_document, id_col, text_col), "points")
+    points = written.where("n_tokens > 0")
     scale = scale_of(points, dimensions)
     small = durable(keyed(points.select("v", "doc_id", "n_tokens"), scale, dimensions, bits), "keys")
     n, total = small.agg(F.count("*"), F.sum("n_tokens")).first()
@@ -239,6 +240,7 @@ def packed(
     rows = parted(keyed(points, scale, dimensions, bits).select("key", "doc_id", "n_tokens", "ids"), bounds)
     rows = rows.repartition(len(bounds) + 1, "part").sortWithinPartitions("part", "key", "doc_id", "n_tokens", "ids")
     made = durable(pieces(rows, base, sequence_tokens), "pieces")
+    release(written, small)
     whole = F.length("ids") == 2 * sequence_tokens
     names = ["doc_ids", "begins", "ends"]
     ends = made.where(~whole).groupBy("pack_id").agg(F.array_sort(F.collect_list(F.struct("at", *names, "ids"))).alias("p"))

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearfield.llm.kernels import map_text, slices
-from nearfield.session import durable
+from nearfield.session import durable, release
 
 #: Symbols of the shortest token that is tested, unless the caller asks for another.
 SHORTEST = 16
@@ -254,6 +254,7 @@ def ruled(docs: DataFrame, false_discoveries: float, randomness_level: float, sh
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(log_p)], [*b.schema.names, "log_p_text"])
 
     found = durable(rows.where("token is not null").drop("counts").mapInArrow(run, f"{TESTED}, log_p_text double").withColumn("length", F.length("token").cast("bigint")), "tested")
+    release(rows)
     m, mean = found.agg(F.count("*"), F.avg("length")).first()
     mean = float(mean or 1)
     weighted = F.col("log_p_text") - F.log(F.col("length") / F.lit(mean))
