@@ -96,7 +96,11 @@ l2_norm = vector_norm
 
 def finite(v: Column, kind: str = "value out of range: overflow") -> Column:
     """v, or an error if an element is infinite or NaN."""
-    return F.when(F.exists(v, lambda x: F.isnan(x) | (F.abs(x) == float("inf"))), fail(kind)).otherwise(v)
+    return let(v, lambda r: F.when(unbounded(r), fail(kind)).otherwise(r))
+
+
+def unbounded(v: Column) -> Column:
+    return F.exists(v, lambda x: F.isnan(x) | (F.abs(x) == float("inf")))
 
 
 def l2_normalize(v: Column) -> Column:
@@ -119,7 +123,11 @@ def vector_mul(a: Column, b: Column) -> Column:
 
 
 def sized(v: Column, most: int = MOST_DIMS) -> Column:
-    return F.when(F.size(v) > most, fail("vector cannot have more than ", str(most), " dimensions")).when(F.size(v) < 1, fail("vector must have at least 1 dimension")).otherwise(v)
+    return let(v, lambda r: sizes(r, most).otherwise(r))
+
+
+def sizes(r: Column, most: int = MOST_DIMS) -> Column:
+    return F.when(F.size(r) > most, fail("vector cannot have more than ", str(most), " dimensions")).when(F.size(r) < 1, fail("vector must have at least 1 dimension"))
 
 
 def vector_concat(a: Column, b: Column) -> Column:
@@ -167,14 +175,19 @@ def vector_gt(a: Column, b: Column) -> Column:
 
 def assert_dims(v: Column, dims: int) -> Column:
     """v, or an error if it hasn't so many dimensions."""
-    return F.when(v.isNull(), None).when(F.size(v) == dims, v).otherwise(fail("expected ", str(dims), " dimensions, not ", F.size(v)))
+    return let(v, lambda r: F.when(r.isNull(), None).when(F.size(r) == dims, r).otherwise(fail("expected ", str(dims), " dimensions, not ", F.size(r))))
 
 
 def array_to_vector(v: Column, dims: int | None = None) -> Column:
     """Integers, reals, doubles or decimals as a vector: no nulls, all finite in single precision, 1 to 16000 dimensions."""
-    out = F.transform(v, lambda x: x.cast("float"))
-    out = F.when(F.exists(v, lambda x: x.isNull()), fail("array must not contain nulls")).otherwise(finite(sized(out), "infinite value or NaN not allowed in vector"))
-    return out if dims is None else assert_dims(out, dims)
+
+    def checked(r: Column) -> Column:
+        wrong = sizes(r).when(F.exists(r, lambda x: x.isNull()), fail("array must not contain nulls")).when(unbounded(r), fail("infinite value or NaN not allowed in vector"))
+        if dims is not None:
+            wrong = wrong.when(F.size(r) != dims, fail("expected ", str(dims), " dimensions, not ", F.size(r)))
+        return wrong.otherwise(r)
+
+    return let(F.transform(v, lambda x: x.cast("float")), checked)
 
 
 def vector_to_array(v: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from nearfield.functions import dense
+from nearfield.functions import bits, dense
 from nearfield.functions.dense import d, fail
 
 #: The least magnitude that rounds beyond the largest half.
@@ -27,9 +27,13 @@ def halves(v: Column, message: str = "value out of range: overflow") -> Column:
 
 def to_half(v: Column) -> Column:
     """A vector or array as halfvec; values beyond 65504 are an error."""
-    wide = F.exists(v, lambda x: F.abs(d(x)) >= LIMIT)
-    first = F.element_at(F.filter(v, lambda x: F.abs(d(x)) >= LIMIT), 1)
-    return F.when(F.exists(v, lambda x: x.isNull()), fail("array must not contain nulls")).when(wide, fail('"', dense.number_to_text(first), '" is out of range for type halfvec')).otherwise(halves(v, "infinite value or NaN not allowed in halfvec"))
+
+    def checked(h: Column) -> Column:
+        first = F.element_at(F.filter(v, lambda x: F.abs(d(x)) >= LIMIT), 1)
+        wrong = F.when(F.exists(h, lambda x: x.isNull()), fail("array must not contain nulls")).when(F.exists(h, F.isnan), fail("infinite value or NaN not allowed in halfvec"))
+        return wrong.when(dense.unbounded(h), fail('"', dense.number_to_text(first), '" is out of range for type halfvec')).otherwise(h)
+
+    return dense.let(F.transform(v, round_half), checked)
 
 
 def array_to_halfvec(v: Column, dims: int | None = None) -> Column:
@@ -75,3 +79,41 @@ def halfvec_sub(a: Column, b: Column) -> Column:
 def halfvec_mul(a: Column, b: Column) -> Column:
     lost = F.exists(F.zip_with(a, b, lambda x, y: (x != 0) & (y != 0) & (round_half(d(x) * d(y)) == 0)), lambda x: x)
     return dense.matched(a, b, F.when(lost, fail("value out of range: underflow")).otherwise(halves(F.zip_with(a, b, lambda x, y: d(x) * d(y)))))
+
+
+halfvec_lt = dense.vector_lt
+halfvec_le = dense.vector_le
+halfvec_eq = dense.vector_eq
+halfvec_ne = dense.vector_ne
+halfvec_ge = dense.vector_ge
+halfvec_gt = dense.vector_gt
+halfvec_to_array = dense.vector_to_array
+binary_quantize = bits.binary_quantize
+
+
+def to_binary(v: Column) -> Column:
+    """The halves as two big-endian bytes each, for storage and exchange; v must hold halves."""
+    return F.unhex(F.array_join(F.transform(v, lambda x: F.lpad(F.hex(half_bits(x)), 4, "0")), ""))
+
+
+def half_bits(x: Column) -> Column:
+    """The 16 bits of a half as an integer."""
+    a = F.abs(d(x))
+    exponent = F.greatest(F.floor(F.log2(F.when(a > 0, a).otherwise(1.0))).cast("double"), F.lit(-14.0))
+    normal = a >= 2.0**-14
+    mantissa = F.when(normal, (a / F.pow(F.lit(2.0), exponent) - 1) * 1024).otherwise(a * 2.0**24).cast("bigint")
+    sign = F.when((d(x) < 0) | (x.cast("string") == "-0.0"), 32768).otherwise(0)
+    return (sign + F.when(normal, (exponent + 15) * 1024).otherwise(0.0).cast("bigint") + mantissa).cast("bigint")
+
+
+def from_binary(b: Column) -> Column:
+    """The halves of to_binary()."""
+    n = (F.length(b) / 2).cast("int")
+    raw = lambda k: F.conv(F.hex(F.substring(b, (k * 2 + 1).cast("int"), F.lit(2))), 16, 10).cast("bigint")
+
+    def value(r: Column) -> Column:
+        e, m = F.floor(r % 32768 / 1024), (r % 1024).cast("double")
+        size = F.when(e == 0, m * 2.0**-24).otherwise((1 + m / 1024) * F.pow(F.lit(2.0), e - 15))
+        return (size * F.when(r >= 32768, -1.0).otherwise(1.0)).cast("float")
+
+    return F.when(b.isNull(), None).when(n == 0, F.array().cast("array<float>")).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda k: value(raw(k))))

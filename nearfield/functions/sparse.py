@@ -24,9 +24,8 @@ def made(dim: Column, pairs: Column) -> Column:
 
 def to_sparse(v: Column) -> Column:
     """A dense vector (or halfvec, or array of numbers) as a sparse one."""
-    v = dense.array_to_vector(v)
-    pairs = F.transform(v, lambda x, k: F.struct(k.cast("int").alias("i"), x.alias("x")))
-    return F.when(v.isNull(), None).otherwise(made(F.size(v), pairs))
+    pairs = lambda r: F.transform(r, lambda x, k: F.struct(k.cast("int").alias("i"), x.alias("x")))
+    return let(dense.array_to_vector(v), lambda r: F.when(r.isNull(), None).otherwise(made(F.size(r), pairs(r))))
 
 
 def to_dense(s: Column) -> Column:
@@ -42,7 +41,7 @@ def to_dense(s: Column) -> Column:
 
 
 def to_half(s: Column) -> Column:
-    return half.to_half(to_dense(s))
+    return let(to_dense(s), half.to_half)
 
 
 def from_text(s: Column, dim: int | None = None) -> Column:
@@ -80,7 +79,7 @@ def to_text(s: Column) -> Column:
 
 
 def assert_dim(s: Column, dim: int) -> Column:
-    return F.when(s.isNull(), None).when(s["dim"] == dim, s).otherwise(fail("expected ", str(dim), " dimensions, not ", s["dim"]))
+    return let(s, lambda r: F.when(r.isNull(), None).when(r["dim"] == dim, r).otherwise(fail("expected ", str(dim), " dimensions, not ", r["dim"])))
 
 
 def merged(a: Column, b: Column, fn: Callable[[Column, Column], Column]) -> Column:
@@ -177,3 +176,10 @@ def sparsevec_ge(a: Column, b: Column) -> Column:
 
 def sparsevec_gt(a: Column, b: Column) -> Column:
     return sparsevec_cmp(a, b) > 0
+
+
+def sort_key(s: Column) -> Column:
+    """An array that orders as sparsevec_cmp() does: an element below zero comes before none, and the earlier the more so; one above zero after."""
+    far = F.lit(float(1 << 40))
+    items = F.zip_with(s["indices"], s["values"], lambda i, x: F.struct(F.when(x < 0, i - far).otherwise(far - i).alias("a"), d(x).alias("b")))
+    return F.when(s.isNull(), None).otherwise(F.concat(items, F.array(F.struct(F.lit(0.0).alias("a"), s["dim"].cast("double").alias("b")))))

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import re
+import uuid
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from nearfield.operators.english import english_tokens
+from nearfield.operators.english import analyzed, english_tokens
+from nearfield.session import shared_folder, spread
 
 K1, B = 1.2, 0.75
 MOST_TERMS = 64
@@ -75,6 +77,51 @@ def parsed(query: str) -> Term | Op:
     return out
 
 
+def words_of(text: str, analyzer: str = "simple") -> tuple[str, ...]:
+    """Distinct terms of a plain text, as the analyzer makes them."""
+    found = analyzed(text) if analyzer == "english" else re.findall(r"[^\W_]+", text.lower())
+    return tuple(dict.fromkeys(found or ()))
+
+
+def joined(kind: str, terms: tuple[str, ...]) -> Term | Op:
+    if not terms:
+        raise ValueError("the text query has no term")
+    if len(terms) > MOST_TERMS:
+        raise ValueError(f"a text query has at most {MOST_TERMS} terms")
+    return Term(terms[0]) if len(terms) == 1 else Op(kind, tuple(map(Term, terms)))
+
+
+def plain(text: str, analyzer: str = "simple") -> Term | Op:
+    """A query for all words of a plain text."""
+    return joined("&", words_of(text, analyzer))
+
+
+def phrase(text: str, analyzer: str = "simple") -> Term | Op:
+    """A query for a phrase: postings hold no positions, so that more than one word is an error."""
+    terms = words_of(text, analyzer)
+    if len(terms) > 1:
+        raise ValueError("unsupported in a text query: a phrase")
+    return joined("&", terms)
+
+
+def websearch(text: str, analyzer: str = "simple") -> Term | Op:
+    """A query as in web search: all words, either side of "or"; quoted phrases of one word. Negation (-) is an error."""
+    if re.search(r"(?:^|\s)-\S", text):
+        raise ValueError("unsupported in a text query: negation")
+    sides = []
+    for side in re.split(r"(?i)(?:^|\s)or(?=\s|$)", text):
+        quoted_ = [phrase(q, analyzer) for q in re.findall(r'"([^"]*)"', side) if words_of(q, analyzer)]
+        terms = tuple(dict.fromkeys([t.text for t in quoted_] + list(words_of(re.sub(r'"[^"]*"', " ", side), analyzer))))
+        if terms:
+            sides.append(joined("&", terms))
+    if not sides:
+        raise ValueError("the text query has no term")
+    out = sides[0] if len(sides) == 1 else Op("|", tuple(sides))
+    if len(terms_of(out)) > MOST_TERMS:
+        raise ValueError(f"a text query has at most {MOST_TERMS} terms")
+    return out
+
+
 def any_of(text: str) -> Term | Op:
     """A query for any word of a plain text."""
     found = tuple(dict.fromkeys(re.findall(r"[^\W_]+", text.lower())))
@@ -102,10 +149,12 @@ def matches(query: Term | Op, found: Column) -> Column:
 
 @dataclass(frozen=True)
 class Bm25Index:
-    """postings (doc_id, term, tf, dl), one row for each word of each document, and docs (doc_id, dl).
+    """postings (doc_id, term, tf, dl, generation), one row for each word of each document, and docs (doc_id, dl, generation).
 
-    dropped: ids of dead documents. They are never returned, but stay in the counts
-    until compaction.
+    dropped (doc_id, upto): dead documents, those of the generations up to `upto`.
+    They are never returned, but stay in the counts until compaction. terms (term,
+    df, cf) and counts (documents, their total length) are kept beside the postings
+    once the index is stored.
     """
 
     postings: DataFrame
@@ -113,6 +162,9 @@ class Bm25Index:
     dropped: DataFrame | None = None
     k1: float = K1
     b: float = B
+    generation: int = 0
+    terms: DataFrame | None = None
+    counts: tuple[int, int] | None = None
 
     @classmethod
     def of(cls, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vec_col: str | None = None, analyzer: str = "simple", k1: float = K1, b: float = B) -> Bm25Index:
@@ -122,61 +174,114 @@ class Bm25Index:
         rows = docs.where(F.col(text_col).isNotNull())
         if vec_col:
             rows = rows.where(F.col(vec_col).isNotNull() & F.exists(vec_col, lambda x: x != 0))
-        tokens = rows.select(F.col(id_col).alias("doc_id"), ANALYZERS[analyzer](F.col(text_col)).alias("tokens"))
-        sized = tokens.withColumn("dl", F.size("tokens").cast("bigint"))
+        rows = spread(rows.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
+        sized = rows.select("doc_id", ANALYZERS[analyzer](F.col("text")).alias("tokens")).withColumn("dl", F.size("tokens").cast("bigint"))
+        generation = F.lit(0).alias("generation")
         parts = sized.select("doc_id", "dl", F.explode("tokens").alias("term"))
-        return cls(parts.groupBy("doc_id", "term", "dl").agg(F.count("*").alias("tf")).select("doc_id", "term", "tf", "dl"), sized.select("doc_id", "dl"), None, k1, b)
+        postings = parts.groupBy("doc_id", "term", "dl").agg(F.count("*").alias("tf"))
+        return cls(postings.select("doc_id", "term", "tf", "dl", generation), sized.select("doc_id", "dl", generation), None, k1, b)
 
     def write(self, path: str) -> Bm25Index:
-        """Store the postings sorted by term, so that a query reads only its terms' row groups."""
+        """Store the postings sorted by term, so that a query reads only its terms' row groups, with terms and counts; the index that is read from there.
+
+        What is stored already is read while it is replaced, so path must be a new folder for a new state.
+        """
         self.docs.write.mode("overwrite").parquet(f"{path}/docs")
         self.postings.repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
         if self.dropped is not None:
-            self.dropped.select("doc_id").distinct().write.mode("overwrite").parquet(f"{path}/dropped")
-        return self
+            self.dropped.groupBy("doc_id").agg(F.max("upto").alias("upto")).write.mode("overwrite").parquet(f"{path}/dropped")
+        spark = self.docs.sparkSession
+        terms = replace(self, postings=spark.read.parquet(f"{path}/postings"), terms=None).lexicon()
+        terms.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
+        docs = spark.read.parquet(f"{path}/docs")
+        counts = docs.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total"), F.lit(self.generation).alias("generation"), F.lit(float(self.k1)).alias("k1"), F.lit(float(self.b)).alias("b"))
+        counts.write.mode("overwrite").parquet(f"{path}/counts")
+        return Bm25Index.read(spark, path)
+
+    def stored(self) -> Bm25Index:
+        """The index written to a new folder of the shared one."""
+        return self.write(f"{shared_folder(self.docs.sparkSession)}/bm25-{uuid.uuid4().hex}")
 
     @classmethod
-    def read(cls, spark: SparkSession, path: str, k1: float = K1, b: float = B) -> Bm25Index:
-        fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/dropped")
-        there = fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(fs_path)
-        return cls(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/docs"), spark.read.parquet(f"{path}/dropped") if there else None, k1, b)
+    def read(cls, spark: SparkSession, path: str, k1: float | None = None, b: float | None = None) -> Bm25Index:
+        def part(name: str) -> DataFrame | None:
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+            return spark.read.parquet(f"{path}/{name}") if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at) else None
+
+        own, postings, docs = part("counts"), part("postings"), part("docs")
+        if own is None or "batch" in docs.columns:  # batches from a stream: each a generation, counted when it is read
+            postings, docs = (x.withColumn("generation", F.col("batch").cast("int") + 1 if "batch" in x.columns else F.lit(0)).drop("batch") if "generation" not in x.columns or "batch" in x.columns else x for x in (postings, docs))
+            last = docs.agg(F.max("generation")).first()[0] or 0
+            return cls(postings, docs, part("dropped"), K1 if k1 is None else k1, B if b is None else b, last)
+        r = own.first()
+        return cls(postings, docs, part("dropped"), r["k1"] if k1 is None else k1, r["b"] if b is None else b, r["generation"], part("terms"), (r["n"], r["total"]))
 
     def append(self, other: Bm25Index) -> Bm25Index:
-        """A delta of new documents; they count at once."""
-        return replace(self, postings=self.postings.unionByName(other.postings), docs=self.docs.unionByName(other.docs))
+        """A delta of new documents, a generation of its own; they count at once."""
+        new = F.lit(self.generation + 1)
+        terms = None if self.terms is None else self.terms.unionByName(other.lexicon()).groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
+        counts = None if self.counts is None else tuple(x + y for x, y in zip(self.counts, other.sizes(), strict=True))
+        more = lambda a, b: a.unionByName(b.withColumn("generation", new))
+        return replace(self, postings=more(self.postings, other.live(other.postings)), docs=more(self.docs, other.live(other.docs)), generation=self.generation + 1, terms=terms, counts=counts)
 
     def delete(self, ids: DataFrame, id_col: str = "doc_id") -> Bm25Index:
-        new = ids.select(F.col(id_col).alias("doc_id"))
+        """Documents of these ids that are there now are dead; such as come later are not."""
+        new = ids.select(F.col(id_col).alias("doc_id"), F.lit(self.generation).alias("upto"))
         return replace(self, dropped=new if self.dropped is None else self.dropped.unionByName(new))
 
+    def upsert(self, other: Bm25Index) -> Bm25Index:
+        """Documents of other, in place of those of equal id."""
+        return self.delete(other.docs).append(other)
+
     def compact(self) -> Bm25Index:
         """Dead documents leave the counts too."""
-        return self if self.dropped is None else replace(self, postings=self.live(self.postings), docs=self.live(self.docs), dropped=None)
+        return self if self.dropped is None else replace(self, postings=self.live(self.postings), docs=self.live(self.docs), dropped=None, terms=None, counts=None)
+
+    def vacuum(self, threshold: int = 25) -> Bm25Index:
+        """Compacted once the documents that were added or died since the last time are `threshold` percent of the rest."""
+        dead = 0 if self.dropped is None else self.docs.join(self.dropped.groupBy("doc_id").agg(F.max("upto").alias("upto")), "doc_id").where("generation <= upto").count()
+        delta = self.docs.where("generation > 0").count()
+        base = self.docs.count() - delta
+        if (delta + dead) * 100 < base * threshold:
+            return self
+        out = self.compact()
+        first = F.lit(0).alias("generation")
+        return replace(out, postings=out.postings.drop("generation").select("*", first), docs=out.docs.drop("generation").select("*", first), generation=0, terms=None, counts=None)
 
     def live(self, rows: DataFrame) -> DataFrame:
-        return rows if self.dropped is None else rows.join(self.dropped.distinct(), "doc_id", "left_anti")
+        if self.dropped is None:
+            return rows
+        dead = self.dropped.groupBy(F.col("doc_id").alias("__dead")).agg(F.max("upto").alias("__upto"))
+        return rows.join(dead, (F.col("doc_id") == F.col("__dead")) & (F.col("generation") <= F.col("__upto")), "left_anti")
 
     def corpus_stats(self) -> DataFrame:
         """(doc_count, total_doc_len, unique_terms, avg_doc_len)"""
         docs = self.docs.agg(F.count("*").alias("doc_count"), F.coalesce(F.sum("dl"), F.lit(0)).cast("bigint").alias("total_doc_len"))
-        terms = self.postings.agg(F.countDistinct("term").alias("unique_terms"))
+        terms = self.lexicon().agg(F.count("*").alias("unique_terms"))
         return docs.crossJoin(terms).withColumn("avg_doc_len", F.when(F.col("doc_count") > 0, F.col("total_doc_len") / F.col("doc_count")).otherwise(0.0))
 
+    def sizes(self) -> tuple[int, int]:
+        """Documents and their total length."""
+        if self.counts is not None:
+            return self.counts
+        n, total = self.docs.agg(F.count("*"), F.sum("dl")).first()
+        return n, int(total or 0)
+
     def totals(self) -> tuple[int, float]:
         """Documents and their average length."""
-        n, total = self.docs.agg(F.count("*"), F.sum("dl")).first()
-        return n, (total or 0) / n if n else 0.0
+        n, total = self.sizes()
+        return n, total / n if n else 0.0
 
     def lexicon(self) -> DataFrame:
         """(term, df, cf)"""
-        return self.postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+        return self.terms if self.terms is not None else self.postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
     def scored(self, query: Term | Op, quantized: bool = False) -> DataFrame:
         """(doc_id, score) of all documents that satisfy the query. quantized: tf norms in steps of 1 / 65535."""
         terms = terms_of(query)
         n, average = self.totals()
         of_terms = self.postings.where(F.col("term").isin(terms))
-        df = {r["term"]: r["n"] for r in of_terms.groupBy("term").agg(F.count("*").alias("n")).collect()}
+        df = {r["term"]: r["df"] for r in self.lexicon().where(F.col("term").isin(terms)).collect()}
         if not df:
             return self.postings.where("false").select("doc_id", F.lit(0.0).alias("score"))
         idf = F.element_at(F.create_map(*[x for t, k in df.items() for x in (F.lit(t), F.log(F.lit(1 + (n - k + 0.5) / (k + 0.5))))]), F.col("term"))
@@ -195,7 +300,7 @@ class Bm25Index:
         n, average = self.totals()
         wanted = queries.select(F.col(query_id).alias("__q"), F.explode(F.array_distinct(terms_col)).alias("term"))
         of_terms = self.postings.join(wanted.select("term").distinct(), "term", "left_semi")
-        df = of_terms.groupBy("term").agg(F.count("*").alias("__df"))
+        df = self.lexicon().join(wanted.select("term").distinct(), "term", "left_semi").select("term", F.col("df").alias("__df"))
         idf = F.log(F.lit(1.0) + (F.lit(float(n)) - F.col("__df") + 0.5) / (F.col("__df") + 0.5))
         norm = F.lit(self.k1) * (F.lit(1 - self.b) + F.lit(self.b) * F.greatest(F.col("dl"), F.lit(1)) / F.lit(max(average, 1.0)))
         score = idf * (F.col("tf") * F.lit(self.k1 + 1) / (F.col("tf") + norm))

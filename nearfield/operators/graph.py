@@ -3,21 +3,76 @@
 from __future__ import annotations
 
 import heapq
-import pickle
+import io
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from nearfield.functions import bits
 from nearfield.operators import knn
 from nearfield.session import durable, ship
 
 
-def measure(x: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
+class Sparse:
+    """Rows of sparse vectors over the indices that any of them has."""
+
+    def __init__(self, n: int, of: np.ndarray, index: np.ndarray, value: np.ndarray, used: np.ndarray):
+        self.n, self.of, self.index, self.value, self.used = n, of, index, value, used
+        self.begin = np.searchsorted(of, np.arange(n + 1))
+        self.square, self.total = np.bincount(of, value**2, n), np.bincount(of, np.abs(value), n)
+
+    @classmethod
+    def of_column(cls, column: pa.Array, unit: bool) -> Sparse:
+        r = knn.SparseRows(column)
+        used, index = np.unique(r.index, return_inverse=True)
+        value = r.value / np.sqrt(r.square)[r.of] if unit else r.value
+        return cls(r.n, r.of, index, value, used)
+
+    def __len__(self) -> int:
+        return self.n
+
+    def __getitem__(self, k: object) -> Sparse | Query:
+        if isinstance(k, (int, np.integer)):
+            part = slice(self.begin[k], self.begin[k + 1])
+            return Query(self.index[part], self.value[part], len(self.used))
+        k = np.asarray(k)
+        many = self.begin[k + 1] - self.begin[k]
+        at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(self.begin[k], many)
+        return Sparse(len(k), np.repeat(np.arange(len(k)), many), self.index[at], self.value[at], self.used)
+
+    def query(self, vector: dict[int, float], unit: bool) -> Query:
+        """A query; what it has at indices that no row has is the same for all rows."""
+        items = sorted(vector.items())
+        index, value = np.array([i for i, _ in items], np.int64), np.array([x for _, x in items], np.float64)
+        value = value / (np.sqrt((value**2).sum()) or 1) if unit else value
+        at = np.minimum(np.searchsorted(self.used, index), max(len(self.used) - 1, 0))
+        hit = self.used[at] == index if len(self.used) else np.zeros(len(index), bool)
+        return Query(at[hit], value[hit], len(self.used))
+
+    def measure(self, q: Query, metric: str) -> np.ndarray:
+        own = q.dense[self.index]
+        if metric == "l1":
+            return self.total + q.total + np.bincount(self.of, np.abs(self.value - own) - np.abs(self.value) - np.abs(own), self.n)
+        ip = np.bincount(self.of, self.value * own, self.n)
+        return -ip if metric in ("ip", "cosine") else self.square + q.square - 2 * ip
+
+
+class Query:
+    def __init__(self, index: np.ndarray, value: np.ndarray, width: int):
+        self.dense = np.zeros(width)
+        self.dense[index] = value
+        self.square, self.total = float((value**2).sum()), float(np.abs(value).sum())
+
+
+def measure(x: np.ndarray | Sparse, q: np.ndarray | Query, metric: str) -> np.ndarray:
     """Distances that order as the metric's, of rows to one query."""
+    if isinstance(x, Sparse):
+        return x.measure(q, metric)
     if metric == "jaccard":
         both, either = np.minimum(x, q).sum(-1), np.maximum(x, q).sum(-1)
         return np.where(both > 0, 1 - both / np.maximum(either, 1), 1.0)
@@ -52,7 +107,7 @@ class Graph:
             self.entry = node
             return
         q, top = self.x[node], len(self.links[self.entry]) - 1
-        near = [(float(measure(self.x[self.entry], q, self.metric)), self.entry)]
+        near = [(float(measure(self.x[[self.entry]], q, self.metric)[0]), self.entry)]
         for layer in range(top, level, -1):
             near = self.layer(q, near, 1, layer)
         for layer in range(min(top, level), -1, -1):
@@ -71,7 +126,8 @@ class Graph:
     def chosen(self, near: list[tuple[float, int]], n: int) -> list[int]:
         """Neighbours that lie closer to the node than to one another; then the nearest of the rest."""
         x = self.x[[e for _, e in near]]
-        apart = (np.stack([measure(x, row, self.metric) for row in x]) if self.metric in ("l1", "hamming", "jaccard") else self.apart(x)).tolist()
+        plain = isinstance(x, Sparse) or self.metric in ("l1", "hamming", "jaccard")
+        apart = (np.stack([measure(x, x[k], self.metric) for k in range(len(x))]) if plain else self.apart(x)).tolist()
         kept: list[int] = []
         rest: list[int] = []
         for k, (d, _) in enumerate(near):
@@ -115,12 +171,62 @@ class Graph:
     def search(self, q: np.ndarray, ef: int) -> list[tuple[float, int]]:
         if self.entry < 0:
             return []
-        near = [(float(measure(self.x[self.entry], q, self.metric)), self.entry)]
+        near = [(float(measure(self.x[[self.entry]], q, self.metric)[0]), self.entry)]
         for layer in range(len(self.links[self.entry]) - 1, 0, -1):
             near = self.layer(q, near, 1, layer)
         return self.layer(q, near, ef, 0)
 
 
+def kind(df: DataFrame, vec_col: str) -> str:
+    """dense, sparse or bits, by the column's type."""
+    t = df.schema[vec_col].dataType
+    return "dense" if not isinstance(t, StructType) else "sparse" if "indices" in t.names else "bits"
+
+
+def packed(graph: Graph, members: list[list[int]]) -> bytes:
+    """A shard's graph as plain arrays."""
+    arrays = {
+        "levels": np.array([len(x) for x in graph.links], np.int32),
+        "sizes": np.array([len(y) for x in graph.links for y in x], np.int32),
+        "links": np.array([o for x in graph.links for y in x for o in y], np.int32),
+        "entry": np.array([graph.entry], np.int32),
+        "many": np.array([len(m) for m in members], np.int32),
+        "members": np.array([r for m in members for r in m], np.int32),
+    }
+    if isinstance(graph.x, Sparse):
+        arrays |= {"of": graph.x.of.astype(np.int32), "index": graph.x.index.astype(np.int32), "value": graph.x.value.astype(np.float32), "used": graph.x.used}
+    else:
+        arrays["x"] = graph.x.astype(np.float32)
+    out = io.BytesIO()
+    np.savez(out, **arrays)
+    return out.getvalue()
+
+
+def unpacked(data: bytes, metric: str) -> tuple[Graph, list[list[int]]]:
+    with np.load(io.BytesIO(data), allow_pickle=False) as a:
+        a = dict(a)
+    graph = Graph(metric)
+    links, sizes, at, k = a["links"].tolist(), a["sizes"].tolist(), 0, 0
+    for layers in a["levels"].tolist():
+        own = []
+        for size in sizes[k : k + layers]:
+            own.append(links[at : at + size])
+            at += size
+        graph.links.append(own)
+        k += layers
+    graph.entry = int(a["entry"][0])
+    if "x" in a:
+        graph.x = a["x"].astype(np.float64)
+    else:
+        graph.x = Sparse(len(a["levels"]), a["of"].astype(np.int64), a["index"].astype(np.int64), a["value"].astype(np.float64), a["used"])
+    ends = np.cumsum(a["many"])
+    return graph, [a["members"][e - n : e].tolist() for e, n in zip(ends.tolist(), a["many"].tolist(), strict=True)]
+
+
+#: Numbers that the vectors of a shard hold at most, unless one vector has more.
+SHARD_NUMBERS = 32 << 20
+
+
 @dataclass(frozen=True)
 class GraphIndex:
     """graphs (shard, graph, ids): one row for each shard of about shard_rows vectors."""
@@ -130,74 +236,115 @@ class GraphIndex:
     metric: str
     id_col: str
     vec_col: str
+    m: int = 16
+    ef_construction: int = 64
 
     @classmethod
     def build(cls, df: DataFrame, metric: str = "l2", m: int = 16, ef_construction: int = 64, shard_rows: int = 20_000, id_col: str = "vec_id", vec_col: str = "embedding", seed: int = 0) -> GraphIndex:
-        """NULL vectors, and zero vectors for cosine, aren't indexed. Shards are built side by side; their number grows with the data."""
+        """Graphs over dense, sparse or bit vectors, by l2, ip, cosine or l1, and hamming or jaccard for bits.
+
+        NULL vectors, and zero vectors for cosine, aren't indexed. Shards are built side
+        by side; their number grows with the data, in rows and in numbers.
+        """
         Graph(metric, m, ef_construction)
         ship(df.sparkSession)
+        kind_of = kind(df, vec_col)
         rows = df.where(F.col(vec_col).isNotNull())
-        rows = rows.where(F.exists(vec_col, lambda x: x != 0)) if metric == "cosine" else rows
-        shards = max(1, -(-rows.count() // shard_rows))
-        kind = rows.schema[id_col].dataType.simpleString()
+        values = F.col(f"{vec_col}.values") if kind_of == "sparse" else F.col(vec_col)
+        rows = rows.where(F.exists(values, lambda x: x != 0)) if metric == "cosine" else rows
+        n, numbers = rows.agg(F.count("*"), F.sum(F.size(values if kind_of != "bits" else f"{vec_col}.words"))).first()
+        shards = max(1, -(-n // shard_rows), -(-int(numbers or 0) * (64 if kind_of == "bits" else 1) // SHARD_NUMBERS))
+        itype, unit = rows.schema[id_col].dataType.simpleString(), metric == "cosine"
 
         def make(table: pa.Table) -> pa.Table:
             table = table.sort_by("id")
-            x = knn.vectors(table["v"].combine_chunks())
-            x = x / np.sqrt((x * x).sum(1, keepdims=True)) if metric == "cosine" else x
-            x, of = np.unique(x, axis=0, return_inverse=True)
-            order = np.random.default_rng(seed).permutation(len(x))
-            at = np.empty_like(order)
-            at[order] = np.arange(len(x))
-            members: list[list[int]] = [[] for _ in range(len(x))]
-            for row, node in enumerate(at[of]):
-                members[node].append(row)
-            graph = Graph(metric, m, ef_construction, seed).fill(x[order])
-            data = pickle.dumps((graph, members))
-            return pa.table({"shard": table["shard"][:1], "graph": pa.array([data], pa.binary()), "ids": pa.array([table["id"].to_pylist()])})
+            column = table["v"].combine_chunks()
+            if kind_of == "sparse":
+                x = Sparse.of_column(column, unit)
+                rows_of: dict[bytes, list[int]] = {}
+                for k in range(len(x)):
+                    part = slice(x.begin[k], x.begin[k + 1])
+                    rows_of.setdefault(x.index[part].tobytes() + x.value[part].tobytes(), []).append(k)
+                groups = list(rows_of.values())
+            else:
+                x = knn.vectors(column)
+                x = x / np.sqrt((x * x).sum(1, keepdims=True)) if unit else x
+                of = np.unique(x, axis=0, return_inverse=True)[1]
+                by = np.argsort(of, kind="stable")
+                groups = [g.tolist() for g in np.split(by, np.flatnonzero(np.diff(of[by])) + 1)]
+            order = np.random.default_rng(seed).permutation(len(groups))
+            members = [groups[k] for k in order]
+            graph = Graph(metric, m, ef_construction, seed).fill(x[[g[0] for g in members]])
+            return pa.table({"shard": table["shard"][:1], "graph": pa.array([packed(graph, members)], pa.binary()), "ids": pa.array([table["id"].to_pylist()])})
 
         keyed = rows.select(F.pmod(F.xxhash64(id_col), F.lit(shards)).alias("shard"), F.col(id_col).alias("id"), F.col(vec_col).alias("v"))
-        graphs = durable(keyed.groupBy("shard").applyInArrow(make, f"shard bigint, graph binary, ids array<{kind}>"), "graphs")
-        return cls(rows, graphs, metric, id_col, vec_col)
+        graphs = durable(keyed.groupBy("shard").applyInArrow(make, f"shard bigint, graph binary, ids array<{itype}>"), "graphs")
+        return cls(rows, graphs, metric, id_col, vec_col, m, ef_construction)
+
+    def append(self, df: DataFrame) -> GraphIndex:
+        """New rows, as shards of their own beside those there are; vacuum() joins them."""
+        new = GraphIndex.build(df, self.metric, self.m, self.ef_construction, id_col=self.id_col, vec_col=self.vec_col)
+        return replace(self, rows=self.rows.unionByName(new.rows), graphs=self.graphs.unionByName(new.graphs))
+
+    def vacuum(self, threshold: int = 25, shard_rows: int = 20_000) -> GraphIndex:
+        """Built anew once `threshold` percent of the nodes' rows are dead, or shards are less than half full on average; else as it is."""
+        live = self.rows.count()
+        shards, held = self.graphs.agg(F.count("*"), F.coalesce(F.sum(F.size("ids")), F.lit(0))).first()
+        if (held - live) * 100 < held * threshold and shards <= max(1, 2 * -(-held // shard_rows)):
+            return self
+        return GraphIndex.build(self.rows, self.metric, self.m, self.ef_construction, shard_rows, self.id_col, self.vec_col)
 
     def stored(self, path: str) -> GraphIndex:
         """The index with its graphs written to path."""
         self.graphs.write.mode("overwrite").parquet(path)
-        return GraphIndex(self.rows, self.graphs.sparkSession.read.parquet(path), self.metric, self.id_col, self.vec_col)
+        return replace(self, graphs=self.graphs.sparkSession.read.parquet(path))
 
-    def search_many(self, queries: Sequence[tuple[object, Sequence[float]]], k: int, ef_search: int = 40) -> DataFrame:
-        """(query_id, id, distance, rank): each shard's ef_search nearest, merged, measured exactly."""
+    def search_many(self, queries: Sequence[tuple[object, Sequence[float] | dict[int, float]]], k: int, ef_search: int = 40) -> DataFrame:
+        """(query_id, id, distance, rank): each shard's ef_search nearest, merged, measured exactly.
+
+        Sparse queries are given as numbers by index, bit strings as zeros and ones.
+        """
         names, metric = [n for n, _ in queries], self.metric
-        block = np.array([v for _, v in queries], np.float64)
-        kind = self.rows.schema[self.id_col].dataType.simpleString()
-        qtype = "bigint" if all(isinstance(n, int) for n in names) else "string"
+        itype, vtype = self.rows.schema[self.id_col].dataType.simpleString(), self.rows.schema[self.vec_col].dataType.simpleString()
+        qtype, kind_of = "bigint" if all(isinstance(n, int) for n in names) else "string", kind(self.rows, self.vec_col)
+        vectors = [v for _, v in queries]
 
         def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                for raw, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    graph, members = pickle.loads(raw)
-                    found = [(n, ids[row]) for n, q in zip(names, block, strict=True) for _, node in graph.search(q, max(k, ef_search)) for row in members[node]]
+                for raw, ids in zip(b.column(0), b.column(1), strict=True):
+                    graph, members = unpacked(raw.as_py(), metric)
+                    own = [graph.x.query(v, metric == "cosine") if kind_of == "sparse" else np.asarray(v, np.float64) for v in vectors]
+                    found = [(n, row) for n, q in zip(names, own, strict=True) for _, node in graph.search(q, max(k, ef_search)) for row in members[node]]
                     columns = list(zip(*found, strict=True)) or [(), ()]
-                    yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64() if qtype == "bigint" else pa.string()), pa.array(columns[1], b.column(1).type.value_type)], ["query_id", "id"])
+                    yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64() if qtype == "bigint" else pa.string()), ids.values.take(pa.array(columns[1], pa.int64()))], ["query_id", "id"])
 
-        near = self.graphs.select("graph", "ids").mapInArrow(find, f"query_id {qtype}, id {kind}")
+        near = self.graphs.select("graph", "ids").mapInArrow(find, f"query_id {qtype}, id {itype}")
         spark = self.rows.sparkSession
-        vectors = spark.createDataFrame([(n, [float(x) for x in v]) for n, v in queries], f"__n {qtype}, __q array<double>")
-        pairs = near.join(F.broadcast(vectors), near["query_id"] == F.col("__n")).join(self.rows.select(F.col(self.id_col).alias("id"), F.col(self.vec_col).alias("__v")), "id")
-        exact = "l1" if metric == "hamming" else metric
-        if metric == "jaccard":
-            v, q = F.col("__v"), F.col("__q")
+        if kind_of == "sparse":
+            dim = (self.rows.select(F.col(f"{self.vec_col}.dim")).first() or [1])[0]
+            given = [(n, (dim, sorted(v), [float(v[i]) for i in sorted(v)])) for n, v in queries]
+            sent = spark.createDataFrame(given, f"__n {qtype}, __q {vtype}")
+        else:
+            sent = spark.createDataFrame([(n, [float(x) for x in v]) for n, v in queries], f"__n {qtype}, __q array<double>")
+            sent = sent.withColumn("__q", bits.packed(F.transform("__q", lambda x: x > 0))) if kind_of == "bits" else sent
+        pairs = near.join(F.broadcast(sent), near["query_id"] == F.col("__n")).join(self.rows.select(F.col(self.id_col).alias("id"), F.col(self.vec_col).alias("__v")), "id")
+        v, q = F.col("__v"), F.col("__q")
+        if metric == "jaccard" and kind_of == "dense":
             total = lambda f: F.aggregate(F.zip_with(v, q, lambda x, y: f(x.cast("double"), y)), F.lit(0.0), lambda s, x: s + x)
             both = total(F.least)
             distance: Column = F.when(both > 0, 1 - both / total(F.greatest)).otherwise(1.0)
         else:
-            distance = knn.METRICS[exact](F.col("__v"), F.col("__q"))
+            name = f"sparse_{metric}" if kind_of == "sparse" else "l1" if metric == "hamming" and kind_of == "dense" else metric
+            distance = knn.METRICS[name](v, q)
         measured = pairs.select("query_id", F.col("id").alias(self.id_col), F.round(distance, 9).alias("distance"))
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("distance").asc_nulls_last(), self.id_col))
         return measured.withColumn("rank", rank.cast("bigint")).where(F.col("rank") <= k)
 
-    def search(self, query: Sequence[float], k: int, ef_search: int = 40, where: Column | None = None, max_scan: int = 20_000) -> DataFrame:
-        """The k nearest rows; with where, ef_search doubles until k rows pass or max_scan are looked at."""
+    def search(self, query: Sequence[float] | dict[int, float], k: int, ef_search: int = 40, where: Column | None = None, max_scan: int = 20_000) -> DataFrame:
+        """The k nearest rows, always in strict order of distance; with where, ef_search doubles until k rows pass or max_scan are looked at.
+
+        Fewer than k rows then mean that max_scan ended the search.
+        """
         ef = ef_search
         while True:
             near = self.search_many([(0, query)], max(k, ef), ef).select(self.id_col, "distance")
@@ -210,7 +357,7 @@ class GraphIndex:
 
     def delete(self, ids: DataFrame) -> GraphIndex:
         """Dead rows are found no more; their nodes stay until the next build."""
-        return GraphIndex(self.rows.join(ids.select(self.id_col).distinct(), self.id_col, "left_anti"), self.graphs, self.metric, self.id_col, self.vec_col)
+        return replace(self, rows=self.rows.join(ids.select(self.id_col).distinct(), self.id_col, "left_anti"))
 
     def stats(self) -> DataFrame:
         """(shard, n_rows, graph_bytes)"""

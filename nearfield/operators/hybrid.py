@@ -6,7 +6,7 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from nearfield.operators.bm25 import Bm25Index
@@ -79,6 +79,13 @@ def ranked(rows: DataFrame, order: list[Column], k: int, score: Column, branch:
     return top.select("id", rank.alias(f"{branch}_rank"), F.col("__s").alias(f"{branch}_score"))
 
 
+def scaled_score(c: str, over: WindowSpec) -> Column:
+    """A branch's score brought to 0 .. 1 over the candidates; 0 for those that the branch doesn't have."""
+    low, high = F.min(c).over(over), F.max(c).over(over)
+    flat = F.when(F.col(c) > 0, 1.0).otherwise(0.0)
+    return F.coalesce(F.when(F.col(c).isNull(), 0.0).when(high > low, (F.col(c) - low) / (high - low)).otherwise(flat), F.lit(0.0))
+
+
 def fuse(dense: DataFrame | None, lexical: DataFrame | None, query: HybridQuery) -> DataFrame:
     """(id, dense_rank, bm25_rank, dense_score, bm25_score, score) from (id, dense_rank, dense_score) and (id, bm25_rank, bm25_score)."""
     parts = []
@@ -97,13 +104,7 @@ def fuse(dense: DataFrame | None, lexical: DataFrame | None, query: HybridQuery)
     else:
         alpha = 0.5 if query.alpha is None else query.alpha
         whole = Window.partitionBy()
-
-        def scaled(c: str) -> Column:
-            low, high = F.min(c).over(whole), F.max(c).over(whole)
-            flat = F.when(F.col(c) > 0, 1.0).otherwise(0.0)
-            return F.coalesce(F.when(F.col(c).isNull(), 0.0).when(high > low, (F.col(c) - low) / (high - low)).otherwise(flat), F.lit(0.0))
-
-        score = F.lit(alpha) * scaled("dense_score") + F.lit(1 - alpha) * scaled("bm25_score")
+        score = F.lit(alpha) * scaled_score("dense_score", whole) + F.lit(1 - alpha) * scaled_score("bm25_score", whole)
     return union.select("id", *names, F.round(score, 9).alias("score"))
 
 
@@ -145,20 +146,30 @@ def hybrid_search(
     return fuse(dense, lexical, query).orderBy(*fused_order()).limit(cut)
 
 
-def hybrid_search_many(docs: DataFrame, queries: DataFrame, k: int, index: Bm25Index | None = None, branch_k: int = DEFAULT_K, rrf_k: int = DEFAULT_RRF_K, metric: str = "cosine", query_id: str = "query_id", id_col: str = "doc_id", vec_col: str = "embedding", text_col: str = "text") -> DataFrame:
-    """(query_id, id, dense_rank, bm25_rank, score, rank) by reciprocal ranks, for many queries (query_id, query, terms) in one job."""
+def hybrid_search_many(
+    docs: DataFrame, queries: DataFrame, k: int, index: Bm25Index | None = None, branch_k: int = DEFAULT_K, rrf_k: int = DEFAULT_RRF_K, metric: str = "cosine", query_id: str = "query_id", id_col: str = "doc_id", vec_col: str = "embedding", text_col: str = "text",
+    fusion: str = "rrf", alpha: float = 0.5, require_bm25_match: bool = False,
+) -> DataFrame:
+    """(query_id, id, dense_rank, bm25_rank, score, rank) by reciprocal ranks or weighted scores, for many queries (query_id, query, terms) in one job."""
     usable = docs.where(F.col(vec_col).isNotNull() & F.exists(vec_col, lambda x: x != 0)) if metric == "cosine" else docs.where(F.col(vec_col).isNotNull())
     index = index or Bm25Index.of(usable, id_col, text_col)
     dense = knn_join(queries, usable, branch_k, metric, query_id, "query", id_col, vec_col)
     lexical = index.topk_many(queries, branch_k, query_id)
-    none = F.lit(None).cast("bigint")
-    parts = dense.select(query_id, F.col(id_col).alias("id"), F.col("rank").alias("dense_rank"), none.alias("bm25_rank"))
-    parts = parts.unionByName(lexical.select(query_id, F.col("doc_id").alias("id"), none.alias("dense_rank"), F.col("rank").alias("bm25_rank")))
-    union = parts.groupBy(query_id, "id").agg(F.max("dense_rank").alias("dense_rank"), F.max("bm25_rank").alias("bm25_rank"))
-    share = lambda r: F.coalesce(F.lit(1.0) / (F.lit(float(rrf_k)) + F.col(r)), F.lit(0.0))
-    fused = union.withColumn("score", F.round(share("dense_rank") + share("bm25_rank"), 9))
+    none, no_score = F.lit(None).cast("bigint"), F.lit(None).cast("double")
+    parts = dense.select(query_id, F.col(id_col).alias("id"), F.col("rank").alias("dense_rank"), none.alias("bm25_rank"), (-F.col("distance")).alias("dense_score"), no_score.alias("bm25_score"))
+    parts = parts.unionByName(lexical.select(query_id, F.col("doc_id").alias("id"), none.alias("dense_rank"), F.col("rank").alias("bm25_rank"), no_score.alias("dense_score"), F.col("score").alias("bm25_score")))
+    names = ["dense_rank", "bm25_rank", "dense_score", "bm25_score"]
+    union = parts.groupBy(query_id, "id").agg(*[F.max(c).alias(c) for c in names])
+    union = union.where(F.col("bm25_rank").isNotNull()) if require_bm25_match else union
+    if fusion == "rrf":
+        share = lambda r: F.coalesce(F.lit(1.0) / (F.lit(float(rrf_k)) + F.col(r)), F.lit(0.0))
+        score = share("dense_rank") + share("bm25_rank")
+    else:
+        own = Window.partitionBy(query_id)
+        score = F.lit(alpha) * scaled_score("dense_score", own) + F.lit(1 - alpha) * scaled_score("bm25_score", own)
+    fused = union.withColumn("score", F.round(score, 9))
     rank = F.row_number().over(Window.partitionBy(query_id).orderBy(*fused_order()))
-    return fused.withColumn("rank", rank.cast("bigint")).where(F.col("rank") <= k)
+    return fused.withColumn("rank", rank.cast("bigint")).where(F.col("rank") <= k).drop("dense_score", "bm25_score")
 
 
 def rrf_full_outer(dense: DataFrame, lexical: DataFrame, k: int = DEFAULT_RRF_K) -> DataFrame:

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
+from nearfield.functions import bits
 from nearfield.operators import knn
-from nearfield.session import ship
+from nearfield.session import shared_folder, ship
 
 MOST_LISTS = 32768
 
@@ -58,7 +60,7 @@ def with_list(schema: StructType) -> StructType:
 
 @dataclass(frozen=True)
 class IvfIndex:
-    """Rows with their list_id, and the lists' centres. metric: l2, ip or cosine; hamming on 0/1 vectors counts differing bits."""
+    """Rows with their list_id, and the lists' centres. metric: l2, ip or cosine; hamming counts differing bits of bit strings or 0/1 vectors."""
 
     rows: DataFrame
     centers: np.ndarray
@@ -81,7 +83,7 @@ class IvfIndex:
         n, want = usable.count(), sample or max(50 * lists, 10000)
         key = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1 << 40))
         some = usable if n <= 2 * want else usable.where(key < int((1 << 40) * 1.5 * want / n))
-        got = some.orderBy(key, id_col).limit(want).select(F.col(vec_col).cast("array<double>").alias("v")).toArrow()["v"].combine_chunks()
+        got = some.orderBy(key, id_col).limit(want).select(cls.plain(df, vec_col).alias("v")).toArrow()["v"].combine_chunks()
         x = knn.vectors(got) if len(got) else np.zeros((0, 1))
         spherical = metric in ("ip", "cosine")
         centers = kmeans(unit(x) if spherical else x, lists, spherical, seed=seed)
@@ -110,8 +112,25 @@ class IvfIndex:
 
     def write(self, path: str) -> IvfIndex:
         """Store the rows by list, so that a probe reads its lists' folders only."""
-        self.rows.repartition("list_id").write.mode("overwrite").partitionBy("list_id").parquet(path)
-        return IvfIndex(self.rows.sparkSession.read.parquet(path), self.centers, self.metric, self.id_col, self.vec_col)
+        spark = self.rows.sparkSession
+        self.rows.repartition("list_id").write.mode("overwrite").partitionBy("list_id").parquet(f"{path}/rows")
+        centers = [(k, c.tolist(), self.metric, self.id_col, self.vec_col) for k, c in enumerate(self.centers)]
+        spark.createDataFrame(centers, "list_id int, center array<double>, metric string, id_col string, vec_col string").write.mode("overwrite").parquet(f"{path}/centers")
+        return IvfIndex.read(spark, path)
+
+    @classmethod
+    def read(cls, spark: SparkSession, path: str) -> IvfIndex:
+        got = spark.read.parquet(f"{path}/centers").orderBy("list_id").collect()
+        return cls(spark.read.parquet(f"{path}/rows"), np.array([r["center"] for r in got]), got[0]["metric"], got[0]["id_col"], got[0]["vec_col"])
+
+    def stored(self) -> IvfIndex:
+        """The index written to a new folder of the shared one."""
+        return self.write(f"{shared_folder(self.rows.sparkSession)}/ivf-{uuid.uuid4().hex}")
+
+    @staticmethod
+    def plain(df: DataFrame, vec_col: str) -> Column:
+        """Vectors as double precision, bit strings as they are."""
+        return F.col(vec_col) if isinstance(df.schema[vec_col].dataType, StructType) else F.col(vec_col).cast("array<double>")
 
     def append(self, df: DataFrame) -> IvfIndex:
         return IvfIndex(self.rows.unionByName(self.assigned(df)), self.centers, self.metric, self.id_col, self.vec_col)
@@ -126,6 +145,8 @@ class IvfIndex:
         return np.argsort(score, kind="stable")
 
     def distance(self, query: Sequence[float]) -> Column:
+        if isinstance(self.rows.schema[self.vec_col].dataType, StructType):
+            return bits.hamming_distance(F.col(self.vec_col), bits.packed(F.array(*[F.lit(bool(x)) for x in query])))
         if self.metric == "hamming":
             return knn.METRICS["l1"](F.col(self.vec_col), knn.literal(query))
         return knn.METRICS[self.metric](F.col(self.vec_col), knn.literal(query))
@@ -143,24 +164,40 @@ class IvfIndex:
             n += max(probes, n)
 
     def search_many(self, queries: DataFrame, k: int, probes: int = 1, query_id: str = "query_id", query_vec: str = "query") -> DataFrame:
-        """(query_id, id, distance, rank): each query probes its own lists, by a join on list_id."""
-        ship(queries.sparkSession)
-        centers, metric = self.centers, self.metric
-        q = queries.where(F.col(query_vec).isNotNull()).select(query_id, F.col(query_vec).cast("array<double>").alias("__q"))
-        lists = min(probes, len(centers))
+        """(query_id, id, distance, rank): each query's k nearest rows of the lists that it probes.
 
-        def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                x = knn.vectors(b.column(1), centers.shape[1])
-                score = -x @ centers.T if metric in ("ip", "cosine") else (centers * centers).sum(1)[None, :] - 2 * x @ centers.T
-                near = np.argsort(score, axis=1, kind="stable")[:, :lists].astype(np.int32)
-                take = pa.array(np.repeat(np.arange(len(x)), lists))
-                yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(near.ravel())], [query_id, "__q", "list_id"])
-
-        pairs = q.mapInArrow(probe, with_list(q.schema)).join(self.rows.select(F.col(self.id_col).alias("__id"), F.col(self.vec_col).alias("__v"), "list_id"), "list_id")
-        measured = pairs.select(query_id, F.col("__id").alias(self.id_col), F.round(knn.METRICS["l1" if metric == "hamming" else metric](F.col("__v"), F.col("__q")), 9).alias("distance"))
-        rank = F.row_number().over(Window.partitionBy(query_id).orderBy(F.col("distance").asc_nulls_last(), self.id_col))
-        return measured.withColumn("rank", rank.cast("bigint")).where(F.col("rank") <= k)
+        Queries travel to the rows in rounds; each task measures the rows of a list
+        with the queries that probe it, by matrix products, and keeps k a query and
+        batch. No row is shuffled, so that long lists don't weigh on one task.
+        """
+        ship(queries.sparkSession)
+        centers, metric, lists = self.centers, self.metric, min(probes, len(self.centers))
+        flat = "l1" if metric == "hamming" else metric
+        q = queries.where(F.col(query_vec).isNotNull()).select(F.col(query_id).alias("q"), self.plain(queries, query_vec).alias("v"))
+        qtype, itype = q.schema["q"].dataType.simpleString(), self.rows.schema[self.id_col].dataType.simpleString()
+        rows = self.rows.select(F.col(self.id_col).alias("i"), F.col(self.vec_col).alias("v"), "list_id")
+
+        def scan(part: pa.Table) -> DataFrame:
+            names, qs = part["q"].combine_chunks(), knn.vectors(part["v"].combine_chunks(), centers.shape[1])
+            score = -qs @ centers.T if metric in ("ip", "cosine") else (centers * centers).sum(1)[None, :] - 2 * qs @ centers.T
+            near = np.argsort(score, axis=1, kind="stable")[:, :lists]
+            of = {int(n): np.flatnonzero((near == n).any(1)) for n in np.unique(near)}
+
+            def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    own, place = batch.column(2).to_numpy(zero_copy_only=False), knn.places(batch.column(0))
+                    x = knn.vectors(batch.column(1), centers.shape[1])
+                    for n in np.unique(own).tolist():
+                        row = np.flatnonzero(own == n)
+                        for a in range(0, len(of.get(n, ())), 1024):
+                            some = of[n][a : a + 1024]
+                            for query, at, distance in knn.first_of(x[row], qs[some], place[row], k, flat, 9):
+                                yield pa.RecordBatch.from_arrays([names.take(pa.array(some[query])), batch.column(0).take(pa.array(row[at])), pa.array(distance)], ["q", "i", "distance"])
+
+            return rows.where(F.col("list_id").isin(list(of))).mapInArrow(search, f"q {qtype}, i {itype}, distance double")
+
+        found = knn.in_rounds(q, 8 * centers.shape[1], knn.SENT_BYTES, k, scan)
+        return found.select(F.col("q").alias(query_id), F.col("i").alias(self.id_col), "distance", "rank")
 
     def stats(self) -> DataFrame:
         """(list_id, n)"""

@@ -160,17 +160,19 @@ def vector_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed(scaled(spark, sf_dir), [F.col("embedding"), F.col("vec_id")]).select("vec_id", "place")
 
 
-@query("SELECT vec_id, true AS same, len(embedding)::BIGINT AS dims FROM embeddings")
+@query("SELECT vec_id, len(embedding)::BIGINT AS dims, round(list_sum([x::DOUBLE FOR x IN embedding]), 5) + 0.0 AS total, round(embedding[64]::DOUBLE, 6) + 0.0 AS last FROM embeddings")
 def vector_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = dense.vector_from_text(dense.vector_to_text(F.col("embedding")))
-    return table(spark, sf_dir, "embeddings").select("vec_id", (back == F.col("embedding")).alias("same"), F.size(back).cast("bigint").alias("dims"))
+    e = table(spark, sf_dir, "embeddings").select("vec_id", back.alias("v"))
+    return e.select("vec_id", F.size("v").cast("bigint").alias("dims"), (F.round(dense.total(F.transform("v", dense.d)), 5) + 0.0).alias("total"), (F.round(F.col("v")[63].cast("double"), 6) + 0.0).alias("last"))
 
 
-@query("SELECT o_orderkey, [o_orderkey % 100, o_custkey % 100]::FLOAT[] = [o_orderkey % 100, o_custkey % 100]::FLOAT[] AS same, round(o_totalprice::FLOAT::DOUBLE, 2) AS price FROM orders")
+@query("SELECT o_orderkey, (o_orderkey % 100)::DOUBLE AS from_int, (o_custkey % 100)::DOUBLE AS from_decimal, round(o_totalprice::FLOAT::DOUBLE, 2) AS price FROM orders")
 def array_casts(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     whole = F.array((F.col("o_orderkey") % 100).cast("int"), (F.col("o_custkey") % 100).cast("int"))
-    return o.select("o_orderkey", (dense.array_to_vector(whole) == dense.array_to_vector(whole.cast("array<decimal(9,2)>"))).alias("same"), F.round(dense.array_to_vector(F.array("o_totalprice"))[0].cast("double"), 2).alias("price"))
+    first = lambda v, k: dense.array_to_vector(v)[k].cast("double")
+    return o.select("o_orderkey", first(whole, 0).alias("from_int"), first(whole.cast("array<decimal(9,2)>"), 1).alias("from_decimal"), F.round(first(F.array("o_totalprice"), 0), 2).alias("price"))
 
 
 def aggregated(how: str, keyed: bool) -> str:
@@ -198,8 +200,7 @@ SELECT vec_id, arg_min(center, (round(list_distance(v::DOUBLE[], c), 9), center)
 def nearest_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = scaled(spark, sf_dir)
     c = aggregates.vector_avg(e, "embedding", ["label"], "c").withColumnRenamed("label", "center")
-    d = F.round(dense.l2_distance(F.col("embedding"), F.col("c")), 9)
-    return e.crossJoin(F.broadcast(c)).groupBy("vec_id").agg(F.min_by("center", F.struct(d, "center")).alias("center"))
+    return knn.nearest_of(e, c).select("vec_id", "center")
 
 
 @query(
@@ -247,17 +248,13 @@ def sparse_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(f"WITH {SPARSE} SELECT vec_id, CASE WHEN a < b THEN -1 WHEN a > b THEN 1 ELSE 0 END AS cmp, true AS dense_back, true AS text_back, 1.0::DOUBLE AS unit_norm FROM sp")
+@query(f"WITH {SPARSE} SELECT vec_id, CASE WHEN a < b THEN -1 WHEN a > b THEN 1 ELSE 0 END AS cmp, round(list_sum([x::DOUBLE FOR x IN a]), 5) + 0.0 AS total, len([x FOR x IN a IF x <> 0])::BIGINT AS nonzero, round(a[64]::DOUBLE, 6) + 0.0 AS last FROM sp")
 def sparse_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = F.col("a"), F.col("b")
-    again = sparse.to_sparse(sparse.to_dense(a))
-    return pairs(thinned(spark, sf_dir)).select(
-        "vec_id",
-        sparse.sparsevec_cmp(a, b).alias("cmp"),
-        (again == a).alias("dense_back"),
-        (sparse.from_text(sparse.to_text(a)) == a).alias("text_back"),
-        F.round(sparse.l2_norm(sparse.l2_normalize(a)), 5).alias("unit_norm"),
-    )
+    back = sparse.from_text(sparse.to_text(sparse.to_sparse(sparse.to_dense(a))))
+    p = pairs(thinned(spark, sf_dir)).select("vec_id", sparse.sparsevec_cmp(a, b).alias("cmp"), back.alias("s"), sparse.to_dense(back).alias("v"))
+    total = F.round(dense.total(F.transform("v", dense.d)), 5) + 0.0
+    return p.select("vec_id", "cmp", total.alias("total"), F.size("s.indices").cast("bigint").alias("nonzero"), (F.round(F.col("v")[63].cast("double"), 6) + 0.0).alias("last"))
 
 
 @query(f"WITH {SPARSE} SELECT s.vec_id AS a, t.vec_id AS b, round(list_inner_product(s.v::DOUBLE[], t.v::DOUBLE[]), 6) + 0.0 AS ip FROM s, s t WHERE len([z FOR z IN list_zip(s.v, t.v) IF z[1] <> 0 AND z[2] <> 0]) > 0")
@@ -373,18 +370,18 @@ def sql_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(top("l2"))
 def ivf_full_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = scaled(spark, sf_dir)
-    return rounded(IvfIndex.build(e, LISTS).search(first_vector(e), 10, probes=LISTS))
+    return rounded(lists(spark, sf_dir).search(first_vector(e), 10, probes=LISTS))
 
 
 @query()
 def ivf_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return IvfIndex.build(scaled(spark, sf_dir), LISTS).stats()
+    return lists(spark, sf_dir).stats()
 
 
 @query()
 def ivf_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = scaled(spark, sf_dir)
-    return metrics.recall_at_k(IvfIndex.build(e, LISTS).search_many(all_queries(e), 10, 8), knn.knn_join(all_queries(e), e, 10), 10)
+    return metrics.recall_at_k(lists(spark, sf_dir).search_many(all_queries(e), 10, 8), knn.knn_join(all_queries(e), e, 10), 10)
 
 
 @query(top("l2"))
@@ -425,20 +422,39 @@ def search_sql(*args: object, **options: str) -> str:
     return f"WITH {bm25_sql(*args, **options)} SELECT doc_id, round(score, 6) AS score FROM lex ORDER BY lex.score DESC, doc_id LIMIT 20"
 
 
+_indexes: dict[tuple, object] = {}
+
+
+def once(spark: SparkSession, sf_dir: str, kind: str, build: Callable[[], object]) -> object:
+    """An index that is built and stored at its first use in an application, and read from then on."""
+    key = (spark.sparkContext.applicationId, sf_dir, kind)
+    if key not in _indexes:
+        _indexes[key] = build()
+    return _indexes[key]
+
+
+def lexical(spark: SparkSession, sf_dir: str) -> Bm25Index:
+    return once(spark, sf_dir, "lexical", lambda: Bm25Index.of(table(spark, sf_dir, "documents")).stored())
+
+
+def lists(spark: SparkSession, sf_dir: str) -> IvfIndex:
+    return once(spark, sf_dir, "lists", lambda: IvfIndex.build(scaled(spark, sf_dir), LISTS).stored())
+
+
 @query(f"WITH {POSTINGS.replace('{docs}', 'documents')} SELECT n AS doc_count, (SELECT sum(len(t))::BIGINT FROM tok) AS total_doc_len, (SELECT count(DISTINCT term) FROM post) AS unique_terms, round(average, 6) AS avg_doc_len FROM n")
 def bm25_corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = Bm25Index.of(table(spark, sf_dir, "documents")).corpus_stats()
+    s = lexical(spark, sf_dir).corpus_stats()
     return s.withColumn("avg_doc_len", F.round("avg_doc_len", 6))
 
 
 @query(f"WITH {POSTINGS.replace('{docs}', 'documents')} SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM post GROUP BY term")
 def bm25_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Bm25Index.of(table(spark, sf_dir, "documents")).lexicon()
+    return lexical(spark, sf_dir).lexicon()
 
 
 @query(f"WITH {POSTINGS.replace('{docs}', 'documents')} SELECT doc_id, term, tf, dl::BIGINT AS dl FROM post")
 def bm25_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Bm25Index.of(table(spark, sf_dir, "documents")).postings
+    return lexical(spark, sf_dir).postings.drop("generation")
 
 
 SEARCHES = {
@@ -451,14 +467,14 @@ SEARCHES = {
 for _name, (_text, _terms, _condition) in SEARCHES.items():
 
     def _search(spark: SparkSession, sf_dir: str, text: str = _text) -> DataFrame:
-        return shown(Bm25Index.of(table(spark, sf_dir, "documents")).topk(text, 20))
+        return shown(lexical(spark, sf_dir).topk(text, 20))
 
     query(search_sql(_terms, _condition), _name)(_search)
 
 
 @query(search_sql(["license", "rights", "apache"], norm="(round({} / 2.2::DOUBLE * 65535) / 65535 * 2.2::DOUBLE)"))
 def bm25_quantized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(Bm25Index.of(table(spark, sf_dir, "documents")).topk(ANY, 20, quantized=True))
+    return shown(lexical(spark, sf_dir).topk(ANY, 20, quantized=True))
 
 
 @query(search_sql(["license", "rights", "apache"], dead="doc_id % 10 = 3"))
@@ -484,6 +500,11 @@ def hybrid_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text").join(e, "doc_id")
 
 
+def hybrid_index(spark: SparkSession, sf_dir: str) -> Bm25Index:
+    """Of the documents with a usable vector."""
+    return once(spark, sf_dir, "hybrid", lambda: Bm25Index.of(hybrid_docs(spark, sf_dir), vec_col="embedding").stored())
+
+
 def hybrid_sql(score: str, dense: bool = True, lexical: bool = True, where: str = "true", limit: int = 20, dense_k: int = 50, bm25_k: int = 50) -> str:
     return f"""WITH {SCALED}, corpus AS (SELECT d.doc_id, d.text, s.v FROM documents d JOIN scaled s ON s.vec_id = d.doc_id), qv AS (SELECT v AS q FROM scaled WHERE vec_id = 7),
 {bm25_sql(["the", "of", "license", "rights"], docs="corpus")},
@@ -521,7 +542,7 @@ def hybrid_result(spark: SparkSession, sf_dir: str, **options: object) -> DataFr
     docs = hybrid_docs(spark, sf_dir)
     options = {"dense_k": 50, "bm25_k": 50} | options
     vector = first_vector(scaled(spark, sf_dir), 7)
-    return hybrid_search(docs, HybridQuery(vector, TEXT, **options), limit=20)
+    return hybrid_search(docs, HybridQuery(vector, TEXT, **options), hybrid_index(spark, sf_dir), limit=20)
 
 
 for _name, (_options, _sql) in HYBRIDS.items():
@@ -541,7 +562,7 @@ SELECT query_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION
 )
 def bm25_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), simple_tokens(F.col("text")).alias("terms"))
-    found = Bm25Index.of(table(spark, sf_dir, "documents")).topk_many(queries, 10)
+    found = lexical(spark, sf_dir).topk_many(queries, 10)
     return found.withColumn("score", F.round("score", 6))
 
 
@@ -561,7 +582,7 @@ coalesce(dense_rank, 2147483647), coalesce(bm25_rank, 2147483647), id) AS rank F
 def hybrid_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), simple_tokens(F.col("text")).alias("terms"))
     vectors = scaled(spark, sf_dir).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    found = hybrid_search_many(hybrid_docs(spark, sf_dir), items.join(vectors, "query_id"), 10, branch_k=50)
+    found = hybrid_search_many(hybrid_docs(spark, sf_dir), items.join(vectors, "query_id"), 10, hybrid_index(spark, sf_dir), branch_k=50)
     return found.withColumn("score", F.round("score", 6))
 
 

@@ -76,3 +76,15 @@ def release(*tables: DataFrame) -> None:
 def quoted(name: str) -> str:
     """A column name as an identifier, dots and backticks included."""
     return "`" + name.replace("`", "``") + "`"
+
+
+def spread(df: DataFrame, part_bytes: int = 32 << 20) -> DataFrame:
+    """df in as many partitions as there are cores, if it comes from a few small files that make fewer; larger inputs stay as they are."""
+    sc, files = df.sparkSession.sparkContext, df.inputFiles()
+    if len(files) >= sc.defaultParallelism:
+        return df
+    total = 0
+    for name in files:
+        path = sc._jvm.org.apache.hadoop.fs.Path(name)
+        total += path.getFileSystem(sc._jsc.hadoopConfiguration()).getFileStatus(path).getLen()
+    return df.repartition(sc.defaultParallelism) if total < part_bytes * sc.defaultParallelism else df

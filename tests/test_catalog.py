@@ -10,7 +10,7 @@ from pathlib import Path
 import pytest
 
 import __spark_entry__
-from nearfield.plans import catalog
+from nearfield.plans import catalog, types  # noqa: F401
 
 from .parity import connect, rows
 

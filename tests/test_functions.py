@@ -1,6 +1,7 @@
 """Scalar functions against literal results."""
 
 import math
+import re
 
 import pytest
 from pyspark.errors import PySparkException
@@ -196,10 +197,24 @@ def test_sql_functions_agree_with_columns(spark):
     names = sql_functions.register(spark)
     assert "l2_distance" in names
     spark.createDataFrame([([1.0, 2.0], [3.0, 5.0]), ([0.0, 0.0], [1.0, 1.0])], "a array<float>, b array<float>").createOrReplaceTempView("v")
+    other = {"array_to_vector": dense.array_to_vector, "to_halfvec": half.to_half, "to_sparsevec": sparse.to_sparse, "sparsevec_norm": sparse.l2_norm, "binary_quantize": bits.binary_quantize, "subvector": lambda v: dense.subvector(v, 1, 2)}
+    rows = spark.table("v")
     for name in names:
-        params = sql_functions.FUNCTIONS[name][0]
-        both = "b " in params
-        fn = getattr(dense, name)
-        got = [r[0] for r in spark.sql(f"SELECT {name}(a{', b' if both else ''}) FROM v").collect()]
-        want = [r[0] for r in spark.table("v").select(fn(F.col("a"), F.col("b")) if both else fn(F.col("a"))).collect()]
+        kinds = [x.split(None, 1)[1] for x in re.split(r", (?=[a-z]+ [A-Z])", sql_functions.FUNCTIONS[name][0])]
+        fn = other.get(name) or next(getattr(m, n) for m, n in ((dense, name), (half, name), (bits, name), (sparse, name.removeprefix("sparsevec_"))) if hasattr(m, n))
+        wrap = {"ARRAY<FLOAT>": "{}", "ARRAY<DOUBLE>": "CAST({} AS ARRAY<DOUBLE>)", sql_functions.BITS: "binary_quantize({})", sql_functions.S: "to_sparsevec({})"}
+        given = ["1", "2"] if name == "subvector" else []
+        own = [wrap[k].format(c) for k, c in zip(kinds, "ab", strict=False) if k in wrap]
+        got = [r[0] for r in spark.sql(f"SELECT {name}({', '.join(own + given)}) FROM v").collect()]
+        want = [r[0] for r in rows.select(fn(*[F.expr(x) for x in own])).collect()]
         assert repr(got) == repr(want), name
+
+    for name, wide in (("vector_add", 3e38), ("vector_sub", -3e38), ("vector_mul", 1e30), ("halfvec_add", 60000.0)):
+        with pytest.raises(Exception, match="overflow"):
+            spark.sql(f"SELECT {name}(CAST(array({abs(wide)}D) AS ARRAY<FLOAT>), CAST(array({wide}D) AS ARRAY<FLOAT>))").collect()
+    for name, tiny in (("vector_mul", 1e-30), ("halfvec_mul", 1e-4)):
+        with pytest.raises(Exception, match="underflow"):
+            spark.sql(f"SELECT {name}(CAST(array({tiny}D) AS ARRAY<FLOAT>), CAST(array({tiny}D) AS ARRAY<FLOAT>))").collect()
+    for text in ("vector_concat(CAST(array() AS ARRAY<FLOAT>), CAST(array() AS ARRAY<FLOAT>))", "subvector(CAST(array(1D) AS ARRAY<FLOAT>), 3, 1)"):
+        with pytest.raises(Exception, match="at least 1 dimension"):
+            spark.sql(f"SELECT {text}").collect()

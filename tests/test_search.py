@@ -6,12 +6,13 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from nearfield.operators import aggregates, knn, metrics
-from nearfield.operators.bm25 import Bm25Index, any_of, parsed
+from nearfield.operators.bm25 import Bm25Index, any_of, parsed, phrase, plain, websearch
 from nearfield.operators.english import stem
 from nearfield.operators.graph import GraphIndex
 from nearfield.operators.hybrid import HybridQuery, hybrid_distance, hybrid_search
 from nearfield.operators.ivf import IvfIndex
-from nearfield.operators.quantized import QuantizedIndex
+from nearfield.operators.metrics import processor_features
+from nearfield.operators.quantized import QuantizedIndex, psquare
 from nearfield.sources import trec
 
 SCHEMA = "vec_id bigint, label int, embedding array<float>"
@@ -208,6 +209,71 @@ def test_bm25_maintenance(spark, tmp_path):
     assert [r.doc_id for r in Bm25Index.read(spark, str(tmp_path / "i")).topk("lexical", 5).collect()] == [4]
 
 
+def test_bm25_upsert_and_vacuum(spark):
+    new = lambda i, t: Bm25Index.of(corpus(spark, [(i, [1.0, 0.0, 0.0], t)]))
+    index = Bm25Index.of(corpus(spark), vec_col="embedding")
+    gone = index.delete(spark.createDataFrame([(1,)], "doc_id bigint"))
+    assert [r.doc_id for r in gone.append(new(1, "gamma")).topk("gamma", 5).collect()] == [1]
+    assert [r.doc_id for r in index.upsert(new(3, "delta")).topk("delta | lexical", 5).collect()] == [3]
+    twice = index.upsert(new(3, "delta")).upsert(new(3, "omega"))
+    assert twice.topk("delta", 5).count() == 0 and twice.topk("omega", 5).count() == 1
+    assert twice.corpus_stats().first().doc_count == 5
+    stored = twice.stored()
+    assert stored.topk("omega", 5).count() == 1 and stored.corpus_stats().first().doc_count == 5
+    small = stored.vacuum()
+    assert small.corpus_stats().first().doc_count == 3 and small.topk("omega", 5).count() == 1 and small.generation == 0
+    assert index.vacuum() is index
+
+
+def test_plain_and_web_queries():
+    assert plain("The quick, quick fox") == parsed("the & quick & fox")
+    assert plain("licenses running", "english") == parsed("licens & run")
+    assert websearch('"Apache" license or rights reserved') == parsed("(apache & license) | (rights & reserved)")
+    assert phrase("one") == parsed("one")
+    for bad in (lambda: phrase("two words"), lambda: websearch('"two words"'), lambda: websearch("a -b"), lambda: plain("?!"), lambda: websearch(" or ")):
+        with pytest.raises(ValueError):
+            bad()
+
+
+def test_psquare_is_near_the_quantile():
+    x = np.random.default_rng(3).normal(size=5000)
+    for p in (0.1, 0.5, 0.9):
+        assert psquare(x, p) == pytest.approx(np.quantile(x, p), abs=0.05)
+    assert psquare([], 0.5) is None and psquare([3.0, 1.0, 2.0], 0.5) == 2.0
+    with pytest.raises(ValueError):
+        psquare(x, 1.5)
+
+
+def test_codes_keep_lengths_and_are_read_back(rows, data, tmp_path):
+    index = QuantizedIndex.build(rows, data.shape[1], 2, "cosine", corrected=True, renorm=True)
+    raw, length = index.book.encode(data[:50])
+    assert np.sqrt((index.book.decode(raw, length) ** 2).sum(1)) == pytest.approx(np.sqrt((data[:50] ** 2).sum(1)), rel=1e-4)
+    again = index.write(str(tmp_path / "codes"))
+    assert again.book == index.book and again.search(data[0].tolist(), 3).collect() == index.search(data[0].tolist(), 3).collect()
+
+
+def test_queries_in_rounds_give_the_same(rows, data, spark):
+    q = rows.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")).where("vec_id < 40")
+    one, many = (sorted(map(tuple, knn.knn_join(q, rows, 4, sent_bytes=b).collect())) for b in (knn.SENT_BYTES, 1000))
+    assert one == many
+    c = rows.where("vec_id < 9").select(F.col("vec_id").alias("center"), F.col("embedding").alias("c"))
+    assert sorted(map(tuple, knn.nearest_of(rows, c).collect())) == sorted(map(tuple, knn.nearest_of(rows, c, sent_bytes=300).collect()))
+
+
+def test_graph_grows_and_is_joined(rows, data):
+    index = GraphIndex.build(rows.where("vec_id % 2 = 0"), "l2").append(rows.where("vec_id % 2 = 1"))
+    want = [r.vec_id for r in knn.knn(rows, data[5].tolist(), 3).collect()]
+    assert [r.vec_id for r in index.search(data[5].tolist(), 3, 100).collect()] == want
+    few = index.delete(rows.where("vec_id % 3 = 0"))
+    assert few.vacuum(90) is few
+    joined = few.vacuum(10)
+    assert joined.graphs.count() == 1 and [r.vec_id for r in joined.search(data[5].tolist(), 3, 100).collect()] == [r.vec_id for r in few.search(data[5].tolist(), 3, 100).collect()]
+
+
+def test_processor_features(spark):
+    assert processor_features(spark).where("enabled").count() > 0
+
+
 def test_text_queries():
     assert parsed("a & b | c") == parsed("(a & b) | c")
     assert any_of("The the, End") == parsed("the | end")
