@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.kernels import U, filter_text, folded, map_text, mix
+from nearfield.llm.kernels import U, filter_text, folded, map_text, mapped, mix, publish, to_bytes
 from nearfield.session import quoted
 
 SPACE, BREAK = 32, 1
 WINDOW_WORDS = 8
+#: Words of the shortest item whose documents are rejected.
 SHORTEST_ITEM = 5
+#: Characters below which patterns are searched by themselves.
+SHORT_PATTERN = 16
 BLOCK = 5
 SHIFT_BITS = 18
 SHARD_CHARS = 8_000_000
@@ -55,6 +61,18 @@ class WuManber:
         self.bucket = np.searchsorted(suffix[self.order], np.arange((1 << bits) + 1))
         self.prefix = self.head(chars, begin)
 
+    def arrays(self) -> dict[str, np.ndarray]:
+        own = {k: getattr(self, k) for k in ("chars", "begin", "end", "shift", "order", "bucket", "prefix")}
+        return own | {"sizes": np.array([self.m, self.block, self.bits])}
+
+    @classmethod
+    def of(cls, arrays: dict[str, np.ndarray]) -> WuManber:
+        self = cls.__new__(cls)
+        for k in ("chars", "begin", "end", "shift", "order", "bucket", "prefix"):
+            setattr(self, k, arrays[k])
+        self.m, self.block, self.bits = arrays["sizes"].tolist()
+        return self
+
     def hashed(self, chars: np.ndarray, at: np.ndarray) -> np.ndarray:
         h = np.zeros(len(at), np.uint64)
         for k in range(self.block - 1, -1, -1):
@@ -125,24 +143,55 @@ def windows(ids: list, texts: list, words: int, shortest: int) -> tuple[np.ndarr
     return chars, np.concatenate(begin), np.concatenate(end), np.concatenate(item)
 
 
-def searcher(ids: list, texts: list, words: int, shortest: int) -> tuple[WuManber, np.ndarray] | None:
+def patterns(ids: list, texts: list, words: int, shortest: int) -> list[dict[str, np.ndarray]]:
+    """The arrays of a search structure, with each pattern's item, for short patterns and for the others: a search jumps no further than its shortest pattern is long."""
     if not ids:
-        return None
-    texts = [f" {t}" if t else "" for t in texts]
-    chars, begin, end, item = windows(ids, texts, words, shortest)
-    if not len(begin):
-        return None
+        return []
+    chars, begin, end, item = windows(ids, [f" {t}" if t else "" for t in texts], words, shortest)
     seen, keep = set(), []
     for k, (a, b, i) in enumerate(zip(begin, end, item, strict=True)):
         key = (int(i), chars[a:b].tobytes())
         if key not in seen:
             seen.add(key)
             keep.append(k)
-    return WuManber(chars, begin[keep], end[keep]), item[keep]
+    keep = np.array(keep, np.int64)
+    size = (end - begin)[keep]
+    groups = (keep[size < SHORT_PATTERN], keep[size >= SHORT_PATTERN])
+    return [WuManber(chars, begin[own], end[own]).arrays() | {"item": item[own]} for own in groups if len(own)]
+
+
+class Searchers:
+    """The benchmark's search structures, in shards of about shard_chars characters.
+
+    One shard travels with the tasks. More are written to files that every executor
+    fetches and maps into memory, one after the other, so that the driver holds one
+    at a time and the documents are read once however many there are.
+    """
+
+    def __init__(self, benchmark: DataFrame, words: int, shortest: int, item_col: str, item_text_col: str, shard_chars: int):
+        items = benchmark.select(F.col(quoted(item_col)).cast("bigint").alias("item"), F.col(quoted(item_text_col)).cast("string").alias("text")).where("item is not null and text is not null")
+        total = items.agg(F.sum(F.length("text"))).first()[0] or 0
+        n = max(1, -(-int(total) // shard_chars))
+        self.sent, self.names = [], []
+        for k in range(n):
+            part = (items if n == 1 else items.where(F.pmod(F.xxhash64("item"), F.lit(n)) == k)).collect()
+            for arrays in patterns([r["item"] for r in part], [r["text"] for r in part], words, shortest):
+                if n == 1:
+                    self.sent.append(arrays)
+                else:
+                    self.names.append(f"patterns-{uuid.uuid4().hex}")
+                    publish(benchmark.sparkSession, to_bytes(arrays), self.names[-1])
+
+    def __iter__(self) -> Iterator[tuple[WuManber, np.ndarray]]:
+        for arrays in self.sent:
+            yield WuManber.of(arrays), arrays["item"]
+        for name in self.names:
+            arrays = mapped(os.path.join(SparkFiles.getRootDirectory(), name))
+            yield WuManber.of(arrays), arrays["item"]
 
 
 def contamination(
-    docs: DataFrame, benchmark: DataFrame, words: int = WINDOW_WORDS, shortest: int = SHORTEST_ITEM, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", shard_chars: int = SHARD_CHARS
+    docs: DataFrame, benchmark: DataFrame, words: int = WINDOW_WORDS, shortest: int = 1, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", shard_chars: int = SHARD_CHARS
 ) -> DataFrame:
     """(doc_id, item_id, n_windows): how many different runs of `words` words of an item a document has.
 
@@ -150,40 +199,22 @@ def contamination(
     words is searched as a whole, one of fewer than `shortest` words not at all.
     Documents without a match, null and empty texts and empty tables give no row;
     each row of docs is searched by itself, so repeated rows repeat in the result.
-    A null doc_id stays null; items without id are not searched.
-
-    The benchmark's patterns travel with the tasks in shards of about shard_chars
-    characters, and the documents are read once for each shard, so that what is
-    sent out stays bounded while the benchmark grows.
+    A null doc_id stays null; items without id are not searched. Texts of any length
+    are searched whole. Columns but those named are not read; ids must be integers or
+    cast to them.
     """
-    out = None
-    for found in searchers(benchmark, words, shortest, item_col, item_text_col, shard_chars):
-        part = matches(docs, found, id_col, text_col)
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-def searchers(benchmark: DataFrame, words: int, shortest: int, item_col: str, item_text_col: str, shard_chars: int) -> Iterator[tuple[WuManber, np.ndarray] | None]:
-    """A search structure for each shard of the benchmark."""
-    items = benchmark.select(F.col(quoted(item_col)).cast("bigint").alias("item"), F.col(quoted(item_text_col)).cast("string").alias("text")).where("item is not null and text is not null")
-    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = max(1, -(-int(total) // shard_chars))
-    for k in range(n):
-        part = (items if n == 1 else items.where(F.pmod(F.xxhash64("item"), F.lit(n)) == k)).collect()
-        yield searcher([r["item"] for r in part], [r["text"] for r in part], words, shortest)
-
+    found = Searchers(benchmark, words, shortest, item_col, item_text_col, shard_chars)
 
-def matches(docs: DataFrame, found: tuple[WuManber, np.ndarray] | None, id_col: str, text_col: str) -> DataFrame:
     def search(ids: list, texts: list) -> pa.RecordBatch | None:
-        if found is None:
-            return None
-        wm, item = found
         chars, breaks = normal_form([f" {t}" if t else "" for t in texts])
-        at, pattern = wm.search(chars)
-        if not len(at):
+        hits = []
+        for wm, item in found:
+            at, pattern = wm.search(chars)
+            if len(at):  # which pattern of which structure
+                hits.append(np.stack([np.searchsorted(breaks, at), item[pattern], pattern, np.full(len(at), len(hits))]))
+        if not hits:
             return None
-        doc = np.searchsorted(breaks, at)
-        hit = np.unique(np.stack([doc, item[pattern], pattern]), axis=1)
+        hit = np.unique(np.concatenate(hits, axis=1), axis=1)
         rows, many = np.unique(hit[:2], axis=1, return_counts=True)
         return pa.RecordBatch.from_arrays([pa.array([ids[d] for d in rows[0]], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(many, pa.int64())], ["doc_id", "item_id", "n_windows"])
 
@@ -195,17 +226,17 @@ def clean(
 ) -> DataFrame:
     """The rows of docs in which contamination() finds nothing, columns unchanged. Null and empty texts stay.
 
-    Rows are searched where they are, without a shuffle.
+    Items of fewer than `shortest` words reject no document here, as an answer of one
+    word would reject nearly all. Rows are searched where they are, without a shuffle.
+    Repeated rows and rows without id are judged each; empty tables stay empty.
     """
-    for found in searchers(benchmark, words, shortest, item_col, item_text_col, shard_chars):
-        if found is None:
-            continue
+    found = Searchers(benchmark, words, shortest, item_col, item_text_col, shard_chars)
 
-        def accepts(texts: list, wm: WuManber = found[0]) -> np.ndarray:
-            chars, breaks = normal_form([f" {t}" if t else "" for t in texts])
-            keep = np.ones(len(texts), bool)
+    def accepts(texts: list) -> np.ndarray:
+        chars, breaks = normal_form([f" {t}" if t else "" for t in texts])
+        keep = np.ones(len(texts), bool)
+        for wm, _ in found:
             keep[np.searchsorted(breaks, wm.search(chars)[0])] = False
-            return keep
+        return keep
 
-        docs = filter_text(docs, accepts, text_col)
-    return docs
+    return filter_text(docs, accepts, text_col)

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.session import quoted, ship
+from nearfield.session import quoted, shared_folder, ship
 
 U = np.uint64
 BASE = U(0x9E3779B97F4A7C15 | 1)
@@ -165,3 +167,42 @@ def hashed_sample(df: DataFrame, n: int) -> DataFrame:
     if total > 2 * n:
         df = df.where(F.pmod(key, F.lit(1 << 40)) < int((1 << 40) * 1.5 * n / total))
     return df.orderBy(F.pmod(key, F.lit(1 << 40)), *df.columns).limit(n)
+
+
+def to_bytes(arrays: dict[str, np.ndarray]) -> bytes:
+    """All arrays one after the other, each at a multiple of 64, after a table of contents."""
+    head, body, at = [], [], 0
+    for name, x in arrays.items():
+        x = np.ascontiguousarray(x)
+        head.append(f"{name} {x.dtype.str} {len(x)} {at}")
+        raw = x.tobytes()
+        body.append(raw + b"\0" * (-len(raw) % 64))
+        at += len(body[-1])
+    top = "\n".join(head).encode()
+    return len(top).to_bytes(8, "little") + top + b"\0" * (-(len(top) + 8) % 64) + b"".join(body)
+
+
+def mapped(path: str) -> dict[str, np.ndarray]:
+    """The arrays of to_bytes() in a file, mapped into memory."""
+    raw = np.memmap(path, np.uint8, "r")
+    size = int(raw[:8].view("<u8")[0])
+    begin = size + 8 + (-(size + 8) % 64)
+    arrays = {}
+    for line in bytes(raw[8 : 8 + size]).decode().splitlines():
+        name, kind, n, at = line.rsplit(" ", 3)
+        width = np.dtype(kind).itemsize
+        arrays[name] = raw[begin + int(at) : begin + int(at) + int(n) * width].view(kind)
+    return arrays
+
+
+def publish(spark: SparkSession, data: bytes, name: str) -> None:
+    """Put a file into the shared folder and have every executor fetch it."""
+    path = f"{shared_folder(spark)}/{name}"
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    with tempfile.NamedTemporaryFile(dir=SparkFiles.getRootDirectory(), delete=False) as f:
+        f.write(data)
+    fs.mkdirs(target.getParent())
+    fs.copyFromLocalFile(True, True, jvm.org.apache.hadoop.fs.Path(f"file://{f.name}"), target)
+    spark.sparkContext.addFile(path)

@@ -158,7 +158,9 @@ def identified(docs: DataFrame, sample: int = SAMPLE, landmarks: int = LANDMARKS
     without label, id or text teach nothing. The greatest score of equal ones is that of
     the first name. Null and empty texts, and texts that share no n-gram with
     any landmark, have nulls; so have all if no row has a label. With one language
-    margins are null. Repeated rows are scored each; a null doc_id stays null.
+    margins are null. Repeated rows are scored each; a null doc_id stays null. Empty
+    tables give no row. Texts of any length count whole. Columns but those named are
+    not read; ids must be integers or cast to them.
     """
     model = trained(docs, sample, landmarks, ridge, id_col, text_col, lang_col)
 

@@ -3,19 +3,18 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import SparkFiles
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearfield.llm.eliasfano import EliasFano
-from nearfield.llm.kernels import U, mix, slices
-from nearfield.session import quoted, shared_folder, ship
+from nearfield.llm.kernels import U, mapped, mix, publish, slices, to_bytes
+from nearfield.session import quoted, ship
 
 ORDER = 5
 #: Counts that a task gathers before it sums them up.
@@ -55,6 +54,8 @@ def summed(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarr
 def counted(docs: DataFrame, order: int = ORDER, text_col: str = "text") -> DataFrame:
     """(gram, n): how often each run of order bytes occurs over all documents, text starts padded with zeros."""
     ship(docs.sparkSession)
+    if not 2 <= order <= 8:
+        raise ValueError("order must lie between 2 and 8: that many bytes fit a key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts, size = [], [], 0
@@ -247,42 +248,12 @@ class Trie:
         return sum(x.nbytes for x in self.a.values())
 
     def to_bytes(self) -> bytes:
-        """All arrays one after the other, each at a multiple of 64, after a table of contents."""
-        head, body, at = [], [], 0
-        for name, x in self.a.items():
-            x = np.ascontiguousarray(x)
-            head.append(f"{name} {x.dtype.str} {len(x)} {at}")
-            raw = x.tobytes()
-            body.append(raw + b"\0" * (-len(raw) % 64))
-            at += len(body[-1])
-        top = "\n".join(head).encode()
-        return len(top).to_bytes(8, "little") + top + b"\0" * (-(len(top) + 8) % 64) + b"".join(body)
+        return to_bytes(self.a)
 
     @classmethod
     def mapped(cls, path: str) -> Trie:
         """A trie whose levels stay in the file and are mapped into memory."""
-        raw = np.memmap(path, np.uint8, "r")
-        size = int(raw[:8].view("<u8")[0])
-        begin = size + 8 + (-(size + 8) % 64)
-        arrays = {}
-        for line in bytes(raw[8 : 8 + size]).decode().splitlines():
-            name, kind, n, at = line.rsplit(" ", 3)
-            width = np.dtype(kind).itemsize
-            arrays[name] = raw[begin + int(at) : begin + int(at) + int(n) * width].view(kind)
-        return cls(arrays)
-
-
-def publish(spark: SparkSession, data: bytes, name: str) -> None:
-    """Put a file into the shared folder and have every executor fetch it."""
-    path = f"{shared_folder(spark)}/{name}"
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    with tempfile.NamedTemporaryFile(dir=SparkFiles.getRootDirectory(), delete=False) as f:
-        f.write(data)
-    fs.mkdirs(target.getParent())
-    fs.copyFromLocalFile(True, True, jvm.org.apache.hadoop.fs.Path(f"file://{f.name}"), target)
-    spark.sparkContext.addFile(path)
+        return cls(mapped(path))
 
 
 def trained(docs: DataFrame, order: int = ORDER, text_col: str = "text") -> Trie | None:
@@ -334,7 +305,9 @@ def scored(docs: DataFrame, order: int = ORDER, id_col: str = "doc_id", text_col
     The model counts every run of `order` bytes of every whole text and smooths by
     interpolated Kneser-Ney; probabilities and back-off weights have 8-bit codes.
     bits_per_byte is null for texts without bytes; a null text counts as empty.
-    Repeated rows count and are scored each.
+    Empty tables give no row. Repeated rows count and are scored each; a null doc_id
+    stays null. Columns but id_col and text_col are not read; ids must be integers or
+    cast to them. order lies between 2 and 8.
 
     The driver holds the distinct n-grams. Those of 5 bytes grow far slower than the
     corpus (README), as no context is longer than order - 1 bytes.

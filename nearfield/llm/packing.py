@@ -238,7 +238,7 @@ def packed(
     for part, size in sorted(tuple(r) for r in parted(small, bounds).groupBy("part").agg(F.sum("n_tokens")).collect()):
         base[part], before = before, before + size
     rows = parted(keyed(points, scale, dimensions, bits).select("key", "doc_id", "n_tokens", "ids"), bounds)
-    rows = rows.repartition(len(bounds) + 1, "part").sortWithinPartitions("part", "key", "doc_id", "n_tokens", "ids")
+    rows = rows.repartitionById(len(bounds) + 1, F.col("part").cast("int")).sortWithinPartitions("part", "key", "doc_id", "n_tokens", "ids")
     made = durable(pieces(rows, base, sequence_tokens), "pieces")
     release(written, small)
     whole = F.length("ids") == 2 * sequence_tokens

@@ -287,7 +287,9 @@ def classified(docs: DataFrame, labels: DataFrame, least_quality: float = 0.5, m
     keep: quality_score >= least_quality and toxic_score < most_toxic. Null and
     empty texts have null scores, no passages, and keep false. Repeated rows are
     scored each. Without any usable label all scores are null, and all documents
-    with text are kept.
+    with text are kept. Empty tables give no row; scores that tie with a limit pass
+    the lower and fail the upper one. Texts of any length are read whole. Columns but
+    those named are not read; ids must be integers or cast to them.
     """
     model = trained(docs, labels, sample, id_col, text_col)
 

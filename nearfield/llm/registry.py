@@ -79,7 +79,7 @@ WITH item AS (
   SELECT item_id, string_split(t, ' ') AS w FROM item WHERE t <> ''
 ), gram AS (
   SELECT DISTINCT item_id, ' ' || array_to_string(list_slice(w, i, i + least(8, len(w)) - 1), ' ') || ' ' AS g
-  FROM (SELECT item_id, w, unnest(generate_series(1, greatest(len(w) - 7, 1))) AS i FROM split WHERE len(w) >= 5)
+  FROM (SELECT item_id, w, unnest(generate_series(1, greatest(len(w) - 7, 1))) AS i FROM split)
 ), doc AS (
   SELECT doc_id, ' ' || trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g')) || ' ' AS t FROM documents
 )

@@ -59,19 +59,22 @@ EVERY = [1, 1, 2, 3, 4, 5, 6, 7, 8, None, None]
 
 def test_decontamination_edges(spark, edge, none):
     bench = spark.createDataFrame([(1, prose(random.Random(1), 80), 3), (2, None, 1), (None, "a row without id", 1), (3, "", 1), (4, "a row without", 1), (5, "A ROW, without; id at all", 2), (6, "word word word word word", 3)], "item_id bigint, text string, doc_id int")
-    found = {(r.doc_id, r.item_id): r.n_windows for r in decontaminate.contamination(edge, bench).collect()}
+    found = {(r.doc_id, r.item_id): r.n_windows for r in decontaminate.contamination(edge, bench, shortest=5).collect()}
     assert found == {(1, 1): 73, (2, 1): 73, (6, 6): 1}
     assert ids(decontaminate.clean(edge, bench)) == [3, 4, 5, 7, 8, None, None]
     assert decontaminate.clean(edge, bench).columns == edge.columns
     assert ids(decontaminate.clean(edge, bench.limit(0))) == EVERY
     assert decontaminate.contamination(none, bench).count() == 0 and decontaminate.clean(none, bench).count() == 0
-    again = decontaminate.contamination(edge, bench, shard_chars=50)
+    every = {(r.doc_id, r.item_id): r.n_windows for r in decontaminate.contamination(edge, bench).collect()}
+    assert every == found | {(None, 4): 1}  # an item of three words
+    assert ids(decontaminate.clean(edge, bench, shortest=1)) == [3, 4, 5, 7, 8, None] and ids(decontaminate.clean(edge, bench, shard_chars=50)) == [3, 4, 5, 7, 8, None, None]
+    again = decontaminate.contamination(edge, bench, shortest=5, shard_chars=50)
     assert {(r.doc_id, r.item_id): r.n_windows for r in again.collect()} == found
 
 
 def test_decontamination_is_substring_search(spark):
     rng = random.Random(7)
-    items = [prose(rng, rng.randint(3, 40)) for _ in range(12)]
+    items = [prose(rng, rng.randint(3, 40)) for _ in range(12)] + ["ba", "ba da", VOCABULARY[3]]
     texts = []
     for k in range(60):
         parts = [prose(rng, rng.randint(0, 30))]
@@ -87,7 +90,7 @@ def test_decontamination_is_substring_search(spark):
     for i, item in enumerate(items):
         w = norm(item)
         n = min(8, len(w))
-        grams = {" " + " ".join(w[k : k + n]) + " " for k in range(len(w) - n + 1)} if len(w) >= 5 else set()
+        grams = {" " + " ".join(w[k : k + n]) + " " for k in range(len(w) - n + 1)} 
         for d, t in enumerate(texts):
             hits = sum(g in " " + " ".join(norm(t)) + " " for g in grams)
             if hits:
@@ -103,6 +106,13 @@ def test_simhash_edges(edge, none):
     assert simhash.groups(none).count() == 0 and simhash.deduplicated(none).count() == 0
 
 
+def test_different_texts_of_one_id_all_stay(spark):
+    rng = random.Random(8)
+    a, b, c = (prose(rng, 60) for _ in range(3))
+    docs = spark.createDataFrame([(1, a), (2, a), (2, b), (3, c), (3, c), (4, c)], "doc_id bigint, text string")
+    assert sorted(map(tuple, simhash.deduplicated(docs).collect())) == sorted([(1, a), (2, a), (2, b), (3, c)])
+
+
 def test_simhash_tables_find_nine_in_ten_direct_pairs_at_each_distance(spark):
     rng, rows, distances = random.Random(12), [], (8, 9, 10, 11, 12)
     for k in range(2500):

@@ -80,6 +80,20 @@ def test_packing_stage_holds_every_token(stages):
     assert got == {i: [*x, tokens.END_OF_DOCUMENT] for i, x in want.items()}
 
 
+def test_stages_take_anything(spark, tmp_path):
+    """Nulls in every column, empty, blank and very long texts, repeated rows, an empty table."""
+    schema = spark.read.parquet(f"{SF}/documents.parquet").schema
+    some = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
+    odd = [(None,) * 5, (1, None, "en", "h", None), (2, "", None, None, 0), (3, " \n", "en", "h", 2), (None, "a text without id and " * 9, "en", "h", 5), (4, "word " * 100_000, "en", "h", 9), (4, "word " * 100_000, "en", "h", 9), (5, "?" * 50_000, "en", "h", 9)]
+    for number, docs in enumerate((some.union(spark.createDataFrame(odd, schema)), spark.createDataFrame([], schema))):
+        for name, stage in corpus_pipeline.STAGES:
+            path = str(tmp_path / f"{number}-{name}")
+            stage(spark, docs, SF).write.parquet(path)
+            docs = spark.read.parquet(path)
+            assert name == "packing" or docs.schema == schema
+        assert (docs.count() > 0) == (number == 0)
+
+
 def test_run_is_the_stages_in_a_row(spark, stages):
     key = lambda r: r.pack_id
     assert sorted(corpus_pipeline.run(spark, SF).collect(), key=key) == sorted(stages["packing"][1].collect(), key=key)
