@@ -1,4 +1,9 @@
-"""A training corpus in five stages; each reads what the stage before it wrote."""
+"""A training corpus in five stages; each reads what the stage before it wrote.
+
+Every stage takes nulls in any column, empty, blank and very long texts, repeated
+rows, rows without id and empty tables; what becomes of each its docstring says.
+Ids must be integers or cast to them; other columns are carried as they are.
+"""
 
 from __future__ import annotations
 
@@ -11,27 +16,27 @@ from nearfield.session import shared_folder
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the attention classifier accepts."""
+    """Documents that the attention classifier accepts. Null and empty texts go; repeated rows and rows without id are judged each."""
     return quality.accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies, that of the least id. Rows without id, null and empty texts stay; of rows equal in id and text one."""
     return simhash.deduplicated(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
+    """Documents without a passage of the benchmark, or an item of five words at least as a whole. Null and empty texts stay."""
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, their secrets blotted out."""
+    """All documents, their secrets blotted out, n_chars following. Texts without secrets, null and empty ones stay as they are."""
     return secrets.redacted(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Training sequences along the Hilbert curve."""
+    """Training sequences of token ids along the Hilbert curve. Null and empty texts have no token and are in none."""
     return packing.packed(docs)
 
 
