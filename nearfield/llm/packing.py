@@ -106,19 +106,6 @@ def scale_of(points: DataFrame, dimensions: int) -> tuple[np.ndarray, np.ndarray
     return np.array([stats[f"m{k}"] or 0.0 for k in range(dimensions)]), np.array([stats[f"s{k}"] or 0.0 for k in range(dimensions)])
 
 
-def keyed(points: DataFrame, scale: tuple[np.ndarray, np.ndarray], dimensions: int, bits: int) -> DataFrame:
-    """points with their place on the curve, `key`, instead of v."""
-    rest = [c for c in points.columns if c != "v"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            v = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, dimensions)
-            yield pa.RecordBatch.from_arrays([pa.array(hilbert(to_grid(v, *scale, bits), bits)), *b.columns[1:]], ["key", *rest])
-
-    schema = "key bigint, " + ", ".join(f"{c} {points.schema[c].dataType.simpleString()}" for c in rest)
-    return points.select("v", *rest).mapInArrow(run, schema)
-
-
 def part_of(key: np.ndarray, doc: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """How many of the bounds, ascending rows (key, doc), are at or before each (key, doc)."""
     n = len(bounds)
@@ -128,17 +115,19 @@ def part_of(key: np.ndarray, doc: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out[n:]
 
 
-def parted(rows: DataFrame, bounds: np.ndarray) -> DataFrame:
-    """Rows (key, doc_id, ...) with the stretch of the curve that they lie in, part."""
+def keyed(points: DataFrame, scale: tuple[np.ndarray, np.ndarray], bounds: np.ndarray, dimensions: int, bits: int) -> DataFrame:
+    """points with their place on the curve, key, and the stretch of it that they lie in, part, instead of v."""
+    rest = [c for c in points.columns if c not in ("v", "doc_id")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            doc = b.column(1).fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)
-            part = part_of(b.column(0).to_numpy(zero_copy_only=False), doc, bounds)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(part)], [*b.schema.names, "part"])
+            v = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, dimensions)
+            key = hilbert(to_grid(v, *scale, bits), bits)
+            part = part_of(key, b.column(1).fill_null(-(1 << 63)).to_numpy(zero_copy_only=False), bounds)
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(key), *b.columns[1:]], ["part", "key", "doc_id", *rest])
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", part bigint"
-    return rows.mapInArrow(run, schema)
+    schema = "part int, key bigint, doc_id bigint, " + ", ".join(f"{c} {points.schema[c].dataType.simpleString()}" for c in rest)
+    return points.select("v", "doc_id", *rest).mapInArrow(run, schema)
 
 
 def bounds_of(small: DataFrame, total: int, n: int, part_tokens: int) -> np.ndarray:
@@ -231,14 +220,16 @@ def packed(
     written = durable(projected(docs, dimensions, tokenizer, end_of_document, id_col, text_col), "points")
     points = written.where("n_tokens > 0")
     scale = scale_of(points, dimensions)
-    small = durable(keyed(points.select("v", "doc_id", "n_tokens"), scale, dimensions, bits), "keys")
+    none = np.zeros((0, 2), np.int64)
+    small = durable(keyed(points.select("v", "doc_id", "n_tokens"), scale, none, dimensions, bits), "keys")
     n, total = small.agg(F.count("*"), F.sum("n_tokens")).first()
     bounds = bounds_of(small, int(total or 0), n, part_tokens)
+    sizes = keyed(points.select("v", "doc_id", "n_tokens"), scale, bounds, dimensions, bits).groupBy("part").agg(F.sum("n_tokens"))
     base, before = {}, 0
-    for part, size in sorted(tuple(r) for r in parted(small, bounds).groupBy("part").agg(F.sum("n_tokens")).collect()):
+    for part, size in sorted(tuple(r) for r in sizes.collect()):
         base[part], before = before, before + size
-    rows = parted(keyed(points, scale, dimensions, bits).select("key", "doc_id", "n_tokens", "ids"), bounds)
-    rows = rows.repartitionById(len(bounds) + 1, F.col("part").cast("int")).sortWithinPartitions("part", "key", "doc_id", "n_tokens", "ids")
+    rows = keyed(points, scale, bounds, dimensions, bits).repartitionById(len(bounds) + 1, F.col("part"))
+    rows = rows.sortWithinPartitions("part", "key", "doc_id", "n_tokens", "ids")
     made = durable(pieces(rows, base, sequence_tokens), "pieces")
     release(written, small)
     whole = F.length("ids") == 2 * sequence_tokens
