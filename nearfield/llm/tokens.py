@@ -23,6 +23,8 @@ END_OF_DOCUMENT = 50256
 SHARD_TOKENS = 1 << 21
 #: Runs of blanks as long as this are encoded by themselves, as the pattern can't match them at any length.
 LONG_BLANKS = regex.compile(r"\p{White_Space}{512,}")
+#: So long a run shows in every 64th character.
+MAY_BE_LONG = regex.compile(r"\p{White_Space}{7}")
 
 
 def encoding_of(ranks: bytes) -> object:
@@ -47,6 +49,8 @@ class Encoder:
         """
         if not text:
             return np.zeros(0, np.uint32)
+        if not MAY_BE_LONG.search(text[::64]):
+            return self.plain(text)
         parts, at = [], 0
         for m in LONG_BLANKS.finditer(text):
             end = m.end() - (m.end() < len(text))
