@@ -61,7 +61,7 @@ class Encoder:
         return np.concatenate([*parts, self.plain(text[at:])])
 
     def plain(self, text: str) -> np.ndarray:
-        return self.encoding.encode_to_numpy(text, disallowed_special=())
+        return np.array(self.encoding.encode_ordinary(text), np.uint32)
 
 
 @lru_cache(2)
