@@ -1,4 +1,4 @@
-"""Near-duplicate groups: SimHash codes searched with BK-trees."""
+"""Near-duplicate groups: all pairs of SimHash codes within a radius, by tables over blocks of the code."""
 
 from __future__ import annotations
 
@@ -15,10 +15,17 @@ from nearfield.session import durable, quoted, release
 RADIUS = 12
 #: Of the 128 bits of both pair codes.
 CONFIRM_RADIUS = 36
+#: Codes are searched by blocks, each by a table of its first bits: so many blocks, and bits at most. The pairs found don't depend on either.
+TABLES = 4
 KEY_BITS = 16
-#: Pairs at RADIUS bits then meet in some table with a probability over 0.9.
-TABLES = 128
+#: With fewer bits most pairs would be compared anyway.
+LEAST_BITS = 10
 CODES = ["code", "pair_code", "other_pair_code"]
+#: Nodes in a part, and the number of parts that smaller tables are cut into, of so many nodes at least.
+PART_ROWS, LEAST_PARTS, FEW_ROWS = 1 << 20, 8, 1 << 12
+LEFT, RIGHT, BOTH = 0, 1, 2
+#: Pairs of codes compared at a time.
+TILE = 1 << 17
 #: (query, node) pairs in flight during a tree search.
 FRONTIER = 1 << 21
 
@@ -71,7 +78,8 @@ class BKForest:
     """BK-trees over codes, one for each group; groups must be contiguous.
 
     A node's children are keyed by their integer Hamming distance to it; each edge
-    leads to one child. All trees are built together, one level at a time.
+    leads to one child. All trees are built together, one level at a time. Near the
+    radius of near copies trees prune almost nothing, so links() compares by blocks.
     """
 
     def __init__(self, code: np.ndarray, group: np.ndarray):
@@ -122,55 +130,110 @@ class BKForest:
                         stack.append((query[k : k + FRONTIER], node[k : k + FRONTIER]))
 
 
-def key_bits(tables: int, bits: int) -> np.ndarray:
-    """For each table the bits of the code that make its shard key."""
-    rng = np.random.default_rng(20)
-    picks: list[np.ndarray] = []
-    while len(picks) < tables:  # whole permutations, so that all bits serve alike
-        order = rng.permutation(64)
-        picks += [order[k : k + bits] for k in range(0, 64 - bits + 1, bits)]
-    return np.array(picks[:tables])
+def blocks(radius: int, tables: int) -> list[tuple[int, int, int]]:
+    """(first bit, bits, distance) of the blocks a code is cut into: codes at most radius apart are at most that distance apart in one block at least.
+
+    Were they further apart in every block, by its distance + 1 or more, they would be
+    radius + 1 apart or more, the sum of those. Blocks left with a distance of -1 are not searched.
+    """
+    edges = [64 * k // tables for k in range(tables + 1)]
+    share = [(radius + 1) // tables + (k < (radius + 1) % tables) for k in range(tables)]
+    return [(a, b - a, d - 1) for a, b, d in zip(edges[:-1], edges[1:], share, strict=True) if d]
+
+
+def by_prefix(code: np.ndarray, first: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The codes ordered by so many bits from the first on, where each value of these bits begins (with the end), and the codes' places."""
+    key = ((code >> np.uint64(first)) & np.uint64((1 << bits) - 1)).astype(np.int64)
+    place = np.argsort(key, kind="stable")
+    return code[place], np.searchsorted(key[place], np.arange((1 << bits) + 1)), place
 
 
-def links(nodes: DataFrame, radius: int, confirm_radius: int, bits: int, tables: int) -> DataFrame:
-    """(a, b), a > b: links whose connected parts are those of all pairs within the radii that share a shard.
+def close_pairs(left: np.ndarray, right: np.ndarray, radius: int, bits: int, tables: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs (place in left, place in right) of codes at most radius apart, some more than once.
 
-    nodes: (node, *CODES), each combination of codes once. Every node goes to one shard in
-    each table; a shard's codes make a BK-tree that each of them queries.
+    In each block the codes of left that have the same prefix, of `bits` bits at most, are
+    compared with all codes of right whose prefix is near enough; few codes with all.
     """
-    picks = key_bits(tables, bits)
+    prefix = min(bits, len(left).bit_length() - 5)  # some 16 codes of left share one
+    for first, size, far in blocks(radius, tables):
+        used = min(prefix, size) if prefix >= LEAST_BITS else 0
+        own, own_at, own_place = by_prefix(left, first, used)
+        other, other_at, other_place = by_prefix(right, first, used)
+        flips = np.arange(1 << used)
+        flips = flips[np.bitwise_count(flips) <= far]
+        for value in np.flatnonzero(np.diff(own_at)):
+            near = np.sort(flips ^ value)
+            begin, many = other_at[near], other_at[near + 1] - other_at[near]
+            at = np.repeat(begin - (np.cumsum(many) - many), many) + np.arange(many.sum())
+            codes, end = other[at], own_at[value + 1]
+            step = max(1, TILE // max(1, len(at)))
+            for k in range(own_at[value], end, step):
+                hit = np.flatnonzero(distance(own[k : min(k + step, end), None], codes) <= radius)
+                if len(hit):
+                    yield own_place[k + hit // len(at)], other_place[at[hit % len(at)]]
+        if far >= used:  # that was every pair
+            return
+
+
+def in_bulk(pairs: Iterator[tuple[np.ndarray, np.ndarray]], size: int = TILE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The same pairs, at least size of them at a time but for the last."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    total = 0
+    for pair in pairs:
+        held.append(pair)
+        total += len(pair[0])
+        if total >= size:
+            yield np.concatenate([a for a, _ in held]), np.concatenate([b for _, b in held])
+            held, total = [], 0
+    if held:
+        yield np.concatenate([a for a, _ in held]), np.concatenate([b for _, b in held])
+
+
+def links(nodes: DataFrame, radius: int, confirm_radius: int, bits: int, tables: int, part_rows: int = PART_ROWS) -> DataFrame:
+    """(a, b), a > b: links whose connected parts are those of all pairs within the radii.
+
+    nodes: (node, *CODES), each combination of codes once. The nodes are cut into parts of
+    about part_rows by a hash; each two parts, and each part with itself, make a task that
+    finds all close pairs of codes between them.
+    """
+    n = nodes.count()
+    parts = max(1, -(-n // part_rows), min(LEAST_PARTS, -(-n // FEW_ROWS)))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight = (1 << np.arange(bits)).astype(np.int64)
         for batch in batches:
-            code = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-            on = np.unpackbits(code.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.int64)
-            for t, pick in enumerate(picks):
-                shard = (on[:, pick] @ weight) + (t << bits)
-                yield pa.RecordBatch.from_arrays([pa.array(shard), *batch.columns], ["shard", "node", *CODES])
+            code, pair, other = (batch.column(k).to_numpy(zero_copy_only=False).view(np.uint64) for k in (1, 2, 3))
+            part = (mix(code ^ mix(pair ^ mix(other))) % np.uint64(parts)).astype(np.int64)
+            for with_part in range(parts):
+                least, most = np.minimum(part, with_part), np.maximum(part, with_part)
+                task = most * (most + 1) // 2 + least
+                side = np.where(part == with_part, BOTH, np.where(part < with_part, LEFT, RIGHT))
+                yield pa.RecordBatch.from_arrays([pa.array(task.astype(np.int32)), pa.array(side.astype(np.int8)), *batch.columns], ["task", "side", "node", *CODES])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [[batch.column(k).to_numpy(zero_copy_only=False) for k in range(5)] for batch in batches]
+        got = [[batch.column(k).to_numpy(zero_copy_only=False) for k in range(6)] for batch in batches]
         if not got:
             return
-        shard, node, code, pair, other = (np.concatenate(x) for x in zip(*got, strict=True))
-        by = np.lexsort((node, shard))
-        same = shard[by[1:]] == shard[by[:-1]]
-        by = by[np.concatenate([same, [False]]) | np.concatenate([[False], same])]
-        shard, node, code, pair, other = shard[by], node[by], code[by].view(np.uint64), pair[by].view(np.uint64), other[by].view(np.uint64)
-        if not len(node):
-            return
-        names, of = np.unique(node, return_inverse=True)
-        label = np.arange(len(names))
-        for q, n in BKForest(code, shard).within(radius):
-            sure = distance(pair[q], pair[n]) + distance(other[q], other[n]) <= confirm_radius
-            label = joined(label, of[q[sure]], of[n[sure]])
-        moved = np.flatnonzero(label != np.arange(len(names)))
-        if len(moved):
-            yield pa.RecordBatch.from_arrays([pa.array(names[moved]), pa.array(names[label[moved]])], ["a", "b"])
-
-    spreads = nodes.select("node", *CODES).mapInArrow(spread, "shard bigint, node bigint, code bigint, pair_code bigint, other_pair_code bigint")
-    return spreads.repartition("shard").mapInArrow(search, "a bigint, b bigint")
+        tasks, sides, *columns = (np.concatenate(x) for x in zip(*got, strict=True))
+        del got
+        for task in np.unique(tasks):
+            at = np.flatnonzero(tasks == task)
+            at = at[np.argsort(columns[0][at], kind="stable")]
+            node, side = columns[0][at], sides[at]
+            code, pair, other = (x[at].view(np.uint64) for x in columns[1:])
+            left, right = np.flatnonzero(side != RIGHT), np.flatnonzero(side != LEFT)
+            label = np.arange(len(node))
+            for a, b in in_bulk(close_pairs(code[left], code[right], radius, bits, tables)):
+                a, b = left[a], right[b]
+                apart = label[a] != label[b]
+                a, b = a[apart], b[apart]
+                sure = distance(pair[a], pair[b]) + distance(other[a], other[b]) <= confirm_radius
+                label = joined(label, a[sure], b[sure])
+            moved = np.flatnonzero(node[label] != node)
+            if len(moved):
+                yield pa.RecordBatch.from_arrays([pa.array(node[moved]), pa.array(node[label[moved]])], ["a", "b"])
+
+    spreads = nodes.select("node", *CODES).mapInArrow(spread, "task int, side byte, node bigint, code bigint, pair_code bigint, other_pair_code bigint")
+    return spreads.repartitionById(parts * (parts + 1) // 2, F.col("task")).mapInArrow(search, "a bigint, b bigint")
 
 
 def joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -208,10 +271,8 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, confirm_radius: int =
 
     Two documents are near copies if their word codes differ in at most radius bits
     and their pair codes in at most confirm_radius of 128 bits; groups are the connected
-    parts. Documents of equal codes always meet; others meet in one of `tables`
-    sets of shards, each keyed by `bits` different bits of the code, which finds a pair
-    that differs in d bits with probability 1 - (1 - C(64-d, bits)/C(64, bits))**tables
-    or a little more. The search is not exact in the radius.
+    parts. The search is exact: no pair within the radii is left out. `bits` and `tables`
+    only say how it goes about it.
 
     Null and empty texts and rows without id belong to no group; empty tables have
     none. Rows that repeat a doc_id count as one document. Ties go to the least

@@ -61,6 +61,21 @@ def test_bk_forest_finds_all_pairs_within_the_radius():
     assert got == want and len(want) > 100
 
 
+@pytest.mark.parametrize("radius, bits, tables", [(12, 16, 4), (12, 6, 5), (3, 16, 4), (2, 16, 4), (12, 16, 1), (0, 16, 4)])
+def test_close_pairs_are_all_pairs_within_the_radius(monkeypatch, radius, bits, tables):
+    monkeypatch.setattr(simhash, "LEAST_BITS", 4)  # tables for few codes too
+    rng = np.random.default_rng(5)
+    left = rng.integers(0, 1 << 63, 700).astype(np.uint64) << np.uint64(1)
+    right = np.concatenate([left[rng.integers(0, 700, 900)], rng.integers(0, 1 << 63, 300).astype(np.uint64)])
+    for k in range(900):
+        for b in rng.choice(64, rng.integers(0, 16), replace=False):
+            right[k] ^= np.uint64(1) << np.uint64(b)
+    got = {(int(a), int(b)) for x, y in simhash.in_bulk(simhash.close_pairs(left, right, radius, bits, tables), 50) for a, b in zip(x, y, strict=True)}
+    want = set(zip(*(x.tolist() for x in np.nonzero(simhash.distance(left[:, None], right) <= radius)), strict=True))
+    assert got == want and want
+    assert not list(simhash.close_pairs(left[:0], right, radius, bits, tables)) and not list(simhash.close_pairs(left, right[:0], radius, bits, tables))
+
+
 def test_simhash_is_the_majority_of_each_bit():
     h = np.random.default_rng(2).integers(0, 1 << 63, 51).astype(np.uint64)
     want = sum(1 << k for k in range(64) if 2 * sum(int(x) >> k & 1 for x in h) > 51)

@@ -126,6 +126,20 @@ def test_simhash_tables_find_nine_in_ten_direct_pairs_at_each_distance(spark):
         assert sum(k % 5 == j for k in met) >= 0.9 * 500, d
 
 
+@pytest.mark.parametrize("part_rows", [1 << 20, 700])
+def test_simhash_links_leave_no_pair_out(spark, part_rows):
+    rng, rows, distances = random.Random(13), [], (0, 11, 12, 13)
+    flipped = lambda x, d: x ^ sum(1 << b for b in rng.sample(range(64), d))
+    for k in range(2000):
+        code, pair, other = (rng.getrandbits(64) for _ in range(3))
+        far = k % 3 == 2  # a third of the pairs one bit beyond the second radius
+        rows += [(2 * k, code, pair, other), (2 * k + 1, flipped(code, distances[k % 4]), flipped(pair, 20), flipped(other, 16 + far))]
+    signed = lambda x: int(np.uint64(x).view(np.int64))
+    nodes = spark.createDataFrame([(i, signed(c), signed(p), signed(o)) for i, c, p, o in rows], "node bigint, code bigint, pair_code bigint, other_pair_code bigint")
+    found = simhash.links(nodes, simhash.RADIUS, simhash.CONFIRM_RADIUS, simhash.KEY_BITS, simhash.TABLES, part_rows=part_rows)
+    assert sorted(map(tuple, found.collect())) == [(2 * k + 1, 2 * k) for k in range(2000) if k % 4 < 3 and k % 3 < 2]
+
+
 def test_simhash_recall_against_all_pairs(spark):
     rng = random.Random(3)
     texts = []
