@@ -1,9 +1,11 @@
 """The corpus pipeline stage by stage, and the registered queries, on the smallest tables."""
 
 import os
+import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from nearfield.llm import decontaminate, quality, registry, secrets, simhash, tokens
 from tests.parity import connect, rows
@@ -51,6 +53,27 @@ def test_near_dedup_stage_leaves_one_of_each_group(stages):
     assert ids(after) == {i for i in ids(before) if group.get(i, i) == i}
 
 
+def test_near_dedup_stage_takes_copies_at_the_radius(spark):
+    """Texts and edited copies whose codes differ in 11 or 12 bits, the most allowed: no copy stays."""
+    rng, rows = random.Random(21), []
+    for k in range(800):
+        text = [f"w{rng.randrange(5000)}" for _ in range(60)]
+        rows.append((2 * k, " ".join(text)))
+        for at in rng.sample(range(60), 8):
+            text[at] = f"w{rng.randrange(5000)}"
+        rows.append((2 * k + 1, " ".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    code = {r.doc_id: np.array([r.code, r.pair_code, r.other_pair_code]) for r in simhash.codes(docs).collect()}
+    near = []
+    for k in range(800):
+        d = np.bitwise_count((code[2 * k] ^ code[2 * k + 1]).view(np.uint64)).astype(int)
+        if d[0] in (11, 12) and d[1] + d[2] <= simhash.CONFIRM_RADIUS:
+            near.append(2 * k)
+    assert len(near) > 150
+    some = docs.where(F.col("doc_id").isin(near + [k + 1 for k in near]))
+    assert ids(corpus_pipeline.near_dedup(spark, some, SF)) == set(near)
+
+
 def test_decontamination_stage_leaves_no_passage(spark, stages):
     before, after = stages["decontamination"]
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
