@@ -218,3 +218,9 @@ def test_sql_functions_agree_with_columns(spark):
     for text in ("vector_concat(CAST(array() AS ARRAY<FLOAT>), CAST(array() AS ARRAY<FLOAT>))", "subvector(CAST(array(1D) AS ARRAY<FLOAT>), 3, 1)"):
         with pytest.raises(Exception, match="at least 1 dimension"):
             spark.sql(f"SELECT {text}").collect()
+
+
+@pytest.mark.parametrize("fn", [dense.vector_from_text, half.halfvec_from_text, sparse.from_text, lambda s: sparse.to_text(sparse.from_text(s)), lambda s: sparse.to_dense(sparse.from_text(s))])
+def test_a_text_is_made_once(spark, fn):
+    plan = spark.range(1).select(fn(F.initcap(F.col("id").cast("string"))).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("initcap") == 1
