@@ -364,3 +364,19 @@ def test_stream_appends(spark, tmp_path):
     index = IvfIndex.build(corpus(spark), 2, id_col="doc_id")
     into_ivf(stream, index, str(tmp_path / "ivf"), str(tmp_path / "c2")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "ivf")).count() == 4
+
+
+@pytest.mark.parametrize(("metric", "bits"), [("l2", 4), ("ip", 4), ("cosine", 4), ("l1", 4), ("cosine", 1)])
+def test_codes_exclude_no_neighbour(rows, data, metric, bits):
+    """Codes bring neighbours into another order; with few candidates the exact ones are found all the same."""
+    for renorm, corrected in ((False, False), (True, metric in ("ip", "cosine"))):
+        index = QuantizedIndex.build(rows, 12, bits, metric, renorm=renorm, corrected=corrected)
+        for i in (11, 12, 13):
+            got = [r.vec_id for r in index.search([float(x) for x in data[i]], 10, oversampling=1).collect()]
+            assert got == brute(data, data[i], metric)[:10]
+
+
+def test_ties_of_rounded_distances_go_by_id(spark):
+    df = spark.createDataFrame([(1, [0.1, 0.2, 0.3]), (2, [0.7, 1.4, 2.1]), (3, [0.3, 0.6, 0.9]), (4, [0.5, 1.0, 1.5]), (0, [1.1, 2.2, 3.3])], "vec_id int, embedding array<float>")
+    assert [r.vec_id for r in knn.knn(df, [0.2, 0.4, 0.6], 4, "cosine").collect()] == [0, 1, 2, 3]
+    assert [r.vec_id for r in QuantizedIndex.build(df, 3, 4, "cosine").search([0.2, 0.4, 0.6], 4, 1).collect()] == [0, 1, 2, 3]
