@@ -380,3 +380,28 @@ def test_ties_of_rounded_distances_go_by_id(spark):
     df = spark.createDataFrame([(1, [0.1, 0.2, 0.3]), (2, [0.7, 1.4, 2.1]), (3, [0.3, 0.6, 0.9]), (4, [0.5, 1.0, 1.5]), (0, [1.1, 2.2, 3.3])], "vec_id int, embedding array<float>")
     assert [r.vec_id for r in knn.knn(df, [0.2, 0.4, 0.6], 4, "cosine").collect()] == [0, 1, 2, 3]
     assert [r.vec_id for r in QuantizedIndex.build(df, 3, 4, "cosine").search([0.2, 0.4, 0.6], 4, 1).collect()] == [0, 1, 2, 3]
+
+
+def test_copies_and_minima_leave_out_no_neighbour():
+    rng = np.random.default_rng(1)
+    x = np.repeat(rng.integers(-2, 3, (40, 3)), 30, axis=0).astype(np.float64)[rng.permutation(1200)]
+    place, q = rng.permutation(1200), rng.standard_normal((50, 3))
+    for metric in ("l2", "ip", "cosine", "l1"):
+        got = {}
+        for query, row, _ in knn.searched(x, lambda a, b: q[a:b], 50, place, 7, metric, 9):
+            for i, r in zip(query.tolist(), row.tolist(), strict=True):
+                got.setdefault(i, []).append(r)
+        for i in range(50):
+            d = np.round(knn.distances(x, q[i], metric), 9)
+            assert got[i] == np.lexsort((place, d))[:7].tolist()
+    assert len(knn.few_copies(x, place, 7)) <= 40 * 7
+
+
+def test_all_pairs_are_not_shuffled(spark):
+    s = spark.createDataFrame([(i, (9, [j for j in range(9) if (i + j) % 4 == 0], [1.0 + j for j in range(9) if (i + j) % 4 == 0])) for i in range(30)] + [(30, (9, [], []))], "vec_id bigint, embedding struct<dim: int, indices: array<int>, values: array<float>>")
+    for sent in (knn.SENT_BYTES, 200):
+        found = knn.sparse_products(s, s.withColumnRenamed("vec_id", "other_id"), "vec_id", "other_id", "embedding", sent_bytes=sent)
+        assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+        own = {r.vec_id: dict(zip(r.embedding["indices"], r.embedding["values"], strict=True)) for r in s.collect()}
+        want = {(a, b): sum(x * own[b].get(k, 0) for k, x in own[a].items()) for a in own for b in own if own[a].keys() & own[b].keys()}
+        assert {(r.a, r.b): r.ip for r in found.collect()} == pytest.approx(want)
