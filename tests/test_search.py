@@ -405,3 +405,14 @@ def test_all_pairs_are_not_shuffled(spark):
         own = {r.vec_id: dict(zip(r.embedding["indices"], r.embedding["values"], strict=True)) for r in s.collect()}
         want = {(a, b): sum(x * own[b].get(k, 0) for k, x in own[a].items()) for a in own for b in own if own[a].keys() & own[b].keys()}
         assert {(r.a, r.b): r.ip for r in found.collect()} == pytest.approx(want)
+
+
+def test_metrics_by_class_list_no_judgements(spark):
+    docs = spark.createDataFrame([(i, i % 3 if i < 29 else None) for i in range(30)], "docid bigint, class int")
+    queries = docs.withColumnRenamed("docid", "qid")
+    run = spark.createDataFrame([(q, (q * 7 + r * r) % 30, r) for q in range(25) for r in range(1, 13)], "qid bigint, docid bigint, rank bigint")
+    found = metrics.class_metrics(run, queries, docs)
+    plain = metrics.ir_metrics(run, queries.where("class IS NOT NULL").join(docs, "class").select("qid", "docid", F.lit(1).alias("rel"))).first()
+    got = found.first()
+    assert got.n_queries == 30 and plain.n_queries == 29
+    assert [got[c] * 30 for c in ("ndcg", "recall", "mrr", "map")] == pytest.approx([plain[c] * 29 for c in ("ndcg", "recall", "mrr", "map")])
