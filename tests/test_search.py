@@ -416,3 +416,17 @@ def test_metrics_by_class_list_no_judgements(spark):
     got = found.first()
     assert got.n_queries == 30 and plain.n_queries == 29
     assert [got[c] * 30 for c in ("ndcg", "recall", "mrr", "map")] == pytest.approx([plain[c] * 29 for c in ("ndcg", "recall", "mrr", "map")])
+
+
+def test_words_are_counted_where_the_text_is(spark):
+    text = [(1, "Foo, foo bar"), (2, "  "), (3, "ŠKODA x_y 12"), (4, None)] + [(i, f"w{i % 7} w{i % 3}") for i in range(5, 1300)]
+    docs = spark.createDataFrame(text, "doc_id bigint, text string")
+    index = Bm25Index.of(docs)
+    plan = index.postings._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Generate" not in plan
+    found = {(r.doc_id, r.term): (r.tf, r.dl) for r in index.postings.collect()}
+    assert {k: v for k, v in found.items() if k[0] < 5} == {(1, "foo"): (2, 3), (1, "bar"): (1, 3), (3, "škoda"): (1, 4), (3, "x"): (1, 4), (3, "y"): (1, 4), (3, "12"): (1, 4)}
+    assert all(found[i, f"w{i % 7}"] == (2 if i % 7 == i % 3 else 1, 2) for i in range(5, 1300))
+    assert index.sizes() == (1298, 7 + 2 * 1295)
+    twice = Bm25Index.of(spark.createDataFrame([(1, "a b"), (1, "b c"), (1, "b")], "doc_id bigint, text string"))
+    assert sorted((r.term, r.tf, r.dl) for r in twice.postings.collect()) == [("a", 1, 2), ("b", 1, 1), ("b", 2, 2), ("c", 1, 2)]
