@@ -430,3 +430,17 @@ def test_words_are_counted_where_the_text_is(spark):
     assert index.sizes() == (1298, 7 + 2 * 1295)
     twice = Bm25Index.of(spark.createDataFrame([(1, "a b"), (1, "b c"), (1, "b")], "doc_id bigint, text string"))
     assert sorted((r.term, r.tf, r.dl) for r in twice.postings.collect()) == [("a", 1, 2), ("b", 1, 1), ("b", 2, 2), ("c", 1, 2)]
+
+
+@pytest.mark.parametrize("metric", ["hamming", "jaccard"])
+def test_bits_are_measured_by_a_product(metric):
+    from nearfield.operators.graph import Graph, measure
+
+    x = (np.random.default_rng(2).random((40, 64)) < 0.3).astype(np.float64)
+    x[3] = 0
+    assert (Graph(metric).apart(x) == np.stack([measure(x, q, metric) for q in x])).all()
+
+
+def test_shards_are_built_by_many_tasks(spark, rows):
+    index = GraphIndex.build(rows, "l2", shard_rows=75)
+    assert len({r.p for r in index.graphs.select(F.input_file_name().alias("p")).collect()}) > 2
